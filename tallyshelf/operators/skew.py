@@ -1,0 +1,53 @@
+"""Equi-joins that survive one key holding a large share of the rows.
+
+A key with very many rows on the left side is spread over several salts; the right
+side, which is small per key, is repeated once per salt for those keys only. Every
+left row meets each right row of its key exactly once, so results do not depend on
+which keys were found hot.
+
+The hot list is at most ``MAX_HOT_KEYS`` rows whatever the data size: any key beyond
+the largest ``MAX_HOT_KEYS`` holds less than one part in ``MAX_HOT_KEYS`` of the rows
+and needs no salt. That bound is what makes its broadcast safe.
+"""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_ROWS = 1_000_000
+MAX_HOT_KEYS = 1024
+MAX_SALTS = 1024
+
+
+def hot_keys(counts: DataFrame, key: str, rows: str = "copies", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with at least ``hot_rows`` rows and the number of salts each one gets.
+
+    ``counts`` has one row per key. The answer is exact and ordered by a unique key, so
+    evaluating it twice (once per join side, or after a lost task) gives the same list.
+    """
+    return (
+        counts.where(F.col(rows) >= hot_rows)
+        .orderBy(F.desc(rows), key)
+        .limit(MAX_HOT_KEYS)
+        .select(key, F.least(F.lit(MAX_SALTS), F.ceil(F.col(rows) / hot_rows) + 1).cast("int").alias("salts"))
+    )
+
+
+def count_keys(df: DataFrame, key: str) -> DataFrame:
+    """Rows per key; counted on the map side first, so a hot key costs one row per task."""
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("copies"))
+
+
+def salted_join(
+    left: DataFrame, right: DataFrame, key: str, how: str, spread_by: str, hot: DataFrame
+) -> DataFrame:
+    """Join on ``key`` with hot keys of ``left`` spread by the column ``spread_by``.
+
+    ``how`` is inner, left, left_semi or left_anti.
+    """
+    hot = F.broadcast(hot)
+    salts = F.coalesce("salts", F.lit(1))
+    left = left.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64(spread_by), salts)).drop("salts")
+    right = right.join(hot, key, "left").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0).cast("bigint"), (salts - 1).cast("bigint")))
+    )
+    return left.join(right.drop("salts"), [key, "salt"], how).drop("salt")
