@@ -220,9 +220,7 @@ def append_catalog(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def read_log(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch_path(spark, "log")
-    t.log_lines(spark, sf).write.text(path)
-    return loglines.log_events(logs.read_log(spark, path)).groupBy("level").agg(F.count("*").alias("lines"))
+    return loglines.log_events(t.log_lines(spark, sf)).groupBy("level").agg(F.count("*").alias("lines"))
 
 
 def write_action_plan(spark: SparkSession, sf: str) -> DataFrame:

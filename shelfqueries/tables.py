@@ -9,11 +9,12 @@ conflict. One event is one file event, and one line of a log.
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyshelf.functions import file_extension, md5_hex, sha256_hex
+from tallyshelf.functions import file_extension, sha256_hex
 from tallyshelf.operators.catalog import existing_path_column
 from tallyshelf.operators.loglines import EXTRA_OPERATIONS, OPERATIONS
 from tallyshelf.schemas import CATALOG
-from tallyshelf.session import settle
+from tallyshelf.session import scratch_path, settle
+from tallyshelf.sources.logs import read_log
 from tallyshelf.streaming.ingest import names_in_use
 
 PROCESSED_AT = "2024-06-01 12:00:00"
@@ -133,11 +134,6 @@ def as_file_events(events: DataFrame) -> DataFrame:
 KINDS = [*OPERATIONS, "queue_full", "worker_done", "duplicate_delete", "slow_query", "batch_insert", "copy_summary"]
 
 
-def _message(template: str, values: dict[str, Column]) -> Column:
-    pieces = template.replace("{", "}").split("}")
-    return F.concat(*(values[p] if i % 2 else F.lit(p) for i, p in enumerate(pieces)))
-
-
 def duration_text() -> Column:
     return F.expr(
         "case event_type when 'click' then concat(value, 'ms') when 'view' then concat(value, 's')"
@@ -153,10 +149,13 @@ def size_text() -> Column:
     )
 
 
-def log_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """A log with one line per event, of all kinds of messages."""
+def rendered(events: DataFrame) -> DataFrame:
+    """One line per event, of all kinds of messages."""
+    texts = OPERATIONS | EXTRA_OPERATIONS
+    texts |= {"queue_full": "处理队列已满，跳过文件: /src/{user}.jpg", "worker_done": "智能工作协程 #{user} 完成，处理文件数: {count}"}
     value = F.col("value").cast("string")
     user = F.col("user_id").cast("string")
+    message = F.coalesce(F.get(F.array(*(F.lit(texts[kind]) for kind in KINDS)), F.col("number")), F.lit("idle"))
     values = {
         "time": duration_text(),
         "other": duration_text(),
@@ -164,30 +163,22 @@ def log_lines(spark: SparkSession, sf: str) -> DataFrame:
         "speed": F.concat(value, F.lit(" MB/s")),
         "file": F.concat(F.lit("IMG_"), user, F.lit(".jpg")),
         "any": F.lit(" (by hash)"),
+        "user": user,
+        "count": F.col("value").cast("int").cast("string"),
     }
-    number = F.expr("cast(regexp_extract(props, '[0-9]+', 0) as int) div 4")
-    message = F.lit("idle")
-    for i, kind in enumerate(KINDS):
-        if kind == "queue_full":
-            text = F.concat(F.lit("处理队列已满，跳过文件: /src/"), user, F.lit(".jpg"))
-        elif kind == "worker_done":
-            text = F.concat(F.lit("智能工作协程 #"), user, F.lit(" 完成，处理文件数: "), F.expr("cast(value as int)"))
-        else:
-            text = _message((OPERATIONS | EXTRA_OPERATIONS)[kind], values)
-        message = F.when(number == i, text).otherwise(message)
+    for name, text in values.items():
+        message = F.replace(message, F.lit("{" + name + "}"), text)
     level = F.expr("case number when 18 then 'WARN' when 21 then 'WARN' when 19 then 'INFO' when 24 then 'ERROR' else 'DEBUG' end")
     caller = F.when(F.col("number") == 24, F.lit("unknown")).otherwise(F.concat(F.lit("worker.go:"), user))
-    return (
-        table(spark, sf, "events")
-        .withColumn("number", number)
-        .select(
-            F.concat(
-                F.lit("["), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("] "), level, F.lit(" "), caller,
-                F.lit(" - "), message,
-            ).alias("value")
-        )
+    time = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    number = F.expr("cast(regexp_extract(props, '[0-9]+', 0) as int) div 4").cast("int")
+    return events.withColumn("number", number).select(
+        F.concat(F.lit("["), time, F.lit("] "), level, F.lit(" "), caller, F.lit(" - "), message).alias("value")
     )
 
 
-def document_md5(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", md5_hex("text").alias("hash"))
+def log_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The log as text files, which is how a log arrives."""
+    path = scratch_path(spark, "log")
+    rendered(table(spark, sf, "events")).write.text(path)
+    return read_log(spark, path)

@@ -11,22 +11,21 @@ LOG_TIME = "yyyy-MM-dd HH:mm:ss"
 LEVEL_RANKS = {"debug": 0, "info": 1, "warn": 2, "warning": 2, "error": 3}
 SKIPPED_FILE = "跳过文件: "
 
+MARK = "\x01"
+
 
 def parse_log_line(line: Column | str) -> Column:
     """Struct of ts, level, caller_file, caller_line and message; null if the line has another layout."""
     line = col(line)
-
-    def part(n: int) -> Column:
-        return F.regexp_extract(line, LOG_LINE, n)
-
+    parts = F.split(F.regexp_replace(line, LOG_LINE, MARK.join(f"${n}" for n in range(1, 6))), MARK, 5)
     return F.when(
         line.rlike(LOG_LINE),
         F.struct(
-            F.try_to_timestamp(part(1), F.lit(LOG_TIME)).cast("timestamp_ntz").alias("ts"),
-            part(2).alias("level"),
-            part(3).alias("caller_file"),
-            part(4).try_cast("int").alias("caller_line"),
-            part(5).alias("message"),
+            F.try_to_timestamp(parts[0], F.lit(LOG_TIME)).cast("timestamp_ntz").alias("ts"),
+            parts[1].alias("level"),
+            parts[2].alias("caller_file"),
+            parts[3].try_cast("int").alias("caller_line"),
+            parts[4].alias("message"),
         ),
     )
 

@@ -44,9 +44,10 @@ EXTRA_OPERATIONS = {
 QUEUE_FULL = "处理队列已满"
 WORKER_DONE = r"智能工作协程 #(\d+) 完成，处理文件数: (\d+)"
 
-# How times and sizes are written; strict knows the first form of each only.
-STRICT_TIME, ANY_TIME = r"[0-9.]+(?:ms|s)", r"(?:[0-9.]+(?:h|ms|m|[µμu]s|ns|s))+"
-STRICT_SIZE, ANY_SIZE = r"[0-9.]+ (?:KB|MB)", r"[0-9.]+ (?:B|KB|MB|GB|TB)"
+# How numbers, times and sizes are written; strict knows the first form of each only.
+NUMBER = r"(?:[0-9]+\.?[0-9]*|\.[0-9]+)"
+STRICT_TIME, ANY_TIME = rf"{NUMBER}(?:ms|s)", rf"(?:{NUMBER}(?:h|ms|m|[µμu]s|ns|s))+"
+STRICT_SIZE, ANY_SIZE = rf"{NUMBER} (?:KB|MB)", rf"{NUMBER} (?:B|KB|MB|GB|TB)"
 
 OPERATION_NAMES = {
     "file_copy_detail": "File copy details",
@@ -70,6 +71,10 @@ OPERATION_NAMES = {
 }
 
 
+FIELDS = ["time", "size", "speed", "file"]
+MARK = "\x01"
+
+
 def _escape(text: str) -> str:
     return "".join("\\" + c if c in r"\.[]{}()*+-?^$|" else c for c in text)
 
@@ -80,7 +85,7 @@ def _compile(template: str, strict: bool) -> tuple[str, str, dict[str, int]]:
         "time": STRICT_TIME if strict else ANY_TIME,
         "other": STRICT_TIME if strict else ANY_TIME,
         "size": STRICT_SIZE if strict else ANY_SIZE,
-        "speed": r"[0-9.]+",
+        "speed": NUMBER,
         "file": r".+",
         "any": r".*?",
     }
@@ -95,6 +100,17 @@ def _compile(template: str, strict: bool) -> tuple[str, str, dict[str, int]]:
     return pattern, pieces[0], groups
 
 
+def _hit(operation: str, template: str, strict: bool) -> Column:
+    """Operation and values of a line in one marked text, taken by one pass of one pattern.
+
+    Null, or the line as it was, if the line does not report the operation.
+    """
+    pattern, begin, groups = _compile(template, strict)
+    values = MARK.join(f"${groups[f]}" if f in groups else "" for f in FIELDS)
+    marked = F.regexp_replace("line", f"^.*?{pattern}.*$", operation + MARK + values)
+    return F.when(F.col("line").contains(begin), marked)
+
+
 def log_events(lines: DataFrame, line: str = "value") -> DataFrame:
     """Lines in the log layout as ts, level, caller_file, caller_line, message and the line itself."""
     parsed = lines.select(parse_log_line(line).alias("event"), F.col(line).alias("line"))
@@ -109,36 +125,27 @@ def classify_operations(lines: DataFrame, strict: bool = False, extra: bool = Fa
     lines that hold its fixed beginning. ``strict`` accepts only the plain units and the
     main messages; ``extra`` adds the other timings.
     """
-    operations = OPERATIONS | (EXTRA_OPERATIONS if extra and not strict else {})
-    text = F.trim(F.col(line))
-    candidates = lines.select(text.alias("line"))
-    signs = F.col("line").contains("⏱️")
-    if extra and not strict:
-        signs = signs | F.col("line").contains("⚠️") | F.col("line").contains("批量数据库插入")
-    missing = F.lit(None).cast("string")
-    hits = []
-    for operation, template in operations.items():
-        pattern, begin, groups = _compile(template, strict)
-        values = {
-            kind: F.regexp_extract("line", pattern, groups[kind]) if kind in groups else missing
-            for kind in ("time", "size", "speed", "file")
-        }
-        hits.append(
-            F.when(
-                F.col("line").contains(begin),
-                F.struct(F.lit(operation).alias("operation"), *(v.alias(k) for k, v in values.items())),
-            )
-        )
-    matched = candidates.where(signs).select("line", F.inline(F.array_compact(F.array(*hits)))).where("time != ''")
-    samples = matched.select(
-        "operation",
-        duration_ms("time", strict).alias("time_ms"),
-        size_mb("size").alias("size_mb"),
-        F.col("speed").try_cast("double").alias("speed_mbps"),
-        F.col("file").alias("filename"),
+    extra = extra and not strict
+    operations = OPERATIONS | (EXTRA_OPERATIONS if extra else {})
+    signs = F.col(line).contains("⏱️")
+    if extra:
+        signs = signs | F.col(line).contains("⚠️") | F.col(line).contains("批量数据库插入")
+    candidates = lines.where(signs).select(F.trim(F.translate(line, MARK, "")).alias("line"))
+    hits = F.array(*(_hit(operation, template, strict) for operation, template in operations.items()))
+    matched = candidates.select("line", F.explode(hits).alias("hit")).where(F.col("hit").contains(MARK))
+    values = matched.select("line", F.split("hit", MARK).alias("v"))
+
+    def value(field: str) -> Column:
+        return F.nullif(F.col("v")[1 + FIELDS.index(field)], F.lit(""))
+
+    return values.select(
+        F.col("v")[0].alias("operation"),
+        duration_ms(value("time"), strict).alias("time_ms"),
+        size_mb(value("size")).alias("size_mb"),
+        value("speed").try_cast("double").alias("speed_mbps"),
+        value("file").alias("filename"),
         "line",
     )
-    return samples.where(F.col("time_ms").isNotNull())
 
 
 def operation_names(samples: DataFrame) -> DataFrame:
