@@ -1,6 +1,7 @@
 """One query per operator; each takes a session and the folder of the given tables."""
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,7 +64,8 @@ def file_by_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 def matched(operator: Callable[..., DataFrame], *more: str) -> Query:
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        return operator(t.settled_files(spark, sf), t.catalog(spark, sf)).select(*FILE, *more)
+        inventory = t.settled_files(spark, sf)
+        return operator(inventory, t.catalog(spark, sf, inventory)).select(*FILE, *more)
 
     return query
 
@@ -97,8 +99,9 @@ def merge_catalog(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def resolve_name_conflicts(spark: SparkSession, sf: str) -> DataFrame:
-    arriving = t.settled_files(spark, sf).withColumn("target_dir", F.lit(t.TODAY))
-    named = naming.resolve_name_conflicts(arriving, t.today_names(t.catalog(spark, sf)))
+    inventory = t.settled_files(spark, sf)
+    arriving = inventory.withColumn("target_dir", F.lit(t.TODAY))
+    named = naming.resolve_name_conflicts(arriving, t.today_names(t.catalog(spark, sf, inventory)))
     return named.select("path", "name", "final_name")
 
 
@@ -116,7 +119,7 @@ def keep_last(operator: Callable[[DataFrame], DataFrame]) -> Query:
 def ingest_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Action plan of ingesting all files, the catalog it is for, and the live library paths."""
     inventory = t.settled_files(spark, sf)
-    records, live = t.settled_catalog(spark, sf)
+    records, live = t.settled_catalog(spark, sf, inventory)
     plan = plan_ingest(
         inventory, records, t.LIBRARY, t.PROCESSED_AT, live_paths=live, taken=t.today_names(records), **WANTED
     )
@@ -207,11 +210,12 @@ def read_catalog(spark: SparkSession, sf: str) -> DataFrame:
 def append_catalog(spark: SparkSession, sf: str) -> DataFrame:
     """Records of a folder added to a stored catalog, twice, as after a replay."""
     root = scratch_path(spark, "segments")
-    records, _ = t.settled_catalog(spark, sf)
+    inventory = t.settled_files(spark, sf)
+    records, _ = t.settled_catalog(spark, sf, inventory)
     catalog_store.init_segments(spark, root, records)
     stored = catalog_store.read_segments(spark, root, before=0)
     plan = plan_ingest(
-        t.settled_files(spark, sf), stored, t.LIBRARY, t.PROCESSED_AT, taken=t.today_names(stored), **WANTED
+        inventory, stored, t.LIBRARY, t.PROCESSED_AT, taken=t.today_names(stored), **WANTED
     )
     added = settle(new_records(settle(plan, "plan"), stored, "ingest", t.PROCESSED_AT), "added")
     for _ in range(2):
@@ -526,7 +530,7 @@ STREAMS: dict[str, Query] = {
     "late_event_policy": run_events(lambda e: bursts.debounce_events(e, "30 minutes", "1 day")),
     "new_file_stream": new_file_stream,
     "ingest_stream": run_ingest(streamed.ingest_stream),
-    "scheduled_ingest": run_ingest(streamed.scheduled_ingest),
+    "scheduled_ingest": run_ingest(partial(streamed.scheduled_ingest, interval="5 seconds")),
     "micro_batch_flush": run_ingest(streamed.micro_batch_flush),
     "quarantine_failures": quarantine_failures,
     "running_totals": running_totals,

@@ -65,9 +65,9 @@ def messy_files(spark: SparkSession, sf: str) -> DataFrame:
     return as_files(table(spark, sf, "documents"), name)
 
 
-def labelled(spark: SparkSession, sf: str) -> DataFrame:
+def labelled(spark: SparkSession, sf: str, inventory: DataFrame | None = None) -> DataFrame:
     """First labelled document of each content, with its labels."""
-    known = files(spark, sf).join(table(spark, sf, "labels"), "doc_id")
+    known = (files(spark, sf) if inventory is None else inventory).join(table(spark, sf, "labels"), "doc_id")
     first = F.row_number().over(Window.partitionBy("hash").orderBy("doc_id"))
     return known.withColumn("place", first).where("place = 1")
 
@@ -87,13 +87,15 @@ def with_records(known: DataFrame) -> DataFrame:
     )
 
 
-def catalog(spark: SparkSession, sf: str) -> DataFrame:
-    return with_records(labelled(spark, sf)).select(*CATALOG.names)
+def catalog(spark: SparkSession, sf: str, inventory: DataFrame | None = None) -> DataFrame:
+    return with_records(labelled(spark, sf, inventory)).select(*CATALOG.names)
 
 
-def settled_catalog(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def settled_catalog(
+    spark: SparkSession, sf: str, inventory: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """The catalog as a written table, and the paths of its files that are still there."""
-    records = settle(with_records(labelled(spark, sf)), "catalog")
+    records = settle(with_records(labelled(spark, sf, inventory)), "catalog")
     live = records.where("quality = 1").select(existing_path_column().alias("path"))
     return records.select(*CATALOG.names), live
 

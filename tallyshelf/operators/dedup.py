@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import walk_key
+from ..session import settle
 from .skew import HOT_ROWS, hot_keys, salted_join
 
 
@@ -37,8 +38,11 @@ def dedup_keep_last(catalog: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(files: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Every file with the path that survives for its content and the number of copies."""
-    kept = survivors(files)
+    """Every file with the path that survives for its content and the number of copies.
+
+    ``files`` should be a written table: it is folded per content first, and joined then.
+    """
+    kept = settle(survivors(files), "survivors")
     hot = hot_keys(kept, "hash", hot_rows=hot_rows)
     return salted_join(files, kept, "hash", "left", "path", hot).withColumn(
         "is_duplicate", F.col("path") != F.col("kept_path")

@@ -29,13 +29,13 @@ def _names_in_use(names: DataFrame, wanted: Column, own: Column) -> DataFrame:
     return names.select("target_dir", wanted.alias("wanted")).select("target_dir", F.inline(uses))
 
 
-def resolve_name_conflicts(
+def assigned_names(
     files: DataFrame,
     taken: DataFrame | None = None,
     key: str = "path",
     ignore_case: bool = False,
 ) -> DataFrame:
-    """Add ``final_name``, null where the suffixes ran out.
+    """Rows (key, target_dir, final_name) for the files that get a name.
 
     ``files`` has ``target_dir``, ``name``, ``path`` and a unique ``key``; ``taken`` lists the
     (target_dir, name) pairs in use. However many files want one name, only the first thousand
@@ -64,10 +64,25 @@ def resolve_name_conflicts(
     used = F.coalesce("used", F.array().cast("array<int>"))
     turn = F.col("place") - F.when(own_taken, 0).otherwise(1)
     last = F.least(F.lit(MAX_NAME_SUFFIX), turn + F.size(used))
-    free = F.when(turn > 0, F.array_except(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), used))
+    free = F.array_except(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), used)
     suffix = F.when(turn > 0, F.get(free, turn - 1))
-    names = claims.join(in_use, ["target_dir", "wanted"], "left").select(
-        F.col("claimant").alias(key),
-        F.when(turn == 0, F.col("name")).otherwise(suffixed_name("name", suffix)).alias("final_name"),
+    return (
+        claims.join(in_use, ["target_dir", "wanted"], "left")
+        .select(
+            F.col("claimant").alias(key),
+            "target_dir",
+            F.when(turn == 0, F.col("name")).otherwise(suffixed_name("name", suffix)).alias("final_name"),
+        )
+        .where("final_name is not null")
     )
+
+
+def resolve_name_conflicts(
+    files: DataFrame,
+    taken: DataFrame | None = None,
+    key: str = "path",
+    ignore_case: bool = False,
+) -> DataFrame:
+    """All files with ``final_name``, null where the suffixes ran out."""
+    names = assigned_names(files, taken, key, ignore_case).select(key, "final_name")
     return files.join(names, key, "left")

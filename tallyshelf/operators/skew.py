@@ -7,7 +7,9 @@ which keys were found hot.
 
 The hot list is at most ``MAX_HOT_KEYS`` rows whatever the data size: any key beyond
 the largest ``MAX_HOT_KEYS`` holds less than one part in ``MAX_HOT_KEYS`` of the rows
-and needs no salt. That bound is what makes its broadcast safe.
+and needs no salt. That bound makes it safe to look at it and to broadcast it. It is
+looked at once, before the join is built, so both sides and every rerun task work
+with one and the same list; without hot keys the join is a plain one.
 """
 
 from pyspark.sql import DataFrame
@@ -17,19 +19,16 @@ HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 1024
 MAX_SALTS = 1024
 
+HotKeys = list[tuple[str, int]]
 
-def hot_keys(counts: DataFrame, key: str, rows: str = "copies", hot_rows: int = HOT_ROWS) -> DataFrame:
+
+def hot_keys(counts: DataFrame, key: str, rows: str = "copies", hot_rows: int = HOT_ROWS) -> HotKeys:
     """Keys with at least ``hot_rows`` rows and the number of salts each one gets.
 
-    ``counts`` has one row per key. The answer is exact and ordered by a unique key, so
-    evaluating it twice (once per join side, or after a lost task) gives the same list.
+    ``counts`` has one row per key.
     """
-    return (
-        counts.where(F.col(rows) >= hot_rows)
-        .orderBy(F.desc(rows), key)
-        .limit(MAX_HOT_KEYS)
-        .select(key, F.least(F.lit(MAX_SALTS), F.ceil(F.col(rows) / hot_rows) + 1).cast("int").alias("salts"))
-    )
+    top = counts.where(F.col(rows) >= hot_rows).orderBy(F.desc(rows), key).limit(MAX_HOT_KEYS)
+    return [(k, min(MAX_SALTS, n // hot_rows + 1)) for k, n in top.select(key, rows).collect()]
 
 
 def count_keys(df: DataFrame, key: str) -> DataFrame:
@@ -38,16 +37,17 @@ def count_keys(df: DataFrame, key: str) -> DataFrame:
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, key: str, how: str, spread_by: str, hot: DataFrame
+    left: DataFrame, right: DataFrame, key: str, how: str, spread_by: str, hot: HotKeys
 ) -> DataFrame:
-    """Join on ``key`` with hot keys of ``left`` spread by the column ``spread_by``.
+    """Join on ``key`` with the rows of hot keys of ``left`` spread by the column ``spread_by``.
 
     ``how`` is inner, left, left_semi or left_anti.
     """
-    hot = F.broadcast(hot)
-    salts = F.coalesce("salts", F.lit(1))
-    left = left.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64(spread_by), salts)).drop("salts")
-    right = right.join(hot, key, "left").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0).cast("bigint"), (salts - 1).cast("bigint")))
-    )
-    return left.join(right.drop("salts"), [key, "salt"], how).drop("salt")
+    if not hot:
+        return left.join(right, key, how)
+    listed = F.broadcast(left.sparkSession.createDataFrame(hot, f"{key} string, salts int"))
+    salts = F.coalesce("salts", F.lit(1)).cast("bigint")
+    spread = left.join(listed, key, "left").withColumn("salt", F.pmod(F.xxhash64(spread_by), salts)).drop("salts")
+    every_salt = F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))
+    repeated = right.join(listed, key, "left").withColumn("salt", every_salt).drop("salts")
+    return spread.join(repeated, [key, "salt"], how).drop("salt")

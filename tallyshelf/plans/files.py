@@ -15,8 +15,8 @@ from ..functions import base_name, date_path, join_path
 from ..operators.catalog import existing_path_column, timestamp_column
 from ..operators.dedup import survivors
 from ..operators.filters import filter_hidden, filter_images, filter_max_size, filter_ready, filter_supported, filter_temp
-from ..operators.naming import resolve_name_conflicts
-from ..operators.skew import HOT_ROWS, hot_keys, salted_join
+from ..operators.naming import assigned_names
+from ..operators.skew import HOT_ROWS, HotKeys, hot_keys, salted_join
 from ..schemas import (
     ALREADY_CATALOGUED,
     CATALOG_ACTION,
@@ -28,6 +28,7 @@ from ..schemas import (
     REPLACE_STALE,
     SKIP_DUPLICATE,
 )
+from ..session import settle
 
 PLAN_COLUMNS = [
     "path", "name", "extension", "file_size", "modified_at", "hash", "hash_type",
@@ -44,22 +45,24 @@ def content_verdicts(
     ``live_paths`` nor among ``files``. Without ``live_paths`` no record is. Only paths of
     matched records are looked up, by an inner join: while those are few they are what is
     sent around, and the listing of everything that is live stays where it is.
+
+    The result is a written table: the folding and matching behind it happen once.
     """
     records = catalog.select("hash", existing_path_column().alias("existing_path"))
     verdicts = survivors(files, carry).join(records, "hash", "left")
     new = F.col("existing_path").isNull()
     if live_paths is None:
-        return verdicts.withColumn("state", F.when(new, "NEW").otherwise("KNOWN"))
+        return settle(verdicts.withColumn("state", F.when(new, "NEW").otherwise("KNOWN")), "verdicts")
+    verdicts = settle(verdicts, "matches")
     seen = live_paths.select("path").unionByName(files.select("path"))
     looked_up = verdicts.where(~new).select("hash", F.col("existing_path").alias("path"))
     alive = looked_up.join(seen, "path").select("hash").distinct().withColumn("seen", F.lit(True))
     state = F.when(new, "NEW").when(F.col("seen"), "KNOWN").otherwise("STALE")
-    return verdicts.join(alive, "hash", "left").withColumn("state", state).drop("seen")
+    return settle(verdicts.join(alive, "hash", "left").withColumn("state", state).drop("seen"), "verdicts")
 
 
-def _planned(files: DataFrame, verdicts: DataFrame, action: Column, hot_rows: int) -> DataFrame:
+def _planned(files: DataFrame, verdicts: DataFrame, action: Column, hot: HotKeys) -> DataFrame:
     """Attach the verdict of its content to every file and name its action."""
-    hot = hot_keys(verdicts, "hash", hot_rows=hot_rows)
     verdict = verdicts.select("hash", "kept_path", "existing_path", "state", "kept_target")
     joined = salted_join(files, verdict, "hash", "left", "path", hot)
     kept = F.col("action").isin(MOVE, CATALOG_ACTION, REPLACE_STALE)
@@ -113,9 +116,10 @@ def plan_ingest(
         base_name("kept_path").alias("name"),
         join_path(F.lit(target_root.rstrip("/")), day).alias("target_dir"),
     )
-    named = resolve_name_conflicts(arriving, taken, key="hash").select(
-        "hash", F.when(F.col("final_name").isNotNull(), join_path("target_dir", "final_name")).alias("kept_target")
+    named = assigned_names(arriving, taken, key="hash").select(
+        "hash", join_path("target_dir", "final_name").alias("kept_target")
     )
+    hot = hot_keys(verdicts, "hash", hot_rows=hot_rows)
     verdicts = verdicts.join(named, "hash", "left")
 
     first = F.col("path") == F.col("kept_path")
@@ -127,7 +131,7 @@ def plan_ingest(
         .when(F.col("state") == "STALE", REPLACE_STALE)
         .otherwise(MOVE)
     )
-    return _planned(files, verdicts, action, hot_rows)
+    return _planned(files, verdicts, action, hot)
 
 
 def plan_scan(
@@ -144,7 +148,9 @@ def plan_scan(
     a record points to is never its own duplicate.
     """
     files = filter_supported(inventory, extensions) if extensions else filter_images(inventory)
-    verdicts = content_verdicts(files, catalog, live_paths).withColumn("kept_target", F.col("kept_path"))
+    verdicts = content_verdicts(files, catalog, live_paths)
+    hot = hot_keys(verdicts, "hash", hot_rows=hot_rows)
+    verdicts = verdicts.withColumn("kept_target", F.col("kept_path"))
     duplicate = DELETE_DUPLICATE if remove_duplicates else SKIP_DUPLICATE
     action = (
         F.when((F.col("state") == "KNOWN") & (F.col("path") == F.col("existing_path")), ALREADY_CATALOGUED)
@@ -152,4 +158,4 @@ def plan_scan(
         .when(F.col("state") == "STALE", REPLACE_STALE)
         .otherwise(CATALOG_ACTION)
     )
-    return _planned(files, verdicts, action, hot_rows)
+    return _planned(files, verdicts, action, hot)
