@@ -151,11 +151,11 @@ def classify_operations(lines: DataFrame, strict: bool = False, extra: bool = Fa
 def operation_names(samples: DataFrame) -> DataFrame:
     """Add the display name of the operation; an unknown one is its own name.
 
-    The dimension has a fixed number of rows, which is why it may be broadcast.
+    The names are few and fixed, so they are looked up in a literal map: no join, and the
+    order of a ranking stays as it is.
     """
-    names = samples.sparkSession.createDataFrame(list(OPERATION_NAMES.items()), "operation string, name string")
-    named = samples.join(F.broadcast(names), "operation", "left")
-    return named.withColumn("name", F.coalesce("name", "operation"))
+    names = F.create_map(*(F.lit(text) for pair in OPERATION_NAMES.items() for text in pair))
+    return samples.withColumn("name", F.coalesce(names[F.col("operation")], F.col("operation")))
 
 
 def queue_warnings(lines: DataFrame, line: str = "value") -> DataFrame:
