@@ -30,7 +30,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if few else df
 
 
-def with_content(plan: DataFrame, files: DataFrame) -> DataFrame:
+def with_content(plan: DataFrame, files: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Rows of kept files with their bytes.
 
     File contents are the bulk of the data. While the list of kept files is small enough to
@@ -38,7 +38,7 @@ def with_content(plan: DataFrame, files: DataFrame) -> DataFrame:
     read; beyond that both sides are shuffled by path. The plan should be a written table.
     """
     kept = plan.where(F.col("action").isin(MOVE, CATALOG_ACTION, REPLACE_STALE)).select("path", "target_path")
-    return files.select("path", "content").join(broadcast_if_small(kept), "path")
+    return files.select("path", "content").join(broadcast_if_small(kept, broadcast_rows), "path")
 
 
 def write_library(kept: DataFrame, root: str, date: str = "processed_at") -> None:
