@@ -247,7 +247,11 @@ def catalog_sql() -> dict[str, str]:
         INGEST,
     )
     out["ingest_stream"] = over(f"select {COLUMNS} from catalog union all select {COLUMNS} from added", STREAM_INGEST)
-    out["append_catalog"] = out["ingest_stream"]
+    for name in ("append_catalog", "scheduled_ingest", "micro_batch_flush"):
+        out[name] = out["ingest_stream"]
+    out["file_inventory"] = out["new_file_stream"] = """
+        select source, lang, '.txt' as extension, 'sha256' as hash_type, cast(sum(strlen(text) + 1) as bigint) as bytes
+        from documents group by source, lang"""
     out["read_catalog"] = over(f"select {COLUMNS} from catalog")
     out["write_library"] = over(
         "select target_path, hash, file_size, '2024' as year, '06' as month, '01' as day from plan"
@@ -366,6 +370,26 @@ def log_sql() -> dict[str, str]:
         "drop_vanished": bursts.format(delay="10 minutes") + " and last_op <> 'REMOVE'",
         "late_event_policy": bursts.format(delay="1 day"),
     }
+    out["recommendations"] = f"""
+        select 1 as section, cast(unnest(range(len(texts))) as int) as place, unnest(texts) as advice from (
+          select list_concat([printf('Optimise %s first: %.2f ms in total', name, total_ms)],
+            case when operation like '%directory_creation%' then ['Create directories in bulk to save system calls',
+                'Check the speed of the target disk and consider an SSD']
+              when operation like '%file_copy%' then ['Copy with a larger buffer',
+                'Consider parallel copies or asynchronous I/O', 'Check network bandwidth and disk throughput']
+              when operation like '%permission_copy%' then ['Set file permissions in bulk',
+                'Ask whether every permission has to be copied']
+              when operation like '%hash_calculation%' then ['Use a faster hash such as xxHash',
+                'Read with a larger buffer', 'Consider hashing in parallel'] else [] end) as texts
+          from (select *, {NAME} from totals order by totals.total_ms desc, operation limit 1))
+        union all select 2, cast(unnest(range(4)) as int), unnest(['Run more concurrent workers',
+          'Tune the database connection pool', 'Use faster storage such as NVMe SSDs',
+          'Tune the I/O scheduler of the operating system'])
+        union all select 3, cast(unnest(range(4)) as int), unnest(['Avoid needless file system calls',
+          'Memory-map large files', 'Retry failed work selectively', 'Cache repeated operations'])
+        union all select 4, cast(unnest(range(3)) as int), unnest(['Enlarge the processing queue',
+          'Let the queue grow on demand', 'Monitor the queue and raise alerts'])
+          where exists (select 1 from log where number = 18)"""
     return {name: over(sql) for name, sql in out.items()}
 
 

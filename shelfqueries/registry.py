@@ -182,15 +182,23 @@ def written_tree(spark: SparkSession, sf: str) -> str:
     return root
 
 
+def bytes_per_folder(inventory: DataFrame) -> DataFrame:
+    """Bytes below each source and language; how texts are spread over files is up to the writer."""
+    place = F.regexp_extract("path", "source=([^/]*)/lang=([^/]*)/", 1), F.regexp_extract("path", "lang=([^/]*)/", 1)
+    return inventory.groupBy(place[0].alias("source"), place[1].alias("lang"), "extension", "hash_type").agg(
+        F.sum("file_size").alias("bytes")
+    )
+
+
 def file_inventory(spark: SparkSession, sf: str) -> DataFrame:
-    return folder.file_inventory(spark, written_tree(spark, sf), extensions=["txt"])
+    return bytes_per_folder(folder.file_inventory(spark, written_tree(spark, sf), extensions=["TXT"]))
 
 
 def new_file_stream(spark: SparkSession, sf: str) -> DataFrame:
     out = scratch_path(spark, "stream")
     stream = folder.hashed(folder.new_file_stream(spark, written_tree(spark, sf), extensions=["txt"]))
     bursts.start_append(stream, out, scratch_path(spark, "progress")).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return bytes_per_folder(spark.read.schema(stream.schema).parquet(out))
 
 
 def quarantine_failures(spark: SparkSession, sf: str) -> DataFrame:

@@ -97,8 +97,8 @@ def replace_stale(catalog: DataFrame, replacements: DataFrame) -> DataFrame:
     return merge_catalog(delete_records(catalog, replacements.select("hash")), replacements)
 
 
-def assign_ids(new_rows: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
-    """Number new records in hash order, after the largest id of the catalog.
+def assign_ids(new_rows: DataFrame, after: DataFrame | int = 0) -> DataFrame:
+    """Number new records in hash order, after a given id or the largest id of a catalog.
 
     Hashes are unique here and evenly spread, so their leading hex digits cut the rows into
     65,536 even buckets. Each bucket is numbered on its own and shifted by the count of the
@@ -112,7 +112,7 @@ def assign_ids(new_rows: DataFrame, catalog: DataFrame | None = None) -> DataFra
         .agg(F.count("*").alias("n"))
         .select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     )
-    start = F.lit(0) if catalog is None else catalog.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    start = F.lit(after) if isinstance(after, int) else after.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     place = F.row_number().over(Window.partitionBy("bucket").orderBy("hash"))
     return (
         bucketed.withColumn("place", place)

@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import walk_key
+from ..functions import walk_key, walked_path
 from ..session import settle
 from .skew import HOT_ROWS, hot_keys, salted_join
 
@@ -16,10 +16,11 @@ def survivors(files: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     A plain aggregate: copies are folded on the map side, so a hash with very many copies
     sends one row per task over the network.
     """
-    first = F.min(F.struct(walk_key("path").alias("kept_path"), *carry))
-    return files.groupBy("hash").agg(first.alias("first"), F.count("*").alias("copies")).select(
-        "hash", F.array_join("first.kept_path", "/").alias("kept_path"), *(f"first.{c}" for c in carry), "copies"
-    )
+    key = walk_key("path")
+    first = F.min(F.struct(key.alias("key"), *carry) if carry else key)
+    folded = files.groupBy("hash").agg(first.alias("first"), F.count("*").alias("copies"))
+    path = walked_path("first.key" if carry else "first").alias("kept_path")
+    return folded.select("hash", path, *(f"first.{c}" for c in carry), "copies")
 
 
 def dedup_keep_first(files: DataFrame) -> DataFrame:

@@ -11,11 +11,11 @@ __all__ = ["apply_plan", "catalog_statistics", "compact_catalog", "new_records"]
 
 
 def new_records(
-    plan: DataFrame, catalog: DataFrame, mode: str = "ingest", processed_at: Column | str | None = None
+    plan: DataFrame, after: DataFrame | int, mode: str = "ingest", processed_at: Column | str | None = None
 ) -> DataFrame:
-    """Numbered records of the files a plan keeps."""
+    """Records of the files a plan keeps, numbered after an id or the largest one of a catalog."""
     kept = plan.where(F.col("action").isin(MOVE, CATALOG_ACTION, REPLACE_STALE))
-    return assign_ids(to_catalog_rows(kept, mode, processed_at), catalog)
+    return assign_ids(to_catalog_rows(kept, mode, processed_at), after)
 
 
 def apply_plan(

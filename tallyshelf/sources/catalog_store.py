@@ -50,9 +50,14 @@ def read_catalog(spark: SparkSession, root: str, version: int | None = None) ->
 
 
 def append_catalog(rows: DataFrame, root: str, batch: int) -> str:
-    """Add records as the segment of ``batch``. Repeating the call for a batch changes nothing."""
-    path = f"{root}/batch={batch}"
+    """Add records as the segment of ``batch``, and note its largest id.
+
+    Repeating the call for a batch changes nothing.
+    """
+    path = f"{root}/segments/batch={batch}"
     _write(_laid_out(rows), path, "overwrite")
+    written = rows.sparkSession.read.schema(CATALOG).parquet(path)
+    written.agg(F.max("id").alias("last_id")).write.mode("overwrite").parquet(f"{root}/ids/batch={batch}")
     return path
 
 
@@ -62,11 +67,17 @@ def init_segments(spark: SparkSession, root: str, catalog: DataFrame | None = No
 
 
 def read_segments(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
-    """All segments, or those of the batches before one; later folders are not even listed in the scan."""
-    rows = spark.read.schema(SEGMENTS).parquet(root)
+    """All segments, or those of the batches before one; the scan does not open the others."""
+    rows = spark.read.schema(SEGMENTS).parquet(f"{root}/segments")
     return (rows if before is None else rows.where(F.col("batch") < before)).drop("batch")
 
 
+def last_id(spark: SparkSession, root: str, before: int) -> int:
+    """Largest id of the batches before one, from the notes; no segment is read."""
+    notes = spark.read.schema("last_id bigint, batch bigint").parquet(f"{root}/ids")
+    return notes.where(F.col("batch") < before).agg(F.max("last_id")).first()[0] or 0
+
+
 def read_catalog_jdbc(
     spark: SparkSession, url: str, table: str, ids: tuple[int, int], partitions: int, **options: str
 ) -> DataFrame:

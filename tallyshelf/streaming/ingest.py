@@ -11,15 +11,25 @@ from ..plans.catalogs import new_records
 from ..plans.files import PLAN_COLUMNS
 from ..schemas import ERROR
 from ..session import settle
-from ..sources.catalog_store import append_catalog, read_segments
+from ..sources.catalog_store import append_catalog, last_id, read_segments
 
 FLUSH_INTERVAL = "2 seconds"
 FLUSH_FILES = 50
 SCHEDULE_INTERVAL = "30 seconds"
 
 
-def names_in_use(catalog: DataFrame) -> DataFrame:
-    """(target_dir, name) of every catalogued file."""
+LOOKUP_HASHES = 1000
+IN_LIST_PUSHDOWN = "spark.sql.parquet.pushdown.inFilterThreshold"
+
+
+def names_in_use(catalog: DataFrame, below: str | None = None) -> DataFrame:
+    """(target_dir, name) of every catalogued file, or of those below a folder.
+
+    The folder is tested on the stored columns, where Parquet statistics can skip whole files.
+    """
+    if below:
+        prefix = below.rstrip("/") + "/"
+        catalog = catalog.where(F.col("target_path").startswith(prefix) | F.col("source_path").startswith(prefix))
     path = existing_path_column()
     name = base_name(path)
     return catalog.select(
@@ -27,6 +37,17 @@ def names_in_use(catalog: DataFrame) -> DataFrame:
     )
 
 
+def records_of(files: DataFrame, catalog: DataFrame, max_hashes: int = LOOKUP_HASHES) -> DataFrame:
+    """Catalog records that can match the files.
+
+    For a small batch its hashes become a list in the scan's filter, and the Bloom filters
+    written with each segment rule out most of the catalog unread. A larger batch takes the
+    whole catalog into its join.
+    """
+    hashes = [r.hash for r in files.select("hash").distinct().limit(max_hashes + 1).collect()]
+    return catalog if len(hashes) > max_hashes else catalog.where(F.col("hash").isin(hashes))
+
+
 def ingest_batch(
     inventory: DataFrame, batch_id: int, catalog_root: str, plan_root: str, target_root: str, **options
 ) -> None:
@@ -36,14 +57,17 @@ def ingest_batch(
     same earlier segments and overwrites what it had written, so nothing is recorded twice.
     """
     spark = inventory.sparkSession
+    spark.conf.set(IN_LIST_PUSHDOWN, str(LOOKUP_HASHES))
     files = settle(inventory, "inventory")
     catalog = read_segments(spark, catalog_root, before=batch_id)
     processed_at = options.pop("processed_at", None)
-    plan = plan_ingest(files, catalog, target_root, processed_at, taken=names_in_use(catalog), **options)
+    taken = names_in_use(catalog, target_root)
+    plan = plan_ingest(files, records_of(files, catalog), target_root, processed_at, taken=taken, **options)
     plan_path = f"{plan_root}/batch={batch_id}"
     plan.write.mode("overwrite").parquet(plan_path)
     written = spark.read.schema(plan.schema).parquet(plan_path)
-    append_catalog(new_records(written, catalog, "ingest", processed_at), catalog_root, batch_id)
+    added = new_records(written, last_id(spark, catalog_root, batch_id), "ingest", processed_at)
+    append_catalog(added, catalog_root, batch_id)
 
 
 def ingest_stream(

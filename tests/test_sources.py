@@ -86,6 +86,7 @@ def test_segments(spark, tmp_path):
     assert column(catalog_store.read_segments(spark, root, before=1), "hash") == ["h0"]
     plan = catalog_store.read_segments(spark, root, before=1)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(batch" in plan
+    assert [catalog_store.last_id(spark, root, before) for before in (0, 1, 2)] == [0, 1, 2]
 
 
 def test_log_text(spark, tmp_path):

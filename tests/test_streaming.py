@@ -129,6 +129,25 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     assert spark.read.parquet(where[1]).count() == 3
 
 
+def test_small_batches_look_their_hashes_up(spark, tmp_path):
+    where = roots(spark, tmp_path, records(spark, [(1, "a", "/s/o.jpg", "/lib/o.jpg"), (2, "b", "/s/p.jpg", "")]))
+    spark.conf.set(ingest.IN_LIST_PUSHDOWN, str(ingest.LOOKUP_HASHES))
+    stored = catalog_store.read_segments(spark, where[0])
+    batch = inventory(spark, [(f"/s/{i}.jpg", f"{i:02d}") for i in range(30)] + [("/s/a.jpg", "a")])
+    few = ingest.records_of(batch, stored)
+    assert column(few, "id") == [1]
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "In(hash, [" in plan
+    assert column(ingest.records_of(batch, stored, max_hashes=5), "id") == [1, 2]
+
+
+def test_names_below_a_folder_are_pushed_down(spark, tmp_path):
+    where = roots(spark, tmp_path, records(spark, [(1, "a", "/s/x.jpg", "/lib/x.jpg"), (2, "b", "/lib/y.jpg", ""), (3, "c", "/s/z", "/libs/z")]))
+    found = ingest.names_in_use(catalog_store.read_segments(spark, where[0]), "/lib")
+    assert column(found, "name") == ["x.jpg", "y.jpg"]
+    assert "StringStartsWith(target_path,/lib/)" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stream_ends_like_the_batch_job(spark, tmp_path):
     where = roots(spark, tmp_path)
     feed(tmp_path, {f"{i}/{i % 4}.jpg": str(i % 7).encode() for i in range(20)})
