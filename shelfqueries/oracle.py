@@ -311,8 +311,8 @@ def function_sql() -> dict[str, str]:
             from events""",
         "hash_prefix": "select doc_id, concat(left(hash, 12), '...') as short, concat(left(hash, 16), '...') as longer, hash as whole from files",
         "duration_ms": "select event_id, round(time_ms, 6) as value from all_samples",
-        "size_mb": """select event_id, round(case event_type when 'click' then value / 1024 when 'view' then value
-            when 'error' then value / 1048576 when 'purchase' then value * 1024 else value * 1048576 end, 6) as value from events""",
+        "size_mb": """select event_id, case event_type when 'click' then value / 1024 when 'view' then value
+            when 'error' then value / 1048576 when 'purchase' then value * 1024 else value * 1048576 end as value from events""",
         "round_to_second": "select event_id, cast(round(value) as bigint) as value from events",
         "skipped_file_name": "select ts, concat('/src/', user_id, '.jpg') as value from log where number = 18",
         "parse_log_line": """select ts, level, if(number = 24, 'unknown', 'worker.go') as caller_file,
@@ -335,7 +335,7 @@ NAME = """case operation when 'file_copy_detail' then 'File copy details' when '
 
 def log_sql() -> dict[str, str]:
     """Log analytics and file events."""
-    sample = "operation, round(time_ms, 6) as time_ms, round(size_mb, 6) as size_mb, speed_mbps, filename"
+    sample = "operation, round(time_ms, 6) as time_ms, size_mb, speed_mbps, filename"
     total = "operation, round(total_ms, 3) as total_ms, round(avg_ms, 6) as avg_ms, count"
     latency = """operation, count(*) as count, round(avg(time_ms), 6) as avg_ms, round(median(time_ms), 6) as median_ms,
         round(min(time_ms), 6) as min_ms, round(max(time_ms), 6) as max_ms, round(stddev_samp(time_ms), 4) as stddev_ms"""

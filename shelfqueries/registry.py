@@ -277,7 +277,7 @@ def over_lines(operator: Callable[..., DataFrame], *columns: str | Column, **opt
 def samples(strict: bool = False, extra: bool = False) -> Query:
     def query(spark: SparkSession, sf: str) -> DataFrame:
         found = loglines.classify_operations(t.log_lines(spark, sf), strict, extra).drop("line")
-        return rounded(found, time_ms=6, size_mb=6)
+        return rounded(found, time_ms=6)
 
     return query
 
@@ -439,7 +439,7 @@ SCALARS: dict[str, Query] = {
         "doc_id", short=lambda: fn.hash_prefix("hash"), longer=lambda: fn.hash_prefix("hash", 16), whole=lambda: fn.hash_prefix("hash", 64)
     ),
     "duration_ms": of_table("events", "event_id", value=lambda: F.round(fn.duration_ms(t.duration_text()), 6)),
-    "size_mb": of_table("events", "event_id", value=lambda: F.round(fn.size_mb(t.size_text()), 6)),
+    "size_mb": of_table("events", "event_id", value=lambda: fn.size_mb(t.size_text())),
     "round_to_second": of_table("events", "event_id", value=lambda: fn.round_to_second("value")),
     "skipped_file_name": skipped_file_name,
     "parse_log_line": log_fields(

@@ -28,13 +28,19 @@ def is_temp(path: Column | str) -> Column:
 
 
 def filter_supported(files: DataFrame, extensions: Sequence[str] = DEFAULT_EXTENSIONS, path: str = "path") -> DataFrame:
-    """Files whose extension is listed, in any case; an empty list means the default one."""
-    return files.where(is_supported(path, extensions or DEFAULT_EXTENSIONS))
+    """Files whose extension is listed, in any case; an empty list means the default one.
+
+    An inventory's own ``extension`` column is used if there is one, as that test reaches the scan.
+    """
+    extensions = extensions or DEFAULT_EXTENSIONS
+    if "extension" in files.columns:
+        return files.where(F.col("extension").isin(clean_extensions(extensions)))
+    return files.where(is_supported(path, extensions))
 
 
 def filter_images(files: DataFrame, path: str = "path") -> DataFrame:
     """Files with one of the fixed image and RAW extensions."""
-    return files.where(is_supported(path, IMAGE_EXTENSIONS))
+    return filter_supported(files, IMAGE_EXTENSIONS, path)
 
 
 def filter_max_size(files: DataFrame, max_size: int = MAX_FILE_SIZE, size: str = "file_size") -> DataFrame:

@@ -170,7 +170,8 @@ def exact_median(samples: DataFrame, group: str, value: str) -> DataFrame:
 
     Equal values are counted first. A histogram with steps of under a tenth of a percent then
     tells which step holds the middle; its size is fixed by the range of the numbers, not by
-    their amount. Only the values inside that step are put in order.
+    their amount. Only the values inside that step are put in order. Groups are meant to be
+    few, as operations are: at most two histogram rows of each are broadcast.
     """
     counts = samples.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count("*").alias("n"))
     step = F.when(F.col("v") > 0, F.floor(F.log2("v") * STEPS_PER_DOUBLING)).otherwise(F.lit(-(1 << 40)))
@@ -188,7 +189,7 @@ def exact_median(samples: DataFrame, group: str, value: str) -> DataFrame:
     )
     running = Window.partitionBy(group, "step").orderBy("v")
     placed = (
-        counts.join(middle, [group, "step"])
+        counts.join(F.broadcast(middle), [group, "step"])
         .withColumn("last", F.col("before") + F.sum("n").over(running))
         .withColumn("first", F.col("last") - F.col("n") + 1)
     )

@@ -25,7 +25,7 @@ WRITTEN = [
     ("hash_calculation_total", "⏱️ 哈希计算总耗时: 5ms", 5.0, None, None, None),
     ("hash_calculation", "⏱️ 哈希计算耗时: 6.5ms (文件大小: 1.0 MB)", 6.5, None, None, None),
     ("database_insert", "⏱️ 数据库插入耗时: 7ms", 7.0, None, None, None),
-    ("database_query", "⏱️ 数据库查询耗时 (FileExistsWithDetails): 8ms", 8.0, None, None, None),
+    ("database_query", "⏱️ 数据库查询耗时 (by hash): 8ms", 8.0, None, None, None),
     ("file_move_total", "⏱️ 文件移动总耗时: 9ms -> a b.jpg", 9.0, None, None, "a b.jpg"),
     ("file_move", "⏱️ 文件移动耗时: 10ms (文件大小: 1024.0 KB)", 10.0, 1.0, None, None),
     ("directory_creation", "⏱️ 目录创建耗时: 11ms", 11.0, None, None, None),
@@ -68,7 +68,7 @@ def test_a_line_may_report_several_operations(spark):
 
 def test_extra_operations(spark):
     texts = [
-        stamped("⏱️ 删除重复文件耗时: 1ms"), stamped("⚠️ 数据库查询耗时较长 (FileExistsWithDetails): 150ms", "WARN"),
+        stamped("⏱️ 删除重复文件耗时: 1ms"), stamped("⚠️ 数据库查询耗时较长 (by hash): 150ms", "WARN"),
         stamped("⚠️ 批量数据库插入耗时较长: 2s (记录数: 50)", "WARN"), stamped("✅ 批量数据库插入完成: 20ms (记录数: 50)", "INFO"),
         stamped("⏱️ 打开源文件耗时: 3ms"), stamped("⏱️ 创建目标文件耗时: 4ms"),
         stamped("⏱️ 文件复制完成: 耗时=1ms, 大小=1.0 MB, 速度=5.00 MB/s"), stamped("⏱️ 数据库查询耗时 (x): 101ms"),
