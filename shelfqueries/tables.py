@@ -10,12 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyshelf.functions import file_extension, sha256_hex
-from tallyshelf.operators.catalog import existing_path_column
+from tallyshelf.operators.catalog import existing_path_column, names_in_use
 from tallyshelf.operators.loglines import EXTRA_OPERATIONS, OPERATIONS
 from tallyshelf.schemas import CATALOG
 from tallyshelf.session import scratch_path, settle
 from tallyshelf.sources.logs import read_log
-from tallyshelf.streaming.ingest import names_in_use
 
 PROCESSED_AT = "2024-06-01 12:00:00"
 LIBRARY = "/library"

@@ -58,6 +58,24 @@ def existing_path(catalog: DataFrame) -> DataFrame:
     return catalog.withColumn("existing_path", existing_path_column())
 
 
+def path_names(paths: DataFrame, path: Column | str = "path") -> DataFrame:
+    """(target_dir, name) of every path."""
+    path = F.col(path) if isinstance(path, str) else path
+    name = base_name(path)
+    return paths.select(F.left(path, F.length(path) - F.length(name) - 1).alias("target_dir"), name.alias("name"))
+
+
+def names_in_use(catalog: DataFrame, below: str | None = None) -> DataFrame:
+    """(target_dir, name) of every catalogued file, or of those below a folder.
+
+    The folder is tested on the stored columns, where Parquet statistics can skip whole files.
+    """
+    if below:
+        prefix = below.rstrip("/") + "/"
+        catalog = catalog.where(F.col("target_path").startswith(prefix) | F.col("source_path").startswith(prefix))
+    return path_names(catalog, existing_path_column())
+
+
 def files_by_extension(catalog: DataFrame, extension: str, limit: int) -> DataFrame:
     """Newest records of one extension; the top ``limit`` is kept per task, then merged."""
     return catalog.where(F.col("extension") == extension).orderBy(F.desc("processed_at"), "id").limit(limit)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import base_name, date_path, join_path
-from ..operators.catalog import existing_path_column, timestamp_column
+from ..operators.catalog import existing_path_column, names_in_use, path_names, timestamp_column
 from ..operators.dedup import survivors
 from ..operators.filters import filter_hidden, filter_images, filter_max_size, filter_ready, filter_supported, filter_temp
 from ..operators.naming import assigned_names
@@ -49,7 +49,7 @@ def content_verdicts(
     The result is a written table: the folding and matching behind it happen once.
     """
     records = catalog.select("hash", existing_path_column().alias("existing_path"))
-    verdicts = survivors(files, carry).join(records, "hash", "left")
+    verdicts = survivors(files.where("hash is not null"), carry).join(records, "hash", "left")
     new = F.col("existing_path").isNull()
     if live_paths is None:
         return settle(verdicts.withColumn("state", F.when(new, "NEW").otherwise("KNOWN")), "verdicts")
@@ -99,9 +99,10 @@ def plan_ingest(
 
     ``catalog`` has one record per hash. ``live_paths`` lists every file that exists where
     catalog paths point; without it no record counts as stale. ``taken`` lists the
-    (target_dir, name) pairs in use. Files are dated by ``processed_at``, or by the inventory
-    column ``date_col``. A file for which no name is left is an ERROR, and so are its copies:
-    none of them may be deleted while the content is stored nowhere.
+    (target_dir, name) pairs in use; by default they are those of ``live_paths``, or without
+    it those of the catalog. Files are dated by ``processed_at``, or by the inventory column
+    ``date_col``. A file for which no name is left is an ERROR, and so are its copies: none of
+    them may be deleted while the content is stored nowhere. So is a file without a hash.
     """
     files = filter_max_size(filter_supported(inventory, extensions), max_size)
     files = filter_hidden(files) if skip_hidden else files
@@ -116,6 +117,8 @@ def plan_ingest(
         base_name("kept_path").alias("name"),
         join_path(F.lit(target_root.rstrip("/")), day).alias("target_dir"),
     )
+    if taken is None:
+        taken = names_in_use(catalog, target_root) if live_paths is None else path_names(live_paths)
     named = assigned_names(arriving, taken, key="hash").select(
         "hash", join_path("target_dir", "final_name").alias("kept_target")
     )
@@ -153,7 +156,8 @@ def plan_scan(
     verdicts = verdicts.withColumn("kept_target", F.col("kept_path"))
     duplicate = DELETE_DUPLICATE if remove_duplicates else SKIP_DUPLICATE
     action = (
-        F.when((F.col("state") == "KNOWN") & (F.col("path") == F.col("existing_path")), ALREADY_CATALOGUED)
+        F.when(F.col("state").isNull(), ERROR)
+        .when((F.col("state") == "KNOWN") & (F.col("path") == F.col("existing_path")), ALREADY_CATALOGUED)
         .when((F.col("state") == "KNOWN") | (F.col("path") != F.col("kept_path")), duplicate)
         .when(F.col("state") == "STALE", REPLACE_STALE)
         .otherwise(CATALOG_ACTION)

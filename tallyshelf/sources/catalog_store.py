@@ -6,6 +6,7 @@ what is being read. A streaming job adds segments instead, one per micro-batch;
 batch overwrites its own segment and nothing else.
 """
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,17 +30,27 @@ def _write(rows: DataFrame, path: str, mode: str) -> None:
 
 
 def write_snapshot(catalog: DataFrame, root: str, version: int) -> str:
-    """Write a whole catalog as snapshot ``version`` and announce it."""
+    """Write a whole catalog as snapshot ``version`` and announce it.
+
+    What a writer that died has left of this version is replaced; an announced version is not.
+    """
     spark = catalog.sparkSession
+    if version <= latest_version(spark, root):
+        raise ValueError(f"snapshot {version} of {root} is not newer than the latest one")
     path = f"{root}/v={version}"
-    _write(_laid_out(catalog), path, "error")
+    _write(_laid_out(catalog), path, "overwrite")
     spark.range(version, version + 1).coalesce(1).write.parquet(f"{root}/commits/v={version}")
     return path
 
 
 def latest_version(spark: SparkSession, root: str) -> int:
-    """Number of the newest announced snapshot."""
-    commits = spark.read.schema("id bigint").option("recursiveFileLookup", "true").parquet(f"{root}/commits")
+    """Number of the newest announced snapshot, -1 if there is none."""
+    try:
+        commits = spark.read.schema("id bigint").option("recursiveFileLookup", "true").parquet(f"{root}/commits")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return -1
+        raise
     return commits.agg(F.max("id")).first()[0]
 
 

@@ -4,8 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import base_name
-from ..operators.catalog import existing_path_column
+from ..operators.catalog import names_in_use
 from ..plans import plan_ingest
 from ..plans.catalogs import new_records
 from ..plans.files import PLAN_COLUMNS
@@ -22,21 +21,6 @@ LOOKUP_HASHES = 1000
 IN_LIST_PUSHDOWN = "spark.sql.parquet.pushdown.inFilterThreshold"
 
 
-def names_in_use(catalog: DataFrame, below: str | None = None) -> DataFrame:
-    """(target_dir, name) of every catalogued file, or of those below a folder.
-
-    The folder is tested on the stored columns, where Parquet statistics can skip whole files.
-    """
-    if below:
-        prefix = below.rstrip("/") + "/"
-        catalog = catalog.where(F.col("target_path").startswith(prefix) | F.col("source_path").startswith(prefix))
-    path = existing_path_column()
-    name = base_name(path)
-    return catalog.select(
-        F.left(path, F.length(path) - F.length(name) - 1).alias("target_dir"), name.alias("name")
-    )
-
-
 def records_of(files: DataFrame, catalog: DataFrame, max_hashes: int = LOOKUP_HASHES) -> DataFrame:
     """Catalog records that can match the files.
 

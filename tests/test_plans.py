@@ -4,10 +4,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tallyshelf.operators.catalog import names_in_use
 from tallyshelf.plans import apply_plan, compact_catalog, plan_ingest, plan_scan
 from tallyshelf.plans.catalogs import new_records
 from tallyshelf.session import settle
-from tallyshelf.streaming.ingest import names_in_use
 
 from .test_operators import column, inventory, records
 
@@ -73,6 +73,23 @@ def test_copies_of_a_file_without_name_are_kept(spark):
     assert Counter(a for a, _, _ in found.values()) == {"MOVE": 1000, "ERROR": 2}
 
 
+def test_names_of_the_catalog_or_of_live_files_are_avoided(spark):
+    files = inventory(spark, [("/s/a.jpg", "1"), ("/s/b.jpg", "2")])
+    store = records(spark, [(1, "x", "/o", f"{DAY}/a.jpg"), (2, "y", "/o", f"{DAY}/b.jpg")])
+    found = actions(plan_ingest(files, store, "/lib", NOW))
+    assert sorted(t for _, _, t in found.values()) == [f"{DAY}/a_1.jpg", f"{DAY}/b_1.jpg"]
+    found = actions(plan_ingest(files, store, "/lib", NOW, live_paths=paths(spark, [f"{DAY}/a.jpg"])))
+    assert found["/s/a.jpg"][2] == f"{DAY}/a_1.jpg" and found["/s/b.jpg"][2] == f"{DAY}/b.jpg"
+
+
+def test_files_without_hash_are_errors(spark):
+    files = inventory(spark, [("/s/a.jpg", None), ("/s/b.jpg", None), ("/s/c.jpg", "c")])
+    none = records(spark, [])
+    for plan in (plan_ingest(files, none, "/lib", NOW), plan_scan(files, none, True)):
+        found = {p: a for p, (a, _, _) in actions(plan).items()}
+        assert found["/s/a.jpg"] == found["/s/b.jpg"] == "ERROR" and found["/s/c.jpg"] in ("MOVE", "CATALOG")
+
+
 def test_scan_actions(spark):
     files = inventory(
         spark,

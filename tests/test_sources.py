@@ -69,11 +69,14 @@ def test_snapshots(spark, tmp_path):
     catalog_store.write_snapshot(records(spark, [(1, "a", "/s", "/t"), (2, "b", "/s", None)]), root, 2)
     assert column(catalog_store.read_catalog(spark, root), "id") == [1, 2]
     assert column(catalog_store.read_catalog(spark, root, 1), "id") == [1]
-    # A snapshot nobody announced is not seen.
+    # A snapshot nobody announced is not seen, and does not stand in the way of the next writer.
     records(spark, [(9, "z", "/s", "/t")]).write.parquet(f"{root}/v=3")
     assert catalog_store.latest_version(spark, root) == 2
-    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+    catalog_store.write_snapshot(records(spark, [(3, "c", "/s", "/t")]), root, 3)
+    assert column(catalog_store.read_catalog(spark, root), "id") == [3]
+    with pytest.raises(ValueError, match="not newer"):
         catalog_store.write_snapshot(records(spark, []), root, 2)
+    assert catalog_store.latest_version(spark, str(tmp_path / "none")) == -1
 
 
 def test_segments(spark, tmp_path):

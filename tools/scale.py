@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from shelfqueries import tables as t  # noqa: E402
+from tallyshelf.operators.catalog import names_in_use  # noqa: E402
 from tallyshelf.operators.dedup import duplicate_groups  # noqa: E402
 from tallyshelf.operators.matching import known_files  # noqa: E402
 from tallyshelf.plans import apply_plan, plan_ingest  # noqa: E402
