@@ -14,20 +14,28 @@ SKIPPED_FILE = "跳过文件: "
 MARK = "\x01"
 
 
+def log_line_parts(line: Column | str) -> Column:
+    """Array of the five parts of a log line, by one pass of one pattern; one element for other text."""
+    text = F.translate(col(line), MARK, "")
+    return F.split(F.regexp_replace(text, LOG_LINE, MARK.join(f"${n}" for n in range(1, 6))), MARK)
+
+
+def log_line_fields(parts: Column | str) -> list[Column]:
+    """ts, level, caller_file, caller_line and message, from the parts of a line."""
+    parts = col(parts)
+    return [
+        F.try_to_timestamp(F.get(parts, F.lit(0)), F.lit(LOG_TIME)).cast("timestamp_ntz").alias("ts"),
+        F.get(parts, F.lit(1)).alias("level"),
+        F.get(parts, F.lit(2)).alias("caller_file"),
+        F.get(parts, F.lit(3)).try_cast("int").alias("caller_line"),
+        F.get(parts, F.lit(4)).alias("message"),
+    ]
+
+
 def parse_log_line(line: Column | str) -> Column:
     """Struct of ts, level, caller_file, caller_line and message; null if the line has another layout."""
-    line = col(line)
-    parts = F.split(F.regexp_replace(line, LOG_LINE, MARK.join(f"${n}" for n in range(1, 6))), MARK, 5)
-    return F.when(
-        line.rlike(LOG_LINE),
-        F.struct(
-            F.try_to_timestamp(parts[0], F.lit(LOG_TIME)).cast("timestamp_ntz").alias("ts"),
-            parts[1].alias("level"),
-            parts[2].alias("caller_file"),
-            parts[3].try_cast("int").alias("caller_line"),
-            parts[4].alias("message"),
-        ),
-    )
+    parts = log_line_parts(line)
+    return F.when(F.size(parts) == 5, F.struct(*log_line_fields(parts)))
 
 
 def log_level_rank(level: Column | str) -> Column:

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import duration_ms, parse_log_line, size_mb, skipped_file_name
+from ..functions.logtext import MARK, log_line_fields, log_line_parts
 from ..schemas import SLOW_LIMITS_MS
 from .stats import top_bottleneck
 
@@ -72,7 +73,6 @@ OPERATION_NAMES = {
 
 
 FIELDS = ["time", "size", "speed", "file"]
-MARK = "\x01"
 
 
 def _escape(text: str) -> str:
@@ -112,9 +112,13 @@ def _hit(operation: str, template: str, strict: bool) -> Column:
 
 
 def log_events(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Lines in the log layout as ts, level, caller_file, caller_line, message and the line itself."""
-    parsed = lines.select(parse_log_line(line).alias("event"), F.col(line).alias("line"))
-    return parsed.where("event is not null").select("event.*", "line")
+    """Lines in the log layout as ts, level, caller_file, caller_line, message and the line itself.
+
+    The parts are generated as rows of their own, so that they are taken from a line once and
+    not again by the filter.
+    """
+    split = lines.select(F.col(line).alias("line"), F.explode(F.array(log_line_parts(line))).alias("parts"))
+    return split.where(F.size("parts") == 5).select(*log_line_fields("parts"), "line")
 
 
 def classify_operations(lines: DataFrame, strict: bool = False, extra: bool = False, line: str = "value") -> DataFrame:
@@ -136,14 +140,14 @@ def classify_operations(lines: DataFrame, strict: bool = False, extra: bool = Fa
     values = matched.select("line", F.split("hit", MARK).alias("v"))
 
     def value(field: str) -> Column:
-        return F.nullif(F.col("v")[1 + FIELDS.index(field)], F.lit(""))
+        return F.col("v")[1 + FIELDS.index(field)]
 
     return values.select(
         F.col("v")[0].alias("operation"),
-        duration_ms(value("time"), strict).alias("time_ms"),
+        duration_ms(value("time")).alias("time_ms"),
         size_mb(value("size")).alias("size_mb"),
-        value("speed").try_cast("double").alias("speed_mbps"),
-        value("file").alias("filename"),
+        F.nullif(value("speed"), F.lit("")).try_cast("double").alias("speed_mbps"),
+        F.nullif(value("file"), F.lit("")).alias("filename"),
         "line",
     )
 
