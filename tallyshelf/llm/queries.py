@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    linked = simhash.near_duplicates(table(spark, sf, "documents"))
+    return linked.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
 def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
     coded = bpe.encode(table(spark, sf, "documents"), RANKS, public_tokenizers.PATTERN)
     return coded.select(
@@ -27,7 +32,7 @@ def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op10_bpe": op10_bpe}
+    return {"op8_simhash": op8_simhash, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
