@@ -3,12 +3,13 @@
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash
+from . import bpe, language, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -16,6 +17,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def held_out() -> Column:
+    """Documents no classifier learns from."""
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+
+
+def op6_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = language.train(docs, PIECES, ~held_out())
+    return language.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
     linked = simhash.near_duplicates(table(spark, sf, "documents"))
     return linked.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
@@ -32,7 +44,7 @@ def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op8_simhash": op8_simhash, "op10_bpe": op10_bpe}
+    return {"op6_language": op6_language, "op8_simhash": op8_simhash, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,0 +1,95 @@
+"""Language identification: the sum over segmentations, training, and awkward rows."""
+
+import math
+from functools import lru_cache
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallyshelf.llm import language, queries
+
+from .helpers import clashing, documents
+
+SF = "/root/testdata/sf0.01"
+
+
+def all_segmentations(word, probability, least):
+    """The sum over all ways to cut a word, by plain recursion."""
+    text = language.BEGIN + word
+
+    @lru_cache(None)
+    def total(at):
+        if at == len(text):
+            return 1.0
+        out = 0.0
+        for to in range(at + 1, len(text) + 1):
+            piece = text[at:to]
+            p = probability.get(piece, least if len(piece) == 1 else 0.0)
+            out += p * total(to) if p else 0.0
+        return out
+
+    return total(0)
+
+
+def test_word_scores_sum_all_segmentations():
+    names = [language.BEGIN, "a", "b", "ab", "ba", "aba", language.BEGIN + "ab", "c" * 8]
+    pieces = language.Pieces(names)
+    rng = np.random.default_rng(1)
+    uses = np.vstack([rng.random((len(names), 2)), np.zeros((2, 2))])
+    weights = language.normalised(uses, len(names))
+    words = ["a", "ab", "abab", "c" * 20, "x", "axb", "ab" * 30, "abcabca" * 7, "é"]
+    found = language.word_scores(words, pieces, weights)
+    for k, word in enumerate(words):
+        for lang in range(2):
+            probability = dict(zip(names, weights[:, lang]))
+            assert found[k, lang] == pytest.approx(math.log(all_segmentations(word, probability, language.FLOOR)), rel=1e-9)
+
+
+def test_very_long_word_keeps_its_scale():
+    pieces = language.Pieces(["a"])
+    weights = language.normalised(np.array([[0.5], [0.0], [0.0]]), 1)
+    found = language.word_scores(["z" * 5000], pieces, weights)
+    assert found[0, 0] == pytest.approx(5001 * math.log(language.FLOOR))
+
+
+def test_expected_uses_equal_enumeration():
+    names = [language.BEGIN, "a", "b", "ab"]
+    pieces = language.Pieces(names)
+    weights = language.normalised(np.array([[1.0], [2.0], [3.0], [4.0], [0], [0]]), 4)
+    p = dict(zip(names, weights[:, 0]))
+    uses = language.expected_uses(["ab"], np.array([[5.0]]), pieces, weights)
+    apart, whole = p["a"] * p["b"], p["ab"]
+    assert uses[:4, 0] == pytest.approx([5, 5 * apart / (apart + whole), 5 * apart / (apart + whole), 5 * whole / (apart + whole)])
+
+
+def test_held_out_accuracy(spark):
+    found = queries.op6_language(spark, SF)
+    lang = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
+    held = found.where("held_out").join(lang, "doc_id")
+    right, n = held.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert n > 150 and right > 0.97
+    assert found.count() == lang.count()
+    assert found.where("score < 0 or score > 1 or lang_pred is null").isEmpty()
+
+
+def test_awkward_rows(spark):
+    taught = [(i, "the cat and the dog " * 5, "en") for i in range(20)] + [(100 + i, "le chat et le chien " * 5, "fr") for i in range(20)]
+    odd = [(500, None, "en"), (501, "", "en"), (502, "123 !?", None), (503, "chat", None), (503, "chat", None), (None, "dog", "fr")]
+    odd += [(504, "the dog " * 60_000, "en"), (505, "Ж" * 3000, None)]
+    docs = clashing(documents(spark, taught + odd))
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") < 200, F.col("lang")))
+    model = language.train(docs, queries.PIECES, F.col("doc_id").isNotNull())
+    assert model.languages == ["en", "fr"]
+    got = [(r.doc_id, r.lang_pred) for r in language.identify(docs, model).where("doc_id >= 500 or doc_id is null").collect()]
+    assert sorted(got, key=repr) == sorted(
+        [(500, "und"), (501, "und"), (502, "und"), (503, "fr"), (503, "fr"), (None, "en"), (504, "en"), (505, got[-1][1])], key=repr
+    )
+
+
+def test_without_labels_or_rows(spark):
+    docs = documents(spark, [(1, "words", "en"), (2, None, "en")])
+    model = language.train(docs, queries.PIECES, F.lit(False))
+    assert [(r.lang_pred, r.score) for r in language.identify(docs, model).collect()] == [("und", 0.0)] * 2
+    empty = documents(spark, [])
+    assert language.identify(empty, language.train(empty, queries.PIECES, F.lit(True))).count() == 0
