@@ -135,3 +135,32 @@ def window_hashes(units: np.ndarray, length: int) -> np.ndarray:
             return out[:n]
         power = join_hashes(power[:-size], power[size:])
         size *= 2
+
+
+class Joined(NamedTuple):
+    """Words joined by one space: the k-th begins at begins[k], text j is data[offsets[j]:offsets[j + 1]]."""
+
+    data: np.ndarray
+    begins: np.ndarray
+    offsets: np.ndarray
+
+    def strings(self) -> pa.Array:
+        parts = [None, pa.py_buffer(self.offsets.astype(np.int64).tobytes()), pa.py_buffer(self.data.tobytes())]
+        return pa.Array.from_buffers(pa.large_string(), len(self.offsets) - 1, parts).cast(pa.string())
+
+
+def join_words(words: Words, keep: np.ndarray | None = None) -> Joined:
+    """The words of each text, or those of them that ``keep`` marks, joined by one space."""
+    starts, ends, first = words.starts, words.ends, words.first
+    if keep is not None:
+        starts, ends = starts[keep], ends[keep]
+        first = np.concatenate([[0], np.cumsum(keep)])[first]
+    lengths = ends - starts + 1
+    last = first[1:][np.diff(first) > 0] - 1
+    lengths[last] -= 1  # no space after the last word
+    to = np.concatenate([[0], np.cumsum(lengths)])
+    data = np.full(int(to[-1]), 0x20, np.uint8)
+    place = np.arange(len(data)) - np.repeat(to[:-1], lengths)
+    inside = place < np.repeat(ends - starts, lengths)
+    data[inside] = words.data[(np.repeat(starts, lengths) + place)[inside]]
+    return Joined(data, to[:-1], to[first])

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, simhash
+from . import bpe, language, simhash, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    done = substring_dedup.remove_repeats(table(spark, sf, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def held_out() -> Column:
     """Documents no classifier learns from."""
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -44,7 +49,7 @@ def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op6_language": op6_language, "op8_simhash": op8_simhash, "op10_bpe": op10_bpe}
+    return {"op1_substring_dedup": op1_substring_dedup, "op6_language": op6_language, "op8_simhash": op8_simhash, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:

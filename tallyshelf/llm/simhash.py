@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tallyshelf.session import settle
 
 from ._frames import id_type, small_batches
-from ._text import SPACED, Words, chunks, find_words
+from ._text import SPACED, Words, chunks, find_words, join_words
 from .components import components
 from .xxh64 import xxh64
 
@@ -47,18 +47,13 @@ def shingle_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
     Repeats are included; a text of fewer words is one shingle, one without words has none.
     """
-    data, starts, ends, first = words
-    lengths = ends - starts + 1  # with a space after each word
-    begins = np.cumsum(lengths) - lengths
-    joined = np.full(int(lengths.sum()), 0x20, np.uint8)
-    place = np.arange(len(joined)) - np.repeat(begins, lengths)
-    inside = place < np.repeat(lengths - 1, lengths)
-    joined[inside] = data[(np.repeat(starts, lengths) + place)[inside]]
+    joined, begins, _ = join_words(words)
+    lengths, first = words.ends - words.starts, words.first
     counts = words.counts()
     made = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
     one = np.repeat(first[:-1], made) + np.arange(int(made.sum())) - np.repeat(np.cumsum(made) - made, made)
     last = np.minimum(one + size, np.repeat(first[1:], made)) - 1
-    return xxh64(joined, begins[one], begins[last] + lengths[last] - 1, SEED), made
+    return xxh64(joined, begins[one], begins[last] + lengths[last], SEED), made
 
 
 def fingerprints(words: Words, size: int) -> np.ndarray:
