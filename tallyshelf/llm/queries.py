@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, simhash, substring_dedup
+from . import bpe, language, simhash, substring_dedup, topk, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -22,6 +22,24 @@ def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Rules on hosts and beginnings of paths.
+RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
+def op5_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    listed = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return urls.judge(table(spark, sf, "pages"), listed)
+
+
+def op7_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def held_out() -> Column:
     """Documents no classifier learns from."""
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -49,8 +67,46 @@ def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op6_language": op6_language, "op8_simhash": op8_simhash, "op10_bpe": op10_bpe}
+    named = (op1_substring_dedup, op5_url_filter, op6_language, op7_topk, op8_simhash, op10_bpe)
+    return {query.__name__: query for query in named}
+
+
+def _fits(host: str, path: str) -> str:
+    return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+
+
+def _by_rule(value: Callable[[tuple], str]) -> str:
+    ordered = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
+    return "CASE " + " ".join(f"WHEN {_fits(r[0], r[1])} THEN '{value(r)}'" for r in ordered)
+
+
+URLS = f"""
+WITH parts AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{urls.UPPER}', '{urls.LOWER}') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+)
+SELECT page_id, host, path, {_by_rule(lambda r: r[0] + r[1])} END AS rule,
+  {_by_rule(lambda r: r[2])} ELSE 'allow' END AS verdict
+FROM parts
+"""
+
+TOP_K = """
+WITH kept AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM kept q JOIN kept c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_url_filter": URLS, "op7_topk": TOP_K}
