@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, simhash, substring_dedup, topk, urls
+from . import ann, bpe, language, simhash, substring_dedup, topk, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -56,6 +56,10 @@ def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return linked.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op9_ann(spark: SparkSession, sf: str) -> DataFrame:
+    return ann.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
     coded = bpe.encode(table(spark, sf, "documents"), RANKS, public_tokenizers.PATTERN)
     return coded.select(
@@ -67,7 +71,7 @@ def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = (op1_substring_dedup, op5_url_filter, op6_language, op7_topk, op8_simhash, op10_bpe)
+    named = (op1_substring_dedup, op5_url_filter, op6_language, op7_topk, op8_simhash, op9_ann, op10_bpe)
     return {query.__name__: query for query in named}
 
 

@@ -16,7 +16,6 @@ Repeated candidates each count. Other columns are not looked at.
 """
 
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._frames import partitions, small_batches
-from ._vectors import PACKED, Block, TopLists, best_of_tile, ids_array, pack
+from ._vectors import PACKED, Block, TopLists, best_of_tile, hash_of, ids_array, pack
 
 #: Vectors of a shard and queries of a block.
 SHARD, QUERIES = 4096, 256
@@ -43,11 +42,6 @@ def products(queries: np.ndarray, shard: np.ndarray, scale: float) -> np.ndarray
     return np.clip(exact, -(2**63) + 1, 2**63 - 1).astype(np.int64)
 
 
-def hash_of(value: bytes) -> int:
-    """Tells apart queries that share an id."""
-    return int.from_bytes(blake2b(value, digest_size=8).digest(), "little", signed=True)
-
-
 def top_k(
     vectors: DataFrame,
     is_query: Column,
