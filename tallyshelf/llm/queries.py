@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, language, licenses, simhash, substring_dedup, topk, urls
+from . import ann, bpe, language, licenses, pii, simhash, substring_dedup, topk, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -22,6 +22,21 @@ def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_pii(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = pii.find_spans(docs, pii.train(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(base) - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.places(base).cast("binary"), 256).alias("base_sha256"),
+        pii.places(F.col("spans")).alias("spans"),
+        (F.size("spans") - F.size(base)).cast("bigint").alias("n_added"),
+    )
+
+
 def op4_licenses(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan(table(spark, sf, "documents")).drop("blocks")
 
@@ -75,7 +90,7 @@ def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = (op1_substring_dedup, op4_licenses, op5_url_filter, op6_language, op7_topk, op8_simhash, op9_ann, op10_bpe)
+    named = (op1_substring_dedup, op3_pii, op4_licenses, op5_url_filter, op6_language, op7_topk, op8_simhash, op9_ann, op10_bpe)
     return {query.__name__: query for query in named}
 
 
