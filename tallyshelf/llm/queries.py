@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, language, licenses, pii, simhash, substring_dedup, topk, urls
+from . import ann, bpe, language, licenses, mixing, pii, simhash, substring_dedup, topk, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -22,6 +22,21 @@ def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Domains of documents by their labels, and the share of tokens each is to have.
+WEIGHTS = {"good": 0.9, "low": 0.08, "toxic": 0.02}
+
+
+def domain_of_labels() -> Column:
+    return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "low")
+
+
+def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf, "documents"), table(spark, sf, "labels"), WEIGHTS, domain_of_labels())
+    shares = [F.round(F.element_at("posterior", k), 6).alias(f"p_{d}") for k, d in enumerate(WEIGHTS, 1)]
+    rate = F.round("rate", 6)
+    return mixed.select("doc_id", "n_tokens", *shares, rate.alias("rate"), mixing.copies(rate, F.col("doc_id")).alias("copies"))
+
+
 def op3_pii(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     found = pii.find_spans(docs, pii.train(docs))
@@ -90,7 +105,7 @@ def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = (op1_substring_dedup, op3_pii, op4_licenses, op5_url_filter, op6_language, op7_topk, op8_simhash, op9_ann, op10_bpe)
+    named = (op1_substring_dedup, op2_mixing, op3_pii, op4_licenses, op5_url_filter, op6_language, op7_topk, op8_simhash, op9_ann, op10_bpe)
     return {query.__name__: query for query in named}
 
 
