@@ -267,8 +267,10 @@ def train(
     return Model(languages, vocabulary, weights, prior / max(prior.sum(), 1))
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
-    """``id_col``, ``lang_pred``, ``score`` (the posterior of that language) and the columns of ``keep``."""
+def identify(
+    docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple = (), keep_text: bool = False
+) -> DataFrame:
+    """``id_col``, the columns of ``keep``, ``text`` if wanted, ``lang_pred`` and ``score`` (that language's posterior)."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -296,11 +298,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 best = int(total.argmax())
                 labels.append(found.languages[best])
                 posteriors.append(float(1 / np.exp(total - total[best]).sum()))
-            done = table.drop_columns("text")
+            done = table if keep_text else table.drop_columns("text")
             done = done.append_column("lang_pred", pa.array(labels, pa.string()))
             yield from done.append_column("score", pa.array(posteriors, pa.float64())).to_batches()
 
     rows = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("text"))
-    kinds = [f"{name} {kind}" for name, kind in rows.dtypes if name != "text"]
+    kinds = [f"{name} {kind}" for name, kind in rows.dtypes if keep_text or name != "text"]
     done = rows.mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double"]))
     return done.withColumnRenamed("id", id_col)

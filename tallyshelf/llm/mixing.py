@@ -156,8 +156,15 @@ def train(
     return Classifier(words, *regression(x[order], y[order], len(domains)))
 
 
-def posteriors(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
-    """``id``, the columns of ``keep``, ``n_tokens`` (words) and ``posterior`` (by domain) of every row."""
+def posteriors(
+    docs: DataFrame,
+    model: Classifier,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: tuple[Column, ...] = (),
+    keep_text: bool = False,
+) -> DataFrame:
+    """``id``, the columns of ``keep``, ``text`` if wanted, ``n_tokens`` (words) and ``posterior`` (by domain) of every row."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -165,11 +172,12 @@ def posteriors(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_
         for table in chunks(batches, "text"):
             found, column = shared.value, table["text"]
             p = softmax(text_scores(column, found.words) @ found.weights + found.offsets)
-            done = table.drop_columns("text").append_column("n_tokens", pa.array(find_words(column, SPACED).counts()))
+            done = table if keep_text else table.drop_columns("text")
+            done = done.append_column("n_tokens", pa.array(find_words(column, SPACED).counts()))
             yield from done.append_column("posterior", pa.array(list(p), pa.list_(pa.float64()))).to_batches()
 
     rows = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("text"))
-    kinds = [f"{name} {kind}" for name, kind in rows.dtypes if name != "text"]
+    kinds = [f"{name} {kind}" for name, kind in rows.dtypes if keep_text or name != "text"]
     return rows.mapInArrow(run, ", ".join([*kinds, "n_tokens bigint", "posterior array<double>"]))
 
 
@@ -255,10 +263,11 @@ def mix(
     text_col: str = "text",
     total: float | None = None,
     keep: tuple[Column, ...] = (),
+    keep_text: bool = False,
 ) -> DataFrame:
-    """``id_col``, the columns of ``keep``, ``n_tokens``, ``posterior`` (by domain, in ``weights``'s order) and ``rate``."""
+    """``id_col``, the columns of ``keep``, ``text`` if wanted, ``n_tokens``, ``posterior`` (in ``weights``'s order) and ``rate``."""
     model = train(docs, labels, list(weights), domain, id_col, text_col)
-    scored = settle(posteriors(docs, model, id_col, text_col, keep), "domains")
+    scored = settle(posteriors(docs, model, id_col, text_col, keep, keep_text), "domains")
     return rated(scored, fit_rates(scored, list(weights.values()), total)).withColumnRenamed("id", id_col)
 
 

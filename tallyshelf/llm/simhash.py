@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tallyshelf.session import settle
 
-from ._frames import id_type, small_batches
+from ._frames import id_type, row_keys, small_batches
 from ._text import SPACED, Words, chunks, find_words, join_words
 from .components import components
 from .xxh64 import xxh64
@@ -253,5 +253,22 @@ def near_duplicates(
     return out.select(F.col("id").alias(id_col), "fp", "root", "component_id", *others)
 
 
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of ``docs`` for each component: the one with the smallest id, rows without an id last.
+
+    Of rows with one id and text the first in order of the other columns stays. Only keys are
+    compared to find it; the documents are shuffled once, to be joined with the keys that stay.
+    """
+    keys = row_keys(F.col(id_col), F.col(text_col))
+    found = near_duplicates(docs, id_col, text_col, keep=tuple(keys), **options)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), id_col, "k1", "k2")).alias("first"))
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    rows = docs.select(*keys, F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(F.lit(0), *others).alias("others"))
+    kept = rows.join(first.select("first.k1", "first.k2"), ["k1", "k2"])
+    kept = kept.groupBy("k1", "k2").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.min("others").alias("others"))
+    each = {c: F.col("others")[c] for c in others} | {id_col: F.col("id"), text_col: F.col("text")}
+    return kept.select(*[each[c].alias(c) for c in docs.columns])
+
+
 def hex_digits(code: str) -> Column:
     return F.lower(F.lpad(F.hex(code), 16, "0"))
