@@ -87,21 +87,27 @@ def hash_of(value: bytes) -> int:
 
 
 class TopLists:
-    """The best ``k`` of each query seen so far; ties go to the smaller id."""
+    """The best ``k`` of each query seen so far; ties go to the smaller id. Cut to size now and then."""
 
     def __init__(self, k: int, score_type: type):
-        self.k = k
-        self.query, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.scores = np.zeros(0, score_type)
+        self.k, self.pending, self.kept = k, 0, 0
+        self.parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, score_type))]
 
     def add(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        query = np.concatenate([self.query, query])
-        ids, scores = np.concatenate([self.ids, ids]), np.concatenate([self.scores, scores])
+        self.parts.append((query, ids, scores))
+        self.pending += len(query)
+        if self.pending > max(50_000, 2 * self.kept):
+            self.best()
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries, ids and scores, best first within a query."""
+        query, ids, scores = (np.concatenate(x) for x in zip(*self.parts))
         order = np.lexsort((ids, -scores, query))
         query, ids, scores = query[order], ids[order], scores[order]
-        first = np.searchsorted(query, query, "left")
-        good = np.arange(len(query)) - first < self.k
-        self.query, self.ids, self.scores = query[good], ids[good], scores[good]
+        good = np.arange(len(query)) - np.searchsorted(query, query, "left") < self.k
+        self.parts = [(query[good], ids[good], scores[good])]
+        self.pending, self.kept = 0, len(self.parts[0][0])
+        return self.parts[0]
 
 
 def best_of_tile(scores: np.ndarray, allowed: np.ndarray, k: int, slack: float = 0) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ next, and leaves are visited in the order they come out. How many leaves is cali
 bounded number of sample vectors the true neighbours are found among all rows, and visits are
 widened until the leaves visited hold at least ``recall`` of them.
 
-Rows travel as blocks of a leaf. A leaf with many rows is dealt over several tasks, by the rows
+Rows travel as blocks of a leaf; a task merges the lists of all leaves it looks at. A leaf with many rows is dealt over several tasks, by the rows
 counted in it, and queries that visit it go to each of them. Products over unit vectors make a
 short list with some slack; its scores are computed anew, pair by pair, on the original vectors in
 double precision, so equal vectors have equal scores.
@@ -32,8 +32,8 @@ from tallyshelf.session import settle
 from ._frames import small_batches
 from ._vectors import NO_ID, Block, TopLists, best_of_tile, hash_of, id_numbers, ids_array, usable
 
-#: Vectors of a block, queries of a block, and blocks of queries whose lists a task keeps.
-ROWS, QUERIES, HELD = 1024, 256, 64
+#: Vectors of a block, queries of a block, and queries whose lists a task keeps before it sends them on.
+ROWS, QUERIES, HELD = 1024, 256, 100_000
 #: Rows of a leaf that one task takes.
 DEALT = 16 * ROWS
 #: Products differ from exact scores by less than this.
@@ -227,9 +227,8 @@ def calibrated(blocks: DataFrame, trees: dict[int, Tree], queries: dict, k: int,
                     i, j = best_of_tile(scores, (ids[:, None] != block.ids) | (ids[:, None] == NO_ID), k)
                     lists[row["dim"]].add(i, np.full(len(i), row["leaf"]), scores[i, j])
         for dim, best in lists.items():
-            yield pa.RecordBatch.from_pydict(
-                {"dim": pa.array([dim] * len(best.ids), pa.int32()), "q": best.query, "leaf": best.ids, "score": best.scores}
-            )
+            query, leaf, scores = best.best()
+            yield pa.RecordBatch.from_pydict({"dim": pa.array([dim] * len(leaf), pa.int32()), "q": query, "leaf": leaf, "score": scores})
 
     found = blocks.mapInArrow(run, "dim int, q bigint, leaf bigint, score double")
     order = Window.partitionBy("dim", "q").orderBy(F.desc("score"), "leaf")
@@ -268,30 +267,28 @@ def nearest(
     tiles = asked.join(blocks, ["dim", "leaf", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists: dict[tuple[int, bytes, bytes], tuple[Block, TopLists]] = {}
+        numbers: dict[tuple[int, int], int] = {}  # of the task's queries, by id and hash
+        best = TopLists(k, float)
 
-        def sent() -> Iterator[pa.RecordBatch]:
-            for queries, best in lists.values():
-                own = np.array([hash_of(vector.tobytes()) for vector in queries.vectors], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(queries.ids[best.query]), pa.array(own[best.query]), ids_array(best.ids), pa.array(best.scores)],
-                    ["query_id", "query", "vec_id", "score"],
-                )
+        def sent() -> pa.RecordBatch:
+            names = np.array(list(numbers) or np.zeros((0, 2)), np.int64)
+            query, ids, scores = best.best()
+            columns = [pa.array(names[query, 0]), pa.array(names[query, 1]), ids_array(ids), pa.array(scores)]
+            return pa.RecordBatch.from_arrays(columns, ["query_id", "query", "vec_id", "score"])
 
         for batch in batches:
             for tile in batch.to_pylist():
-                key = (tile["dim"], tile["q_ids"], tile["q_vectors"])
-                if key not in lists:
-                    if len(lists) >= HELD:
-                        yield from sent()
-                        lists.clear()
-                    lists[key] = (Block.unpack(*key), TopLists(k, float))
-                queries, best = lists[key]
+                queries = Block.unpack(tile["dim"], tile["q_ids"], tile["q_vectors"])
                 block = Block.unpack(tile["dim"], tile["ids"], tile["vectors"])
+                if len(numbers) > HELD:
+                    yield sent()
+                    numbers, best = {}, TopLists(k, float)
+                keys = [(int(q), hash_of(v.tobytes())) for q, v in zip(queries.ids, queries.vectors)]
+                own = np.array([numbers.setdefault(key, len(numbers)) for key in keys])
                 scores = unit(queries.vectors) @ unit(block.vectors).T
                 i, j = best_of_tile(scores, queries.ids[:, None] != block.ids, k, SLACK)
-                best.add(i, block.ids[j], cosine(queries.vectors[i], block.vectors[j]))
-        yield from sent()
+                best.add(own[i], block.ids[j], cosine(queries.vectors[i], block.vectors[j]))
+        yield sent()
 
     found = tiles.mapInArrow(run, "query_id bigint, query bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))

@@ -71,13 +71,9 @@ def top_k(
             for (ids, values), (names, best) in lists.items():
                 keys = np.frombuffer(values, np.uint8).reshape(len(names), -1)
                 own = [hash_of(row.tobytes()) for row in keys]
+                query, found, scores = best.best()
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(names[best.query]),
-                        pa.array(np.array(own, np.int64)[best.query]),
-                        ids_array(best.ids),
-                        pa.array(best.scores),
-                    ],
+                    [pa.array(names[query]), pa.array(np.array(own, np.int64)[query]), ids_array(found), pa.array(scores)],
                     ["query_id", "query", "vec_id", "score"],
                 )
 
