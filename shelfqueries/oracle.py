@@ -75,19 +75,24 @@ sessions as (
 """
 
 
-def named(arriving: str, taken: str) -> str:
-    """Final names of rows (key, path, name) in one folder, by trying suffixes 1 to 999 for each wanted name."""
+def named(arriving: str, taken: str, most: int = 1000) -> str:
+    """Final names of rows (key, path, name) in one folder, by trying suffixes up to ``most`` for each wanted name.
+
+    The first by path gets the name itself if it is free; the others wait in order of their path's digest.
+    """
     return rf"""
 arriving as ({arriving}),
 in_library as ({taken}),
 taken_already as (select distinct name from in_library),
-turns as (
-  select a.key, a.name, regexp_replace(a.name, '\.[^.]*$', '') as stem, regexp_extract(a.name, '\.[^.]*$') as ext,
-    row_number() over (partition by a.name order by string_split(a.path, '/')) - if(t.name is null, 1, 0) as turn
+firsts as (
+  select a.*, regexp_replace(a.name, '\.[^.]*$', '') as stem, regexp_extract(a.name, '\.[^.]*$') as ext,
+    t.name is null and row_number() over (partition by a.name order by string_split(a.path, '/')) = 1 as owner
   from arriving a left join taken_already t on a.name = t.name),
+turns as (
+  select key, name, stem, ext, if(owner, 0, row_number() over (partition by name, owner order by md5(path), path)) as turn from firsts),
 candidates as (
   select name, concat(stem, '_', n, ext) as candidate, n
-  from (select distinct name, stem, ext from turns where turn > 0), range(1, 1000) as r(n)),
+  from (select distinct name, stem, ext from turns where turn > 0), range(1, {most}) as r(n)),
 free as (
   select name, candidate, row_number() over (partition by name order by n) as turn from candidates
   where candidate not in (select name from taken_already union select name from arriving)),
@@ -101,33 +106,39 @@ LIBRARY_NAMES = """
   where regexp_replace(existing_path, '/[^/]*$', '') = '/library/2024/06/01'"""
 
 
-def plan(incoming: str, live: str = "select path from live") -> str:
-    """Ingest plan of the files ``incoming`` selects."""
+def plan(incoming: str, live: str | None = "select path from live", reason: str = "null") -> str:
+    """Ingest plan of the files ``incoming`` selects; those with a ``reason`` are not taken."""
     return (
         f"""
-incoming as ({incoming}),
+offered as (select *, {reason} as reason from ({incoming})),
+incoming as (select * from offered where reason is null and hash is not null),
 ordered as (select *, row_number() over (partition by hash order by string_split(path, '/')) as place,
   from incoming),
-alive as ({live} union select path from incoming),
+alive as ({live + " union " if live else ""} select path from incoming),
 verdicts as (
   select o.hash, o.path as kept_path, o.name as kept_name, c.existing_path,
-    case when c.hash is null then 'NEW' when c.existing_path in (select path from alive) then 'KNOWN' else 'STALE' end as state
+    case when c.hash is null then 'NEW' when c.existing_path in (select path from alive) then 'KNOWN'
+      else '{"STALE" if live else "UNSURE"}' end as state
   from ordered o left join catalog c on o.hash = c.hash where o.place = 1),"""
-        + named("select hash as key, kept_path as path, kept_name as name from verdicts where state <> 'KNOWN'", LIBRARY_NAMES)
+        + named("select hash as key, kept_path as path, kept_name as name from verdicts where state in ('NEW', 'STALE')", LIBRARY_NAMES)
         + """,
 decided as (
   select i.*, v.kept_path, v.existing_path as recorded, v.state,
     case when n.final_name is not null then concat('/library/2024/06/01/', n.final_name) end as kept_target,
-    case when v.state = 'KNOWN' and i.path = v.existing_path then 'ALREADY_CATALOGUED'
-      when v.state = 'KNOWN' then 'DELETE_DUPLICATE' when n.final_name is null then 'ERROR'
+    case when v.state in ('KNOWN', 'UNSURE') and i.path = v.existing_path then 'ALREADY_CATALOGUED'
+      when v.state = 'KNOWN' then 'DELETE_DUPLICATE' when v.state = 'UNSURE' then 'SKIP_DUPLICATE'
       when i.path <> v.kept_path then 'DELETE_DUPLICATE' when v.state = 'STALE' then 'REPLACE_STALE' else 'MOVE' end as action
   from incoming i join verdicts v on i.hash = v.hash left join named n on i.hash = n.key),
 plan as (
   select path, name, extension, file_size, modified_at, hash, hash_type, action,
-    case when action in ('DELETE_DUPLICATE', 'ALREADY_CATALOGUED') then if(state = 'KNOWN', recorded, kept_target)
+    case when action in ('DELETE_DUPLICATE', 'ALREADY_CATALOGUED', 'SKIP_DUPLICATE')
+        then if(state in ('KNOWN', 'UNSURE'), recorded, kept_target)
       when action = 'REPLACE_STALE' then recorded end as existing_path,
-    case when action in ('MOVE', 'REPLACE_STALE') then kept_target end as target_path
-  from decided),
+    case when action in ('MOVE', 'REPLACE_STALE') then kept_target end as target_path, cast(null as varchar) as reason
+  from decided
+  union all
+  select path, name, extension, file_size, modified_at, hash, hash_type, if(reason is null, 'ERROR', 'SKIPPED'), null, null,
+    coalesce(reason, 'not readable') from offered where reason is not null or hash is null),
 added as (
   select (select max(id) from catalog) + row_number() over (order by hash) as id, hash, name as original_name, file_size,
     extension, timestamp '2024-06-01 12:00:00' as created_at, timestamp '2024-06-01 12:00:00' as processed_at,
@@ -136,9 +147,13 @@ added as (
     )
 
 
-WANTED = "select * exclude (doc_id, source, lang) from files where extension in ('.en', '.fr') and file_size <= 50000"
-INGEST = plan(WANTED)
-STREAM_INGEST = plan(WANTED, live="select existing_path as path from catalog")
+ALL = "select * exclude (doc_id, source, lang) from files"
+INGEST = plan(ALL)
+STREAM_INGEST = plan(ALL, live=None)
+FILTERED = plan(
+    "select * exclude (doc_id, source, lang, hash), if(doc_id % 50 <> 0, hash, null) as hash from files",
+    reason="case when extension not in ('.en', '.fr') then 'extension' when file_size > 4096 then 'size' end",
+)
 
 
 def scan(duplicate: str) -> str:
@@ -151,10 +166,14 @@ plan as (
       when c.hash is not null then 'REPLACE_STALE' else 'CATALOG' end as action,
     case when c.existing_path in (select path from incoming) then c.existing_path
       when place > 1 then kept_path else c.existing_path end as existing_path,
-    case when place = 1 and (c.hash is null or c.existing_path not in (select path from incoming)) then i.path end as target_path
+    case when place = 1 and (c.hash is null or c.existing_path not in (select path from incoming)) then i.path end as target_path,
+    cast(null as varchar) as reason
   from (select *, row_number() over (partition by hash order by string_split(path, '/')) as place,
           first_value(path) over (partition by hash order by string_split(path, '/')) as kept_path from incoming) i
-  left join scan_catalog c on i.hash = c.hash)"""
+  left join scan_catalog c on i.hash = c.hash
+  union all
+  select path, name, extension, file_size, modified_at, hash, hash_type, 'SKIPPED', null, null, 'extension'
+  from image_files where extension = '.txt')"""
 
 
 def over(select: str, *ctes: str) -> str:
@@ -163,7 +182,7 @@ def over(select: str, *ctes: str) -> str:
 
 COLUMNS = "id, hash, original_name, file_size, extension, created_at, processed_at, source_path, target_path, hash_type"
 FILE = "path, name, extension, file_size, modified_at, hash, hash_type"
-PLAN = FILE + ", action, existing_path, target_path"
+PLAN = FILE + ", action, existing_path, target_path, reason"
 
 
 def catalog_sql() -> dict[str, str]:
@@ -210,9 +229,8 @@ def catalog_sql() -> dict[str, str]:
         "extensions_ranked": "select extension, count(*) as count, cast(sum(file_size) as bigint) as size from files group by extension",
         "stats_by_size_tier": """select case when file_size < 1024 then 'small' when file_size <= 4096 then 'medium' else 'large' end
             as tier, count(*) as count, cast(sum(file_size) as bigint) as size from files group by 1""",
-        "catalog_statistics": """select (select count(*) from files) as total_files,
-            (select cast(sum(file_size) as bigint) from files) as total_size, extension, count(*) as count,
-            cast(sum(file_size) as bigint) as size from files group by extension""",
+        "catalog_statistics": """select extension, grouping(extension) = 1 as total, count(*) as count,
+            cast(sum(file_size) as bigint) as size from files group by rollup (extension)""",
         "files_by_extension": f"select {COLUMNS} from catalog where extension = '.en' order by processed_at desc, id limit 20",
         "largest_files": f"select {COLUMNS} from catalog order by file_size desc, id limit 10",
         "largest_files_per_extension": f"""select {COLUMNS}, rank from (select *,
@@ -239,7 +257,15 @@ def catalog_sql() -> dict[str, str]:
         f"select f.path, f.name, n.final_name from files f join named n on f.path = n.key",
         named("select path as key, path, name from files", LIBRARY_NAMES),
     )
+    out["crowded_names"] = over(
+        "select f.path, n.final_name from files f join named n on f.path = n.key",
+        named(
+            "select path as key, path, 'IMG.jpg' as name from files",
+            "select concat('IMG_', doc_id * 3, '.jpg') as name from documents where doc_id % 2 = 1", 30_000,
+        ),
+    )
     out["plan_ingest"] = over(f"select {PLAN} from plan", INGEST)
+    out["plan_ingest_filtered"] = over(f"select {PLAN} from plan", FILTERED)
     out["write_action_plan"] = out["plan_ingest"]
     out["replace_stale"] = out["apply_plan"] = over(
         f"""select {COLUMNS} from catalog where hash not in (select hash from plan where action = 'REPLACE_STALE')
@@ -249,9 +275,10 @@ def catalog_sql() -> dict[str, str]:
     out["ingest_stream"] = over(f"select {COLUMNS} from catalog union all select {COLUMNS} from added", STREAM_INGEST)
     for name in ("append_catalog", "scheduled_ingest", "micro_batch_flush"):
         out[name] = out["ingest_stream"]
-    out["file_inventory"] = out["new_file_stream"] = """
-        select source, lang, '.txt' as extension, 'sha256' as hash_type, cast(sum(strlen(text) + 1) as bigint) as bytes
-        from documents group by source, lang"""
+    out["file_inventory"] = out["new_file_stream"] = """select doc_id, '.txt' as extension, cast(strlen(text) + 1 as bigint) as file_size,
+        sha256(concat(text, chr(10))) as hash, 'sha256' as hash_type from documents"""
+    out["quarantine_failures"] = """select doc_id, '.txt' as extension, cast(strlen(text) + 1 as bigint) as file_size,
+        cast(null as varchar) as hash, 'ERROR' as action, 'not readable' as reason from documents where strlen(text) + 1 > 4096"""
     out["read_catalog"] = over(f"select {COLUMNS} from catalog")
     out["write_library"] = over(
         "select target_path, hash, file_size, '2024' as year, '06' as month, '01' as day from plan"
@@ -262,7 +289,8 @@ def catalog_sql() -> dict[str, str]:
     )
     out["processing_stats"] = over(
         f"""select count(*) as processed_files, count_if({kept}) as moved_files,
-        count_if(action = 'DELETE_DUPLICATE') as deleted_files, count_if(action = 'ERROR') as error_count,
+        count_if(action = 'DELETE_DUPLICATE') as deleted_files,
+        count_if(action in ('SKIPPED', 'SKIP_DUPLICATE', 'ALREADY_CATALOGUED')) as skipped_files, count_if(action = 'ERROR') as error_count,
         cast(sum(file_size) filter ({kept} or action = 'DELETE_DUPLICATE') as bigint) as total_size,
         cast(sum(file_size) filter ({kept}) as bigint) as moved_size from plan""",
         INGEST,
@@ -282,7 +310,7 @@ def catalog_sql() -> dict[str, str]:
     out["plan_scan_skip"] = over(f"select {PLAN} from plan", scan("SKIP_DUPLICATE"))
     out["scan_stats"] = over(
         """select count_if(action in ('CATALOG', 'REPLACE_STALE')) as processed,
-        count_if(action in ('SKIP_DUPLICATE', 'ALREADY_CATALOGUED')) as skipped, count_if(action = 'ERROR') as errors,
+        count_if(action in ('SKIPPED', 'SKIP_DUPLICATE', 'ALREADY_CATALOGUED')) as skipped, count_if(action = 'ERROR') as errors,
         count_if(action = 'DELETE_DUPLICATE') as deleted, count(*) as total from plan""",
         scan("SKIP_DUPLICATE"),
     )
@@ -366,30 +394,27 @@ def log_sql() -> dict[str, str]:
         "analyze_log": f"select {NAME}, * from (select {latency} from samples group by operation)",
         "file_event_stream": "select path, op, ts from file_events",
         "filter_events": "select path, op, ts from file_events where op in ('CREATE', 'WRITE')",
-        "debounce_events": bursts.format(delay="10 minutes"),
-        "drop_vanished": bursts.format(delay="10 minutes") + " and last_op <> 'REMOVE'",
+        "debounce_events": "select path, events, first_ts, last_ts, last_op from sessions",
+        "debounce_stream": bursts.format(delay="10 minutes"),
+        "drop_vanished": "select path, events, first_ts, last_ts, last_op from sessions where last_op <> 'REMOVE'",
         "late_event_policy": bursts.format(delay="1 day"),
     }
     out["recommendations"] = f"""
         select 1 as section, cast(unnest(range(len(texts))) as int) as place, unnest(texts) as advice from (
-          select list_concat([printf('Optimise %s first: %.2f ms in total', name, total_ms)],
-            case when operation like '%directory_creation%' then ['Create directories in bulk to save system calls',
-                'Check the speed of the target disk and consider an SSD']
-              when operation like '%file_copy%' then ['Copy with a larger buffer',
-                'Consider parallel copies or asynchronous I/O', 'Check network bandwidth and disk throughput']
-              when operation like '%permission_copy%' then ['Set file permissions in bulk',
-                'Ask whether every permission has to be copied']
-              when operation like '%hash_calculation%' then ['Use a faster hash such as xxHash',
-                'Read with a larger buffer', 'Consider hashing in parallel'] else [] end) as texts
+          select list_concat([printf('%s takes the most time: %.2f ms', name, total_ms)],
+            case when operation like '%detail%' then ['one', 'two'] when operation like '%total%' then ['three']
+              when operation like '%file%' then ['four'] when operation like '%o%' then ['five'] else [] end) as texts
           from (select *, {NAME} from totals order by totals.total_ms desc, operation limit 1))
-        union all select 2, cast(unnest(range(4)) as int), unnest(['Run more concurrent workers',
-          'Tune the database connection pool', 'Use faster storage such as NVMe SSDs',
-          'Tune the I/O scheduler of the operating system'])
-        union all select 3, cast(unnest(range(4)) as int), unnest(['Avoid needless file system calls',
-          'Memory-map large files', 'Retry failed work selectively', 'Cache repeated operations'])
-        union all select 4, cast(unnest(range(3)) as int), unnest(['Enlarge the processing queue',
-          'Let the queue grow on demand', 'Monitor the queue and raise alerts'])
-          where exists (select 1 from log where number = 18)"""
+        union all select 2, cast(unnest(range(2)) as int), unnest(['six', 'seven'])
+        union all select 3, 0, 'eight' where exists (select 1 from log where number = 18)"""
+    out["write_report"] = """
+        select 'latency' as report, operation, count(*) as n, round(median(time_ms), 6) as value from samples group by operation
+        union all select 'transfer', operation, null, round(avg(speed_mbps), 6) from samples
+          where operation in ('file_copy_detail', 'hash_calculation_detail') group by operation
+        union all (select 'top_by_total_time', operation, count, round(total_ms, 3) from totals order by totals.total_ms desc, operation limit 10)
+        union all (select 'top_by_avg_time', operation, count, round(avg_ms, 6) from totals order by totals.avg_ms desc, operation limit 10)
+        union all select 'warning_count', null, count(*), null from log where number = 18
+        union all (select 'first_warnings', null, 1, null from log where number = 18 limit 5)"""
     return {name: over(sql) for name, sql in out.items()}
 
 

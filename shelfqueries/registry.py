@@ -1,7 +1,7 @@
 """One query per operator; each takes a session and the folder of the given tables."""
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +24,8 @@ from . import tables as t
 Query = Callable[[SparkSession, str], DataFrame]
 FILE = ["path", "name", "extension", "file_size", "modified_at", "hash", "hash_type"]
 RECORD = CATALOG.names
-WANTED = {"extensions": ["en", "fr"], "max_size": 50_000}
+WANTED = {"extensions": ["en", "fr", "de", "es"]}
+LIMITED = {"extensions": ["en", "fr"], "max_size": 4096}
 
 
 def rounded(df: DataFrame, **places: int) -> DataFrame:
@@ -130,6 +131,23 @@ def ingest(spark: SparkSession, sf: str) -> DataFrame:
     return ingest_inputs(spark, sf)[0]
 
 
+def plan_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    """A plan with limits given by the caller, over an inventory in which every 50th file was not readable."""
+    readable = F.when(F.col("doc_id") % 50 != 0, F.col("hash"))
+    inventory = settle(t.files(spark, sf).withColumn("hash", readable), "files")
+    records, live = t.settled_catalog(spark, sf)
+    return plan_ingest(inventory, records, t.LIBRARY, t.PROCESSED_AT, live_paths=live, taken=t.today_names(records), **LIMITED)
+
+
+def crowded_names(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents want one name in a folder that holds some suffixed forms of it."""
+    inventory = t.settled_files(spark, sf).select("path", F.lit("IMG.jpg").alias("name"), F.lit(t.TODAY).alias("target_dir"))
+    taken = t.table(spark, sf, "documents").where("doc_id % 2 = 1").select(
+        F.lit(t.TODAY).alias("target_dir"), F.concat(F.lit("IMG_"), F.col("doc_id") * 3, F.lit(".jpg")).alias("name")
+    )
+    return naming.resolve_name_conflicts(inventory, taken).select("path", "final_name")
+
+
 def over_plan(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf: operator(ingest(spark, sf))
 
@@ -154,12 +172,6 @@ def replaced(spark: SparkSession, sf: str) -> DataFrame:
     return cat.replace_stale(records, new_records(settle(plan, "plan"), records, "ingest", t.PROCESSED_AT)).select(*RECORD)
 
 
-def statistics(spark: SparkSession, sf: str) -> DataFrame:
-    found = catalog_statistics(t.files(spark, sf))
-    entry = F.explode("by_extension").alias("extension", "stats")
-    return found.select("total_files", "total_size", entry).select("total_files", "total_size", "extension", "stats.*")
-
-
 def throughput(spark: SparkSession, sf: str) -> DataFrame:
     rates = stats.throughput(t.files(spark, sf), time="modified_at")
     return rounded(rates, files_per_second=6, bytes_per_second=6)
@@ -176,29 +188,30 @@ def worker_load(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def written_tree(spark: SparkSession, sf: str) -> str:
-    """Document texts as files in folders of source and language."""
+    """Document texts as files, each in a folder of its own."""
     root = scratch_path(spark, "tree")
-    t.table(spark, sf, "documents").select("source", "lang", "text").write.partitionBy("source", "lang").text(root)
+    t.table(spark, sf, "documents").select("doc_id", "text").write.partitionBy("doc_id").text(root)
     return root
 
 
-def bytes_per_folder(inventory: DataFrame) -> DataFrame:
-    """Bytes below each source and language; how texts are spread over files is up to the writer."""
-    place = F.regexp_extract("path", "source=([^/]*)/lang=([^/]*)/", 1), F.regexp_extract("path", "lang=([^/]*)/", 1)
-    return inventory.groupBy(place[0].alias("source"), place[1].alias("lang"), "extension", "hash_type").agg(
-        F.sum("file_size").alias("bytes")
-    )
+def by_document(inventory: DataFrame, *columns: str) -> DataFrame:
+    """Files by the document they were written from, as their names are up to the writer."""
+    document = F.regexp_extract("path", "doc_id=([0-9]*)/", 1).cast("bigint")
+    return inventory.select(document.alias("doc_id"), *columns)
+
+
+CONTENT = ["extension", "file_size", "hash", "hash_type"]
 
 
 def file_inventory(spark: SparkSession, sf: str) -> DataFrame:
-    return bytes_per_folder(folder.file_inventory(spark, written_tree(spark, sf), extensions=["TXT"]))
+    return by_document(folder.file_inventory(spark, written_tree(spark, sf), extensions=["TXT"]), *CONTENT)
 
 
 def new_file_stream(spark: SparkSession, sf: str) -> DataFrame:
     out = scratch_path(spark, "stream")
     stream = folder.hashed(folder.new_file_stream(spark, written_tree(spark, sf), extensions=["txt"]))
     bursts.start_append(stream, out, scratch_path(spark, "progress")).awaitTermination()
-    return bytes_per_folder(spark.read.schema(stream.schema).parquet(out))
+    return by_document(spark.read.schema(stream.schema).parquet(out), *CONTENT)
 
 
 def quarantine_failures(spark: SparkSession, sf: str) -> DataFrame:
@@ -206,7 +219,7 @@ def quarantine_failures(spark: SparkSession, sf: str) -> DataFrame:
     tree = written_tree(spark, sf)
     listing = folder.file_listing(spark, tree)
     small = folder.file_inventory(spark, tree, max_size=4096)
-    return streamed.quarantine_failures(listing, small)
+    return by_document(streamed.quarantine_failures(listing, small), "extension", "file_size", "hash", "action", "reason")
 
 
 def read_catalog(spark: SparkSession, sf: str) -> DataFrame:
@@ -248,9 +261,9 @@ def write_library(spark: SparkSession, sf: str) -> DataFrame:
         "cast(text as binary) as content",
     )
     plan = settle(ingest(spark, sf), "plan")
-    kept = sinks.with_content(plan, contents).withColumn("processed_at", F.lit(t.PROCESSED_AT).cast("timestamp_ntz"))
-    sinks.write_library(kept, root)
-    schema = "path string, content binary, target_path string, processed_at timestamp_ntz, year string, month string, day string"
+    for _ in range(2):  # as after a failure
+        sinks.write_library(sinks.with_content(plan, contents), root, 7)
+    schema = "path string, content binary, target_path string, batch int, year string, month string, day string"
     return spark.read.schema(schema).parquet(root).select(
         "target_path", fn.sha256_hex("content").alias("hash"), F.length("content").cast("bigint").alias("file_size"),
         "year", "month", "day",
@@ -260,7 +273,21 @@ def write_library(spark: SparkSession, sf: str) -> DataFrame:
 def write_report(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch_path(spark, "report")
     sinks.write_reports(analyze_log(t.log_lines(spark, sf)), root)
-    return spark.read.option("recursiveFileLookup", "true").schema("operation string, name string, advice string").json(root)
+
+    def read(name: str, schema: str, n: str, value: str) -> DataFrame:
+        rows = spark.read.schema(schema).json(f"{root}/{name}")
+        columns = [F.lit(name).alias("report"), F.expr(n).cast("bigint").alias("n"), F.expr(value).cast("double").alias("value")]
+        return rows.select(F.col("operation") if "operation" in schema else F.lit(None).cast("string").alias("operation"), *columns)
+
+    parts = [
+        read("latency", "operation string, count bigint, median_ms double", "count", "round(median_ms, 6)"),
+        read("transfer", "operation string, avg_speed_mbps double", "null", "round(avg_speed_mbps, 6)"),
+        read("top_by_total_time", "operation string, count bigint, total_ms double", "count", "round(total_ms, 3)"),
+        read("top_by_avg_time", "operation string, count bigint, avg_ms double", "count", "round(avg_ms, 6)"),
+        read("warning_count", "warnings bigint", "warnings", "null"),
+        read("first_warnings", "ts timestamp_ntz, file_name string", "1", "null"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 # Log analytics
@@ -306,9 +333,15 @@ def performance_report(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(entries, avg_ms=6)
 
 
+#: Rules by which the choice of advice is tested.
+ADVICE = loglines.Advice(
+    top={"detail": ["one", "two"], "total": ["three"], "file": ["four"], "o": ["five"]}, always=["six", "seven"], warned=["eight"]
+)
+
+
 def recommendations(spark: SparkSession, sf: str) -> DataFrame:
     lines = t.log_lines(spark, sf)
-    return loglines.recommendations(loglines.classify_operations(lines), lines)
+    return loglines.recommendations(loglines.classify_operations(lines), lines, advice=ADVICE)
 
 
 def log_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -348,6 +381,11 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return t.as_file_events(logs.file_event_stream(spark, f"{sf}/events.parquet*", "parquet", schema))
 
 
+def all_bursts(spark: SparkSession, sf: str) -> DataFrame:
+    """Bursts of all events, as a table."""
+    return bursts.debounce_events(t.as_file_events(t.table(spark, sf, "events")), "30 minutes", "10 minutes")
+
+
 def run_events(flow: Callable[[DataFrame], DataFrame]) -> Query:
     """Work off all events as a stream and read back what it wrote."""
 
@@ -474,7 +512,7 @@ BATCH: dict[str, Query] = {
     "stats_by_extension": lambda spark, sf: stats.stats_by_extension(t.files(spark, sf)),
     "extensions_ranked": lambda spark, sf: stats.extensions_ranked(t.files(spark, sf)),
     "stats_by_size_tier": lambda spark, sf: stats.stats_by_size_tier(t.files(spark, sf), (1024, 4096)),
-    "catalog_statistics": statistics,
+    "catalog_statistics": lambda spark, sf: catalog_statistics(t.files(spark, sf)),
     "files_by_extension": on_catalog(cat.files_by_extension, ".en", 20),
     "largest_files": on_catalog(cat.largest_files, 10),
     "largest_files_per_extension": on_catalog(cat.largest_files, 3, per_extension=True),
@@ -483,7 +521,9 @@ BATCH: dict[str, Query] = {
     "compact_catalog": keep_last(cat.compact_catalog),
     "duplicate_groups": duplicate_groups,
     "resolve_name_conflicts": resolve_name_conflicts,
+    "crowded_names": crowded_names,
     "plan_ingest": ingest,
+    "plan_ingest_filtered": plan_filtered,
     "plan_scan": scan(remove_duplicates=True),
     "plan_scan_skip": scan(remove_duplicates=False),
     "apply_plan": applied,
@@ -531,10 +571,9 @@ LOGS: dict[str, Query] = {
 STREAMS: dict[str, Query] = {
     "file_event_stream": run_events(plain_time),
     "filter_events": run_events(lambda events: plain_time(filters.filter_events(events))),
-    "debounce_events": run_events(lambda e: bursts.debounce_events(e, "30 minutes", "10 minutes")),
-    "drop_vanished": run_events(
-        lambda e: bursts.drop_vanished_events(bursts.debounce_events(e, "30 minutes", "10 minutes"))
-    ),
+    "debounce_events": all_bursts,
+    "debounce_stream": run_events(lambda e: bursts.debounce_events(e, "30 minutes", "10 minutes")),
+    "drop_vanished": lambda spark, sf: bursts.drop_vanished_events(all_bursts(spark, sf)),
     "late_event_policy": run_events(lambda e: bursts.debounce_events(e, "30 minutes", "1 day")),
     "new_file_stream": new_file_stream,
     "ingest_stream": run_ingest(streamed.ingest_stream),

@@ -1,7 +1,5 @@
 """Catalog records: building, querying, checking, merging and compacting them."""
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,7 +160,3 @@ def check_catalog(catalog: DataFrame) -> DataFrame:
 def compact_catalog(catalog: DataFrame) -> DataFrame:
     """Catalog with only the record of the highest id per hash."""
     return dedup_keep_last(catalog)
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

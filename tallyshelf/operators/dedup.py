@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import walk_key, walked_path
-from ..session import settle
-from .skew import HOT_ROWS, hot_keys, salted_join
 
 
 def survivors(files: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
@@ -24,12 +22,13 @@ def survivors(files: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
 
 
 def dedup_keep_first(files: DataFrame) -> DataFrame:
-    """The first file of each hash in walk order.
+    """The first file of each hash in walk order; a file without a hash is equal to no other and stays.
 
     Spark keeps one row per hash in every task before it shuffles (window group limit).
     """
     first = F.row_number().over(Window.partitionBy("hash").orderBy(walk_key("path")))
-    return files.withColumn("place", first).where("place = 1").drop("place")
+    kept = files.where("hash is not null").withColumn("place", first).where("place = 1").drop("place")
+    return kept.unionByName(files.where("hash is null"))
 
 
 def dedup_keep_last(catalog: DataFrame) -> DataFrame:
@@ -38,13 +37,14 @@ def dedup_keep_last(catalog: DataFrame) -> DataFrame:
     return catalog.withColumn("place", last).where("place = 1").drop("place")
 
 
-def duplicate_groups(files: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def duplicate_groups(files: DataFrame) -> DataFrame:
     """Every file with the path that survives for its content and the number of copies.
 
-    ``files`` should be a written table: it is folded per content first, and joined then.
+    ``files`` should be a written table: it is folded per content first, and joined then. The
+    folded side is dealt anew, so that Spark may split a content with very many copies. A file
+    without a hash has no copies.
     """
-    kept = settle(survivors(files), "survivors")
-    hot = hot_keys(kept, "hash", hot_rows=hot_rows)
-    return salted_join(files, kept, "hash", "left", "path", hot).withColumn(
-        "is_duplicate", F.col("path") != F.col("kept_path")
-    )
+    hashed = files.where("hash is not null")
+    joined = hashed.join(survivors(hashed).hint("rebalance"), "hash")
+    alone = files.where("hash is null").withColumns({"kept_path": F.col("path"), "copies": F.lit(1).cast("bigint")})
+    return joined.unionByName(alone).withColumn("is_duplicate", F.col("path") != F.col("kept_path"))

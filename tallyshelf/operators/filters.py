@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import base_name, file_extension, log_level_rank
-from ..schemas import DEFAULT_EXTENSIONS, IMAGE_EXTENSIONS, LARGE_FILE_SIZE, MAX_FILE_SIZE
+from ..schemas import DEFAULT_EXTENSIONS, IMAGE_EXTENSIONS, LARGE_FILE_SIZE
 
 
 def clean_extensions(extensions: Sequence[str]) -> list[str]:
@@ -43,9 +43,9 @@ def filter_images(files: DataFrame, path: str = "path") -> DataFrame:
     return filter_supported(files, IMAGE_EXTENSIONS, path)
 
 
-def filter_max_size(files: DataFrame, max_size: int = MAX_FILE_SIZE, size: str = "file_size") -> DataFrame:
-    """Files up to the size cap. On the binary source this is pushed below the content read."""
-    return files.where(F.col(size) <= (max_size if max_size > 0 else MAX_FILE_SIZE))
+def filter_max_size(files: DataFrame, max_size: int | None = None, size: str = "file_size") -> DataFrame:
+    """Files up to a size; all without one. On the binary source this is pushed below the content read."""
+    return files if max_size is None else files.where(F.col(size) <= max_size)
 
 
 def filter_hidden(files: DataFrame, path: str = "path") -> DataFrame:
@@ -58,9 +58,9 @@ def filter_temp(files: DataFrame, path: str = "path") -> DataFrame:
     return files.where(~is_temp(path))
 
 
-def filter_ready(files: DataFrame, max_size: int = MAX_FILE_SIZE, size: str = "file_size") -> DataFrame:
-    """Files that are complete enough to process: not empty and within the cap."""
-    return files.where((F.col(size) > 0) & (F.col(size) <= max_size))
+def filter_ready(files: DataFrame, max_size: int | None = None, size: str = "file_size") -> DataFrame:
+    """Files that are complete enough to process: not empty, and up to a size if there is one."""
+    return filter_max_size(files.where(F.col(size) > 0), max_size, size)
 
 
 def filter_events(events: DataFrame, extensions: Sequence[str] = DEFAULT_EXTENSIONS) -> DataFrame:

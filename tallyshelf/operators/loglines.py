@@ -1,5 +1,7 @@
 """From log text to performance samples, warnings and advice."""
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,6 +123,18 @@ def log_events(lines: DataFrame, line: str = "value") -> DataFrame:
     return split.where(F.size("parts") == 5).select(*log_line_fields("parts"), "line")
 
 
+def timed(line: str = "value", extra: bool = False) -> Column:
+    """A plain text test that every line with a timing passes."""
+    signs = F.col(line).contains("⏱️")
+    if extra:
+        signs = signs | F.col(line).contains("⚠️") | F.col(line).contains("批量数据库插入")
+    return signs
+
+
+def is_queue_warning(line: str = "value") -> Column:
+    return F.col(line).contains("WARN") & F.col(line).contains(QUEUE_FULL)
+
+
 def classify_operations(lines: DataFrame, strict: bool = False, extra: bool = False, line: str = "value") -> DataFrame:
     """Performance samples: one row per line and operation it reports.
 
@@ -131,10 +145,7 @@ def classify_operations(lines: DataFrame, strict: bool = False, extra: bool = Fa
     """
     extra = extra and not strict
     operations = OPERATIONS | (EXTRA_OPERATIONS if extra else {})
-    signs = F.col(line).contains("⏱️")
-    if extra:
-        signs = signs | F.col(line).contains("⚠️") | F.col(line).contains("批量数据库插入")
-    candidates = lines.where(signs).select(F.trim(F.translate(line, MARK, "")).alias("line"))
+    candidates = lines.where(timed(line, extra)).select(F.trim(F.translate(line, MARK, "")).alias("line"))
     hits = F.array(*(_hit(operation, template, strict) for operation, template in operations.items()))
     matched = candidates.select("line", F.explode(hits).alias("hit")).where(F.col("hit").contains(MARK))
     values = matched.select("line", F.split("hit", MARK).alias("v"))
@@ -164,7 +175,7 @@ def operation_names(samples: DataFrame) -> DataFrame:
 
 def queue_warnings(lines: DataFrame, line: str = "value") -> DataFrame:
     """Warnings that the queue was full."""
-    return lines.where(F.col(line).contains("WARN") & F.col(line).contains(QUEUE_FULL))
+    return lines.where(is_queue_warning(line))
 
 
 def warning_count(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -201,67 +212,51 @@ def slow_operations(samples: DataFrame, limits_ms: dict[str, float] | None = Non
     return samples.where(slow)
 
 
-# Which advice goes with which operation that takes the most time; the first match counts.
-TOP_ADVICE = {
-    "directory_creation": [
-        "Create directories in bulk to save system calls",
-        "Check the speed of the target disk and consider an SSD",
-    ],
-    "file_copy": [
-        "Copy with a larger buffer",
-        "Consider parallel copies or asynchronous I/O",
-        "Check network bandwidth and disk throughput",
-    ],
-    "permission_copy": [
-        "Set file permissions in bulk",
-        "Ask whether every permission has to be copied",
-    ],
-    "hash_calculation": [
-        "Use a faster hash such as xxHash",
-        "Read with a larger buffer",
-        "Consider hashing in parallel",
-    ],
-}
-SYSTEM_ADVICE = [
-    "Run more concurrent workers",
-    "Tune the database connection pool",
-    "Use faster storage such as NVMe SSDs",
-    "Tune the I/O scheduler of the operating system",
-]
-CODE_ADVICE = [
-    "Avoid needless file system calls",
-    "Memory-map large files",
-    "Retry failed work selectively",
-    "Cache repeated operations",
-]
-QUEUE_ADVICE = [
-    "Enlarge the processing queue",
-    "Let the queue grow on demand",
-    "Monitor the queue and raise alerts",
-]
-
-
-def recommendations(samples: DataFrame, lines: DataFrame, line: str = "value") -> DataFrame:
-    """Advice in order: for the top operation, for the system, for the code, and for the queue
-    if there were warnings. Each section comes from a one-row aggregate."""
-    no_advice = F.array().cast("array<string>")
-    for_top = no_advice
-    for part, advice in reversed(TOP_ADVICE.items()):
-        for_top = F.when(F.col("operation").contains(part), F.array(*map(F.lit, advice))).otherwise(for_top)
-    headline = F.format_string("Optimise %s first: %.2f ms in total", F.col("name"), F.col("total_ms"))
-    top = operation_names(top_bottleneck(samples)).select(
+class Advice(NamedTuple):
+    """What to say of a log: ``top`` for the operation that takes the most time, by a part of its name
+    (the first that fits counts), ``always``, and ``warned`` if the queue was full."""
+
+    top: dict[str, list[str]]
+    always: list[str]
+    warned: list[str]
+
+
+DEFAULT_ADVICE = Advice(
+    top={
+        "copy": ["See whether the target disk or the network is the limit", "Try other buffer sizes for copying"],
+        "hash": ["Compare hash algorithms on a sample of the files", "Read files in larger pieces"],
+        "directory": ["Make folders ahead of the files that go there"],
+        "database": ["Look at the slowest statements and their plans", "Write more rows in one statement"],
+    },
+    always=["Compare these times with those of an earlier log before changing anything"],
+    warned=["Files were not taken because the queue was full: use more workers, or a longer queue"],
+)
+
+
+def recommendations(samples: DataFrame, lines: DataFrame, line: str = "value", advice: Advice = DEFAULT_ADVICE) -> DataFrame:
+    """``section``, ``place``, ``advice``: on the top operation, in general, and on the queue after warnings.
+
+    Each section comes from a one-row aggregate.
+    """
+    return advise(top_bottleneck(samples), warning_count(lines, line), advice)
+
+
+def advise(top: DataFrame, warnings: DataFrame, advice: Advice = DEFAULT_ADVICE) -> DataFrame:
+    """``recommendations`` from the top operation and the number of warnings, one row each."""
+
+    def texts(found: list[str]) -> Column:
+        return F.array(*map(F.lit, found)).cast("array<string>")
+
+    for_top = texts([])
+    for part, found in reversed(advice.top.items()):
+        for_top = F.when(F.col("operation").contains(part), texts(found)).otherwise(for_top)
+    headline = F.format_string("%s takes the most time: %.2f ms", F.col("name"), F.col("total_ms"))
+    first = operation_names(top).select(
         F.lit(1).alias("section"), F.posexplode(F.concat(F.array(headline), for_top)).alias("place", "advice")
     )
 
-    def fixed(section: int, advice: list[str], rows: DataFrame) -> DataFrame:
-        texts = F.array(*map(F.lit, advice))
-        return rows.select(F.lit(section).alias("section"), F.posexplode(texts).alias("place", "advice"))
-
-    always = samples.sparkSession.range(1)
-    warned = warning_count(lines, line).where("warnings > 0")
-    return (
-        top.unionByName(fixed(2, SYSTEM_ADVICE, always))
-        .unionByName(fixed(3, CODE_ADVICE, always))
-        .unionByName(fixed(4, QUEUE_ADVICE, warned))
-        .orderBy("section", "place")
-    )
+    def fixed(section: int, found: list[str], rows: DataFrame) -> DataFrame:
+        return rows.select(F.lit(section).alias("section"), F.posexplode(texts(found)).alias("place", "advice"))
+
+    general = fixed(2, advice.always, warnings)
+    return first.unionByName(general).unionByName(fixed(3, advice.warned, warnings.where("warnings > 0"))).orderBy("section", "place")

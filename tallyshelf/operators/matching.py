@@ -1,33 +1,31 @@
-"""Files against the catalog. Hash and path are the only join keys there are."""
+"""Files against the catalog. Hash and path are the only join keys there are.
+
+A content with very many copies is split over tasks by Spark's skew handling: the catalog has one
+row per hash, and both sides come from a shuffle of their own.
+"""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import existing_path_column
-from .skew import HOT_ROWS, count_keys, hot_keys, salted_join
-
-
-def _on_hash(files: DataFrame, records: DataFrame, how: str, hot_rows: int) -> DataFrame:
-    hot = hot_keys(count_keys(files, "hash"), "hash", hot_rows=hot_rows)
-    return salted_join(files, records, "hash", how, "path", hot)
 
 
-def match_catalog(files: DataFrame, catalog: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def match_catalog(files: DataFrame, catalog: DataFrame) -> DataFrame:
     """Every file with the catalog record of its hash, if there is one."""
     records = catalog.select(
         "hash", F.col("id").alias("catalog_id"), existing_path_column().alias("existing_path")
     )
-    return _on_hash(files, records, "left", hot_rows).withColumn("known", F.col("catalog_id").isNotNull())
+    return files.join(records, "hash", "left").withColumn("known", F.col("catalog_id").isNotNull())
 
 
-def known_files(files: DataFrame, catalog: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def known_files(files: DataFrame, catalog: DataFrame) -> DataFrame:
     """Files whose content is catalogued."""
-    return _on_hash(files, catalog.select("hash"), "left_semi", hot_rows)
+    return files.join(catalog.select("hash"), "hash", "left_semi")
 
 
-def new_files(files: DataFrame, catalog: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def new_files(files: DataFrame, catalog: DataFrame) -> DataFrame:
     """Files whose content is not catalogued."""
-    return _on_hash(files, catalog.select("hash"), "left_anti", hot_rows)
+    return files.join(catalog.select("hash"), "hash", "left_anti")
 
 
 def stale_records(catalog: DataFrame, live_paths: DataFrame) -> DataFrame:

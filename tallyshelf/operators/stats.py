@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schemas import ALREADY_CATALOGUED, CATALOG_ACTION, DELETE_DUPLICATE, ERROR, MOVE, REPLACE_STALE, SKIP_DUPLICATE
+from ..schemas import ALREADY_CATALOGUED, CATALOG_ACTION, DELETE_DUPLICATE, ERROR, MOVE, REPLACE_STALE, SKIP_DUPLICATE, SKIPPED
 
 KEPT = [MOVE, CATALOG_ACTION, REPLACE_STALE]
 
@@ -38,13 +38,9 @@ def stats_by_size_tier(catalog: DataFrame, bounds: tuple[int, int] = (1 << 20, 1
 
 
 def catalog_statistics(catalog: DataFrame) -> DataFrame:
-    """Total files, total size and the per-extension map, from one pass over the catalog."""
-    entries = F.struct("extension", F.struct("count", "size").alias("stats"))
-    return stats_by_extension(catalog).agg(
-        _sum("count").alias("total_files"),
-        _sum("size").alias("total_size"),
-        F.map_from_entries(F.sort_array(F.collect_list(entries))).alias("by_extension"),
-    )
+    """Files and bytes of each extension, and in all: the row whose extension is null and ``total`` true."""
+    sums = [F.count("*").alias("count"), _sum("file_size").alias("size")]
+    return catalog.rollup("extension").agg(F.grouping("extension").cast("boolean").alias("total"), *sums)
 
 
 def _action(*actions: str) -> Column:
@@ -52,12 +48,13 @@ def _action(*actions: str) -> Column:
 
 
 def processing_stats(plan: DataFrame) -> DataFrame:
-    """Processed, moved, deleted, failed files and the bytes of those moved or deleted."""
+    """All, moved, deleted, skipped and failed files and the bytes of those moved or deleted."""
     done = F.when(_action(*KEPT, DELETE_DUPLICATE), F.col("file_size"))
     return plan.agg(
         F.count("*").alias("processed_files"),
         F.count_if(_action(*KEPT)).alias("moved_files"),
         F.count_if(_action(DELETE_DUPLICATE)).alias("deleted_files"),
+        F.count_if(_action(SKIPPED, SKIP_DUPLICATE, ALREADY_CATALOGUED)).alias("skipped_files"),
         F.count_if(_action(ERROR)).alias("error_count"),
         _sum(done).alias("total_size"),
         _sum(F.when(_action(*KEPT), F.col("file_size"))).alias("moved_size"),
@@ -68,7 +65,7 @@ def scan_stats(plan: DataFrame) -> DataFrame:
     """Processed, skipped, failed and deleted files of a scan, and their sum."""
     return plan.agg(
         F.count_if(_action(*KEPT)).alias("processed"),
-        F.count_if(_action(SKIP_DUPLICATE, ALREADY_CATALOGUED)).alias("skipped"),
+        F.count_if(_action(SKIPPED, SKIP_DUPLICATE, ALREADY_CATALOGUED)).alias("skipped"),
         F.count_if(_action(ERROR)).alias("errors"),
         F.count_if(_action(DELETE_DUPLICATE)).alias("deleted"),
     ).withColumn("total", F.expr("processed + skipped + errors + deleted"))
@@ -189,7 +186,7 @@ def exact_median(samples: DataFrame, group: str, value: str) -> DataFrame:
     )
     running = Window.partitionBy(group, "step").orderBy("v")
     placed = (
-        counts.join(F.broadcast(middle), [group, "step"])
+        counts.join(middle, [group, "step"])
         .withColumn("last", F.col("before") + F.sum("n").over(running))
         .withColumn("first", F.col("last") - F.col("n") + 1)
     )

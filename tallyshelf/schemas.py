@@ -45,6 +45,7 @@ SKIP_DUPLICATE = "SKIP_DUPLICATE"
 REPLACE_STALE = "REPLACE_STALE"
 ALREADY_CATALOGUED = "ALREADY_CATALOGUED"
 ERROR = "ERROR"
+SKIPPED = "SKIPPED"
 
 # The extension lists and limits a user of the original system relies on.
 DEFAULT_EXTENSIONS = [".jpg", ".jpeg", ".png", ".gif", ".bmp", ".tiff", ".webp", ".svg"]
@@ -52,8 +53,6 @@ IMAGE_EXTENSIONS = [
     ".jpg", ".jpeg", ".png", ".gif", ".bmp", ".tiff", ".tif", ".webp", ".svg", ".ico",
     ".raw", ".cr2", ".nef", ".arw", ".dng", ".orf", ".rw2", ".pef", ".srw", ".x3f",
 ]
-MAX_FILE_SIZE = 100 * 1024 * 1024
 LARGE_FILE_SIZE = 1024 * 1024
-MAX_NAME_SUFFIX = 999
 COLUMN_LIMITS = {"hash": 128, "original_name": 500, "extension": 50, "hash_type": 20}
 SLOW_LIMITS_MS = {"database_query": 100.0, "batch_insert": 1000.0}

@@ -6,6 +6,7 @@ need it. The table sits in the shared folder named by ``spark.checkpoint.dir``:
 executor may be lost and its tasks rerun, and nothing has to be hashed again.
 """
 
+import re
 import tempfile
 import uuid
 
@@ -17,13 +18,13 @@ SHARED_DIR_SETTING = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the session names it.
 
-    A session that names none gets a scratch folder in local mode only; on a cluster
-    that would be local to one machine, so it is refused.
+    A session that names none gets a scratch folder if its master is known to be local; on a
+    cluster that would be local to one machine, so it is refused.
     """
     configured = spark.conf.get(SHARED_DIR_SETTING, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
         raise ValueError(f"set {SHARED_DIR_SETTING} to a folder all executors share")
     scratch = tempfile.mkdtemp(prefix="tallyshelf-")
     spark.conf.set(SHARED_DIR_SETTING, scratch)

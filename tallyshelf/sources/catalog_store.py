@@ -61,14 +61,16 @@ def read_catalog(spark: SparkSession, root: str, version: int | None = None) ->
 
 
 def append_catalog(rows: DataFrame, root: str, batch: int) -> str:
-    """Add records as the segment of ``batch``, and note its largest id.
+    """Add records as the segment of ``batch``, and note the largest id up to it.
 
     Repeating the call for a batch changes nothing.
     """
     path = f"{root}/segments/batch={batch}"
     _write(_laid_out(rows), path, "overwrite")
     written = rows.sparkSession.read.schema(CATALOG).parquet(path)
-    written.agg(F.max("id").alias("last_id")).write.mode("overwrite").parquet(f"{root}/ids/batch={batch}")
+    before = last_id(rows.sparkSession, root, batch) if batch >= 0 else 0
+    largest = F.greatest(F.coalesce(F.max("id"), F.lit(0)), F.lit(before)).cast("bigint")
+    written.agg(largest.alias("last_id")).write.mode("overwrite").parquet(f"{root}/ids/batch={batch}")
     return path
 
 
@@ -84,8 +86,14 @@ def read_segments(spark: SparkSession, root: str, before: int | None = None) ->
 
 
 def last_id(spark: SparkSession, root: str, before: int) -> int:
-    """Largest id of the batches before one, from the notes; no segment is read."""
-    notes = spark.read.schema("last_id bigint, batch bigint").parquet(f"{root}/ids")
+    """Largest id of the batches before one: the note of the last batch has it. No segment is read."""
+    schema = "last_id bigint"
+    try:
+        return spark.read.schema(schema).parquet(f"{root}/ids/batch={before - 1}").first()[0] or 0
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    notes = spark.read.schema(f"{schema}, batch bigint").parquet(f"{root}/ids")
     return notes.where(F.col("batch") < before).agg(F.max("last_id")).first()[0] or 0
 
 

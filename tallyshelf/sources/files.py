@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import base_name, content_hash, file_extension
 from ..functions.hashing import hash_algorithm
-from ..operators.filters import clean_extensions
-from ..schemas import BINARY, MAX_FILE_SIZE
+from ..operators.filters import clean_extensions, filter_max_size
+from ..schemas import BINARY
 
 
 def extension_glob(extensions: Sequence[str]) -> str:
@@ -80,23 +80,24 @@ def hashed(files: DataFrame, algorithm: str | None = None) -> DataFrame:
 
 
 def file_listing(
-    spark: SparkSession, root: str, extensions: Sequence[str] | None = None, max_size: int = MAX_FILE_SIZE
+    spark: SparkSession, root: str, extensions: Sequence[str] | None = None, max_size: int | None = None
 ) -> DataFrame:
     """Names, sizes and times of the files below ``root``; no content is opened."""
-    return listed(read_files(spark, root, extensions).where(F.col("length") <= max_size))
+    return listed(filter_max_size(read_files(spark, root, extensions), max_size, "length"))
 
 
 def file_inventory(
     spark: SparkSession,
     root: str,
     extensions: Sequence[str] | None = None,
-    max_size: int = MAX_FILE_SIZE,
+    max_size: int | None = None,
     algorithm: str | None = None,
 ) -> DataFrame:
     """Every file below ``root`` with its content hash.
 
-    The name pattern acts when the folder is listed and the size cap before content is read.
+    There is no size cap unless the caller gives one. The name pattern acts when the folder is listed
+    and the cap before content is read.
     A file is hashed where it is read and its bytes go no further. ``settle`` the result before
     it takes part in more than one branch of a plan.
     """
-    return hashed(read_files(spark, root, extensions).where(F.col("length") <= max_size), algorithm)
+    return hashed(filter_max_size(read_files(spark, root, extensions), max_size, "length"), algorithm)

@@ -5,9 +5,6 @@ from pyspark.sql import functions as F
 
 from ..schemas import CATALOG_ACTION, MOVE, REPLACE_STALE
 
-BROADCAST_ROWS = 500_000
-
-
 def write_action_plan(plan: DataFrame, path: str) -> None:
     """Record what happens to every file."""
     plan.write.mode("overwrite").parquet(path)
@@ -24,35 +21,26 @@ def write_reports(reports: dict[str, DataFrame], root: str) -> None:
         write_report(report, f"{root}/{name}")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``max_rows`` rows, else unchanged."""
-    few = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if few else df
-
-
-def with_content(plan: DataFrame, files: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def with_content(plan: DataFrame, files: DataFrame) -> DataFrame:
     """Rows of kept files with their bytes.
 
-    File contents are the bulk of the data. While the list of kept files is small enough to
-    send to every executor (its rows are counted first), contents are joined where they are
-    read; beyond that both sides are shuffled by path. The plan should be a written table.
+    File contents are the bulk of the data. Spark sends the list of kept files to where contents are
+    read while it is small, and cuts contents by its runtime Bloom filter before it shuffles them
+    otherwise. The plan should be a written table.
     """
     kept = plan.where(F.col("action").isin(MOVE, CATALOG_ACTION, REPLACE_STALE)).select("path", "target_path")
-    return files.select("path", "content").join(broadcast_if_small(kept, broadcast_rows), "path")
+    return files.select("path", "content").join(kept, "path")
+
+
+#: The day folder and the name at the end of a target path.
+DAY = r"/([0-9]{4})/([0-9]{2})/([0-9]{2})/[^/]*$"
 
 
-def write_library(kept: DataFrame, root: str, date: str = "processed_at") -> None:
-    """Put kept files below ``root`` in folders of year, month and day.
+def write_library(kept: DataFrame, root: str, batch: int = 0) -> None:
+    """Put kept files below ``root``, in folders of the batch and the year, month and day of their target path.
 
-    Rows are not moved between tasks: each task writes into the folders its rows belong to,
-    so a day that holds most of the files is still written by many tasks.
+    Writing a batch again replaces it. Rows are not moved between tasks: each task writes into the
+    folders its rows belong to, so a day that holds most of the files is still written by many tasks.
     """
-    day = F.col(date)
-    (
-        kept.withColumn("year", F.date_format(day, "yyyy"))
-        .withColumn("month", F.date_format(day, "MM"))
-        .withColumn("day", F.date_format(day, "dd"))
-        .write.partitionBy("year", "month", "day")
-        .mode("append")
-        .parquet(root)
-    )
+    parts = {name: F.regexp_extract("target_path", DAY, k) for k, name in enumerate(("year", "month", "day"), 1)}
+    kept.withColumns(parts).write.partitionBy(*parts).mode("overwrite").parquet(f"{root}/batch={batch}")

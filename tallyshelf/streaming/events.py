@@ -1,8 +1,10 @@
 """File events: debouncing, vanished files, late events."""
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 LOCAL_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 
@@ -12,7 +14,8 @@ def debounce_events(events: DataFrame, gap: str = "2 seconds", delay: str = "10
 
     Each event restarts the wait; events exactly ``gap`` apart belong together. Of events at
     the same time the alphabetically last operation counts as the last one. ``delay`` is how
-    late an event may come: what is later is dropped, and counted by ``dropped_late``.
+    late an event may come: what is later is dropped, and counted by a ``LateCounter``. A table gives all its
+    bursts; a stream gives a burst once its watermark has passed it.
     """
     last = F.max(F.struct("ts", "op"))
     return (
@@ -49,8 +52,24 @@ def start_append(
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def dropped_late(query: StreamingQuery) -> int:
-    """Rows a query has dropped for being later than the watermark allows."""
-    return sum(
-        operator.numRowsDroppedByWatermark for progress in query.recentProgress for operator in progress.stateOperators
-    )
+class LateCounter(StreamingQueryListener):
+    """Rows each query has dropped for being later than the watermark allows, over its whole run.
+
+    Register it with ``spark.streams.addListener`` before the query starts.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: Counter[str] = Counter()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        for operator in event.progress.stateOperators:
+            self.dropped[str(event.progress.id)] += operator.numRowsDroppedByWatermark
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

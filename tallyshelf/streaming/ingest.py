@@ -1,6 +1,9 @@
 """Continuous ingest: each micro-batch is planned like a folder and recorded once."""
 
-from pyspark.sql import DataFrame
+from datetime import UTC, datetime
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,19 +20,17 @@ FLUSH_FILES = 50
 SCHEDULE_INTERVAL = "30 seconds"
 
 
-LOOKUP_HASHES = 1000
-IN_LIST_PUSHDOWN = "spark.sql.parquet.pushdown.inFilterThreshold"
-
-
-def records_of(files: DataFrame, catalog: DataFrame, max_hashes: int = LOOKUP_HASHES) -> DataFrame:
-    """Catalog records that can match the files.
-
-    For a small batch its hashes become a list in the scan's filter, and the Bloom filters
-    written with each segment rule out most of the catalog unread. A larger batch takes the
-    whole catalog into its join.
-    """
-    hashes = [r.hash for r in files.select("hash").distinct().limit(max_hashes + 1).collect()]
-    return catalog if len(hashes) > max_hashes else catalog.where(F.col("hash").isin(hashes))
+def batch_time(spark: SparkSession, root: str, batch_id: int) -> str:
+    """The time of a batch, noted when it is first planned, so that a replay plans the same paths."""
+    note = f"{root}/times/batch={batch_id}"
+    try:
+        return spark.read.schema("time string").parquet(note).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    time = datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S")
+    spark.createDataFrame([(time,)], "time string").coalesce(1).write.parquet(note)
+    return time
 
 
 def ingest_batch(
@@ -38,15 +39,20 @@ def ingest_batch(
     """Plan one batch against the segments of earlier batches, then write plan and records.
 
     Both outputs carry the batch number. A batch that is replayed after a failure sees the
-    same earlier segments and overwrites what it had written, so nothing is recorded twice.
+    same earlier segments, has the same time, and overwrites what it had written, so nothing is
+    recorded twice. Names in use are read below the batch's own day folder, which Parquet
+    statistics find, unless files are dated one by one.
     """
     spark = inventory.sparkSession
-    spark.conf.set(IN_LIST_PUSHDOWN, str(LOOKUP_HASHES))
     files = settle(inventory, "inventory")
     catalog = read_segments(spark, catalog_root, before=batch_id)
     processed_at = options.pop("processed_at", None)
-    taken = names_in_use(catalog, target_root)
-    plan = plan_ingest(files, records_of(files, catalog), target_root, processed_at, taken=taken, **options)
+    if processed_at is None:
+        processed_at = batch_time(spark, catalog_root, batch_id)
+    below = target_root.rstrip("/")
+    if "date_col" not in options and isinstance(processed_at, str):
+        below += "/" + processed_at[:10].replace("-", "/")
+    plan = plan_ingest(files, catalog, target_root, processed_at, taken=names_in_use(catalog, below), **options)
     plan_path = f"{plan_root}/batch={batch_id}"
     plan.write.mode("overwrite").parquet(plan_path)
     written = spark.read.schema(plan.schema).parquet(plan_path)
@@ -96,5 +102,5 @@ def quarantine_failures(listing: DataFrame, inventory: DataFrame) -> DataFrame:
     return failed.select(
         "path", "name", "extension", "file_size", "modified_at",
         text.alias("hash"), text.alias("hash_type"), F.lit(ERROR).alias("action"),
-        text.alias("existing_path"), text.alias("target_path"),
+        text.alias("existing_path"), text.alias("target_path"), F.lit("not readable").alias("reason"),
     ).select(*PLAN_COLUMNS)

@@ -1,11 +1,12 @@
 import datetime as dt
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyshelf.operators import catalog as cat
-from tallyshelf.operators import dedup, filters, matching, naming, skew, stats
+from tallyshelf.operators import dedup, filters, matching, naming, stats
 from tallyshelf.schemas import CATALOG
 
 T0 = dt.datetime(2024, 1, 1)
@@ -47,7 +48,9 @@ def test_filters(spark):
 def test_size_filters(spark):
     files = inventory(spark, [("/a", "1", 0), ("/b", "2", 5), ("/c", "3", 6)])
     assert column(filters.filter_max_size(files, 5), "path") == ["/a", "/b"]
-    assert column(filters.filter_max_size(files, 0), "path") == ["/a", "/b", "/c"]
+    assert column(filters.filter_max_size(files, 0), "path") == ["/a"]
+    assert column(filters.filter_max_size(files), "path") == ["/a", "/b", "/c"]
+    assert column(filters.filter_ready(files), "path") == ["/b", "/c"]
     assert column(filters.filter_ready(files, 5), "path") == ["/b"]
 
 
@@ -139,49 +142,39 @@ def skewed(spark, n=600):
     return rows
 
 
-@pytest.mark.parametrize("hot_rows", [20, 10**6])
-def test_duplicate_groups_match_brute_force(spark, hot_rows):
+def test_duplicate_groups_match_brute_force(spark):
     rows = skewed(spark)
     groups = {}
     for path, h in rows:
         groups.setdefault(h, []).append(path)
-    found = dedup.duplicate_groups(inventory(spark, rows), hot_rows=hot_rows).collect()
-    assert len(found) == len(rows)
-    for r in found:
+    unread = [("/s/x.jpg", None), ("/s/y.jpg", None)]
+    found = dedup.duplicate_groups(inventory(spark, rows + unread)).collect()
+    assert len(found) == len(rows) + 2
+    assert all((r.kept_path, r.copies, r.is_duplicate) == (r.path, 1, False) for r in found if r.hash is None)
+    for r in (r for r in found if r.hash is not None):
         kept = min(groups[r.hash], key=lambda p: p.split("/"))
         assert (r.kept_path, r.copies, r.is_duplicate) == (kept, len(groups[r.hash]), r.path != kept)
 
 
-@pytest.mark.parametrize("hot_rows", [20, 10**6])
-def test_matching_survives_hot_hashes(spark, hot_rows):
+def test_files_without_hash_are_no_copies(spark):
+    files = inventory(spark, [("/s/a", None), ("/s/b", None), ("/s/c", "h"), ("/s/d", "h")])
+    assert column(dedup.dedup_keep_first(files), "path") == ["/s/a", "/s/b", "/s/c"]
+
+
+def test_matching_survives_hot_hashes(spark):
     rows = skewed(spark)
     known = {"hot", "h1", "h2", "h3"}
     store = records(spark, [(i, h, f"/src/{h}", f"/lib/{h}") for i, h in enumerate(sorted(known))])
     files = inventory(spark, rows)
-    semi = column(matching.known_files(files, store, hot_rows), "path")
-    anti = column(matching.new_files(files, store, hot_rows), "path")
+    semi = column(matching.known_files(files, store), "path")
+    anti = column(matching.new_files(files, store), "path")
     assert semi == sorted(p for p, h in rows if h in known)
     assert anti == sorted(p for p, h in rows if h not in known)
-    joined = matching.match_catalog(files, store, hot_rows).collect()
+    joined = matching.match_catalog(files, store).collect()
     assert len(joined) == len(rows)
     assert all(r.known == (r.hash in known) and r.existing_path == (f"/lib/{r.hash}" if r.known else None) for r in joined)
 
 
-def test_hot_keys_get_salts_by_size(spark):
-    counts = spark.createDataFrame([("a", 100), ("b", 19), ("c", 20)], "hash string, copies bigint")
-    assert skew.hot_keys(counts, "hash", hot_rows=20) == [("a", 6), ("c", 2)]
-    assert skew.hot_keys(counts, "hash") == []
-
-
-def test_salted_join_spreads_a_hot_key(spark):
-    files = inventory(spark, [(f"/s/{i}", "hot") for i in range(1000)])
-    right = spark.createDataFrame([("hot", 1)], "hash string, x int")
-    joined = skew.salted_join(files, right, "hash", "left", "path", [("hot", 50)])
-    assert joined.where("x = 1").count() == 1000
-    plan = joined._jdf.queryExecution().analyzed().toString()
-    assert "salt" in plan
-
-
 def test_stale_and_vanished(spark):
     store = records(spark, [(1, "a", "/s/1", "/t/1"), (2, "b", "/s/2", ""), (3, "c", "/s/3", "/t/3")])
     live = spark.createDataFrame([("/t/1",), ("/s/2",)], "path string")
@@ -202,7 +195,7 @@ def split_name(name):
 
 
 def brute_force_names(wanted, taken):
-    """Names by walking: own name for the first if free, else the next suffix nobody has or brings along."""
+    """Names by walking: own name for the first if free; the others, by digest, the next suffix nobody has or brings along."""
     brought = {(d, n) for _, d, n in wanted}
     used, result, queues = set(taken), {}, {}
     for path, d, n in sorted(wanted, key=lambda w: w[0].split("/")):
@@ -213,11 +206,11 @@ def brute_force_names(wanted, taken):
         if (d, n) not in used:
             result[waiting.pop(0)] = n
         suffix = 0
-        for path in waiting:
+        for path in sorted(waiting, key=lambda p: hashlib.md5(p.encode()).hexdigest()):
             suffix += 1
-            while suffix <= 999 and ((d, f"{stem}_{suffix}{ext}") in used or (d, f"{stem}_{suffix}{ext}") in brought):
+            while (d, f"{stem}_{suffix}{ext}") in used or (d, f"{stem}_{suffix}{ext}") in brought:
                 suffix += 1
-            result[path] = f"{stem}_{suffix}{ext}" if suffix <= 999 else None
+            result[path] = f"{stem}_{suffix}{ext}"
     return result
 
 
@@ -235,15 +228,15 @@ def test_names_match_brute_force(spark, seed):
     assert len(set(finals)) == len(finals) and not set(finals) & taken
 
 
-def test_names_run_out_after_999(spark):
-    wanted = [(f"/s/{i:04d}/a.jpg", "/t", "a.jpg") for i in range(1002)]
+def test_names_have_no_end(spark, monkeypatch):
+    monkeypatch.setattr(naming, "BLOCK", 100)
+    wanted = [(f"/s/{i:04d}/a.jpg", "/t", "a.jpg") for i in range(1502)]
+    taken = {("/t", "a.jpg"), ("/t", "a_999.jpg"), ("/t", "a_5.jpg"), ("/t", "a_100000.jpg"), ("/other", "a_7.jpg")}
     files = spark.createDataFrame(wanted, "path string, target_dir string, name string")
-    names = {r.path: r.final_name for r in naming.resolve_name_conflicts(files).collect()}
-    assert names["/s/0000/a.jpg"] == "a.jpg" and names["/s/0999/a.jpg"] == "a_999.jpg"
-    assert [p for p, n in sorted(names.items()) if n is None] == ["/s/1000/a.jpg", "/s/1001/a.jpg"]
-    taken = spark.createDataFrame([("/t", "a.jpg"), ("/t", "a_999.jpg"), ("/t", "a_5.jpg")], "target_dir string, name string")
-    names = naming.resolve_name_conflicts(files, taken)
-    assert names.where("final_name is null").count() == 1002 - 997
+    names = naming.resolve_name_conflicts(files, spark.createDataFrame(sorted(taken), "target_dir string, name string"))
+    assert {r.path: r.final_name for r in names.collect()} == brute_force_names(wanted, taken)
+    limited = naming.resolve_name_conflicts(files, max_suffix=999)
+    assert limited.where("final_name is null").count() == 1502 - 1000
 
 
 def test_names_without_case(spark):
@@ -256,16 +249,13 @@ def test_names_without_case(spark):
 def test_statistics_of_nothing(spark):
     empty = records(spark, [])
     assert stats.total_size(empty).first()[0] == 0 and stats.total_files(empty).first()[0] == 0
-    found = stats.catalog_statistics(empty).first()
-    assert (found.total_files, found.total_size, found.by_extension) == (0, 0, {})
+    assert [(r.total, r["count"], r["size"]) for r in stats.catalog_statistics(empty).collect()] in ([], [(True, 0, 0)])
 
 
 def test_catalog_statistics(spark):
     files = inventory(spark, [("/a.jpg", "1", 5), ("/b.jpg", "2", 7), ("/c.png", "3", None)])
-    found = stats.catalog_statistics(files).first()
-    assert (found.total_files, found.total_size) == (3, 12)
-    assert found.by_extension[".jpg"].asDict() == {"count": 2, "size": 12}
-    assert found.by_extension[".png"].asDict() == {"count": 1, "size": 0}
+    found = {(r.extension, r.total): (r["count"], r["size"]) for r in stats.catalog_statistics(files).collect()}
+    assert found == {(None, True): (3, 12), (".jpg", False): (2, 12), (".png", False): (1, 0)}
     assert [r.extension for r in stats.extensions_ranked(files).collect()] == [".jpg", ".png"]
 
 
@@ -284,7 +274,8 @@ def plan_rows(spark, rows):
 def test_processing_statistics(spark):
     plan = plan_rows(spark, [("MOVE", 10), ("REPLACE_STALE", 20), ("DELETE_DUPLICATE", 5), ("ERROR", 100)])
     assert stats.processing_stats(plan).first().asDict() == {
-        "processed_files": 4, "moved_files": 2, "deleted_files": 1, "error_count": 1, "total_size": 35, "moved_size": 30,
+        "processed_files": 4, "moved_files": 2, "deleted_files": 1, "skipped_files": 0, "error_count": 1,
+        "total_size": 35, "moved_size": 30,
     }
     assert stats.average_size(plan).first().asDict() == {"avg_size_reported": 17, "avg_size_moved": 15}
     assert tuple(stats.outcome_percentages(plan).first()) == (50.0, 25.0, 25.0)

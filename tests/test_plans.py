@@ -1,11 +1,10 @@
 import random
 from collections import Counter
 
-import pytest
 from pyspark.sql import functions as F
 
 from tallyshelf.operators.catalog import names_in_use
-from tallyshelf.plans import apply_plan, compact_catalog, plan_ingest, plan_scan
+from tallyshelf.plans import apply_plan, compact_catalog, ingest_folder, plan_ingest, plan_scan
 from tallyshelf.plans.catalogs import new_records
 from tallyshelf.session import settle
 
@@ -45,12 +44,17 @@ def test_ingest_actions(spark):
         "/s/lost.jpg": ("REPLACE_STALE", "/lib/lost.jpg", f"{DAY}/lost.jpg"),
         "/s/lost2.jpg": ("DELETE_DUPLICATE", f"{DAY}/lost.jpg", None),
         "/lib/self.jpg": ("ALREADY_CATALOGUED", "/lib/self.jpg", None),
+        "/s/skip.txt": ("SKIPPED", None, None),
+        "/s/big.jpg": ("SKIPPED", None, None),
     }
+    assert {r.path: r.reason for r in plan.where("reason is not null").collect()} == {"/s/skip.txt": "extension", "/s/big.jpg": "size"}
 
 
-def test_without_a_live_inventory_nothing_is_stale(spark):
+def test_without_a_live_inventory_nothing_is_stale_or_deleted(spark):
     files, store = inventory(spark, [("/s/a.jpg", "h")]), records(spark, [(1, "h", "/s/x", "/lib/x.jpg")])
-    assert actions(plan_ingest(files, store, "/lib", NOW)) == {"/s/a.jpg": ("DELETE_DUPLICATE", "/lib/x.jpg", None)}
+    assert actions(plan_ingest(files, store, "/lib", NOW)) == {"/s/a.jpg": ("SKIP_DUPLICATE", "/lib/x.jpg", None)}
+    scan = plan_scan(files, store, remove_duplicates=True)
+    assert actions(scan) == {"/s/a.jpg": ("SKIP_DUPLICATE", "/lib/x.jpg", None)}
 
 
 def test_optional_filters(spark):
@@ -58,7 +62,30 @@ def test_optional_filters(spark):
     none = records(spark, [])
     assert plan_ingest(files, none, "/lib", NOW).count() == 4
     found = plan_ingest(files, none, "/lib", NOW, skip_hidden=True, skip_temp=True, only_ready=True)
-    assert column(found, "path") == ["/s/d.jpg"]
+    assert {r.path: r.reason for r in found.collect()} == {
+        "/s/.a.jpg": "hidden", "/s/~b.jpg": "temporary", "/s/c.jpg": "empty", "/s/d.jpg": None,
+    }
+
+
+def test_a_plan_is_lazy(spark):
+    files, store = settle(inventory(spark, [("/s/a.jpg", "1")]), "files"), settle(records(spark, []), "catalog")
+    jobs = spark.sparkContext.statusTracker()
+    before = set(jobs.getJobIdsForGroup(None))
+    plan_ingest(files, store, "/lib", NOW, live_paths=files.select("path"))
+    plan_scan(files, store, True)
+    assert set(jobs.getJobIdsForGroup(None)) == before
+
+
+def test_large_files_are_planned(spark):
+    files = inventory(spark, [("/s/a.jpg", "1", 200 << 20), ("/s/b.jpg", "2", 101 << 20)])
+    assert {a for a, _, _ in actions(plan_ingest(files, records(spark, []), "/lib", NOW)).values()} == {"MOVE"}
+
+
+def test_a_folder_in_one_call(spark, tmp_path):
+    for name, content in {"a.jpg": b"1", "b.jpg": b"1", "c.txt": b"2"}.items():
+        (tmp_path / name).write_bytes(content)
+    plan = ingest_folder(spark, str(tmp_path), records(spark, []), "/lib", processed_at=NOW)
+    assert sorted((r.name, r.action) for r in plan.collect()) == [("a.jpg", "MOVE"), ("b.jpg", "DELETE_DUPLICATE"), ("c.txt", "SKIPPED")]
 
 
 def test_files_can_be_dated_by_a_column(spark):
@@ -68,9 +95,15 @@ def test_files_can_be_dated_by_a_column(spark):
 
 def test_copies_of_a_file_without_name_are_kept(spark):
     rows = [(f"/s/{i:04d}/a.jpg", f"h{i}") for i in range(1001)] + [("/z/copy.jpg", "h1000")]
-    found = actions(plan_ingest(inventory(spark, rows), records(spark, []), "/lib", NOW))
-    assert found["/s/1000/a.jpg"] == found["/z/copy.jpg"] == ("ERROR", None, None)
-    assert Counter(a for a, _, _ in found.values()) == {"MOVE": 1000, "ERROR": 2}
+    files = inventory(spark, rows)
+    found = actions(plan_ingest(files, records(spark, []), "/lib", NOW))
+    assert Counter(a for a, _, _ in found.values()) == {"MOVE": 1001, "DELETE_DUPLICATE": 1}
+    last = next(h for p, h in rows if found[p][2] == f"{DAY}/a_1000.jpg")
+    copies = inventory(spark, rows + [("/z/other.jpg", last)])
+    limited = plan_ingest(copies, records(spark, []), "/lib", NOW, max_suffix=999)
+    lost = limited.where("action = 'ERROR'").collect()
+    assert {r.hash for r in lost} == {last} and {r.path for r in lost} > {"/z/other.jpg"}
+    assert {r.reason for r in lost} == {"no name left"}
 
 
 def test_names_of_the_catalog_or_of_live_files_are_avoided(spark):
@@ -103,6 +136,7 @@ def test_scan_actions(spark):
         "/p/b.jpg": ("ALREADY_CATALOGUED", "/p/b.jpg", None),
         "/p/c.jpg": ("REPLACE_STALE", "/old/c.jpg", "/p/c.jpg"),
         "/p/e.jpg": ("SKIP_DUPLICATE", "/x/e.jpg", None),
+        "/p/d.txt": ("SKIPPED", None, None),
     }
     assert actions(plan_scan(files, store, live_paths=live)) == wanted
     removing = {p: ("DELETE_DUPLICATE" if a == "SKIP_DUPLICATE" else a, e, t) for p, (a, e, t) in wanted.items()}
@@ -127,13 +161,12 @@ def busy_folder(seed, n=500):
     return rows
 
 
-@pytest.mark.parametrize("hot_rows", [25, 10**6])
-def test_plan_invariants(spark, hot_rows):
+def test_plan_invariants(spark):
     rows = busy_folder(5)
     files = settle(inventory(spark, rows), "files")
     store = records(spark, [(1, "h1", "/s/x", "/lib/x.jpg"), (2, "h2", "/s/y", "/lib/y.jpg"), (3, "blank", "/b", "/lib/gone.jpg")])
     live = paths(spark, ["/lib/x.jpg", "/lib/y.jpg"])
-    plan = settle(plan_ingest(files, store, "/lib", NOW, live_paths=live, hot_rows=hot_rows), "plan")
+    plan = settle(plan_ingest(files, store, "/lib", NOW, live_paths=live), "plan")
     found = plan.collect()
     assert Counter(r.path for r in found) == Counter(p for p, _ in rows)
     kept = [r for r in found if r.action in ("MOVE", "REPLACE_STALE")]
@@ -150,15 +183,11 @@ def test_plan_invariants(spark, hot_rows):
     after = settle(apply_plan(plan, store, "ingest", NOW), "catalog")
     assert after.count() == after.select("hash").distinct().count() == len({h for _, h in rows} | {"h1", "h2"})
     assert after.count() == after.select("id").distinct().count()
-    again = plan_ingest(files, after, "/lib", NOW, taken=names_in_use(after), hot_rows=hot_rows)
+    there = after.select(F.col("target_path").alias("path"))
+    again = plan_ingest(files, after, "/lib", NOW, taken=names_in_use(after), live_paths=there)
     assert {r.action for r in again.collect()} == {"DELETE_DUPLICATE"}
-
-
-def test_hot_and_plain_joins_agree(spark):
-    files, store = settle(inventory(spark, busy_folder(8)), "files"), records(spark, [])
-    plain = plan_ingest(files, store, "/lib", NOW)
-    salted = plan_ingest(files, store, "/lib", NOW, hot_rows=10)
-    assert actions(plain) == actions(salted)
+    unsure = plan_ingest(files, after, "/lib", NOW)
+    assert {r.action for r in unsure.collect()} == {"SKIP_DUPLICATE"}
 
 
 def test_records_number_on_from_the_catalog(spark):
@@ -172,13 +201,10 @@ def test_compaction_keeps_the_newest_record(spark):
     assert column(compact_catalog(store), "id") == [2, 4]
 
 
-def test_file_paths_are_joined_once(spark):
-    """Wide file rows cross the network once, and names of one folder push the folder into the catalog scan."""
+def test_plans_have_no_cross_join(spark):
     files = settle(inventory(spark, busy_folder(2, 60)), "files")
     store = settle(records(spark, [(1, "h1", "/s/x", "/lib/x.jpg")]), "catalog")
     plan = plan_ingest(files, store, "/lib", NOW, taken=names_in_use(store))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    wide = [line for line in text.splitlines() if "FileScan" in line and "modified_at" in line]
-    assert len(wide) == 1
     assert plan.where(F.col("action") == "ERROR").count() == 0

@@ -106,25 +106,27 @@ def test_plan_and_report_round_trip(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "reports/two")).first().hash == "h"
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, 100])
-def test_library_holds_kept_files_by_date(spark, tmp_path, tree, broadcast_rows):
+def test_library_holds_kept_files_by_date(spark, tmp_path, tree):
     content = files.read_files(spark, str(tree)).withColumn("path", files.plain_path("path"))
     plan = spark.createDataFrame(
-        [(f"{tree}/a.jpg", "MOVE", "/lib/a.jpg"), (f"{tree}/b.JPG", "DELETE_DUPLICATE", None), (f"{tree}/sub/a.jpg", "REPLACE_STALE", "/lib/a_1.jpg")],
+        [(f"{tree}/a.jpg", "MOVE", "/lib/2024/06/01/a.jpg"), (f"{tree}/b.JPG", "DELETE_DUPLICATE", None), (f"{tree}/sub/a.jpg", "REPLACE_STALE", "/lib/2024/06/02/a_1.jpg")],
         "path string, action string, target_path string",
     )
-    kept = sinks.with_content(plan, content, broadcast_rows).withColumn("processed_at", F.lit("2024-06-01 00:00:00").cast("timestamp_ntz"))
-    sinks.write_library(kept, str(tmp_path / "lib"))
-    assert (tmp_path / "lib/year=2024/month=06/day=01").is_dir()
+    kept = sinks.with_content(plan, content)
+    for _ in range(2):
+        sinks.write_library(kept, str(tmp_path / "lib"), 3)
+    assert (tmp_path / "lib/batch=3/year=2024/month=06/day=02").is_dir()
     stored = spark.read.parquet(str(tmp_path / "lib"))
-    assert sorted((r.target_path, bytes(r.content)) for r in stored.collect()) == [("/lib/a.jpg", b"one"), ("/lib/a_1.jpg", b"two")]
+    assert sorted((r.target_path, bytes(r.content)) for r in stored.collect()) == [
+        ("/lib/2024/06/01/a.jpg", b"one"), ("/lib/2024/06/02/a_1.jpg", b"two"),
+    ]
 
 
-def test_broadcast_depends_on_the_row_count(spark):
-    rows = spark.range(10)
-    hinted = sinks.broadcast_if_small(rows, 10)._jdf.queryExecution().logical().toString()
-    assert "broadcast" in hinted
-    assert "broadcast" not in sinks.broadcast_if_small(rows, 9)._jdf.queryExecution().logical().toString()
+def test_no_size_is_too_large(spark, tmp_path):
+    with open(tmp_path / "big.jpg", "wb") as file:
+        file.truncate(101 << 20)
+    assert column(files.file_listing(spark, str(tmp_path)), "file_size") == [101 << 20]
+    assert column(files.file_inventory(spark, str(tmp_path)), "file_size") == [101 << 20]
 
 
 def test_scratch_tables_go_to_the_shared_folder(spark):
@@ -140,7 +142,7 @@ class NoSharedFolder:
     class conf:
         @staticmethod
         def get(key, default=None):
-            return "yarn" if key == "spark.master" else default
+            return "local-cluster[2,1,1024]" if key == "spark.master" else default
 
 
 def test_a_cluster_must_name_its_shared_folder():

@@ -25,14 +25,24 @@ def drop_events(folder, name, rows):
     (folder / name).write_text(text)
 
 
+def wait_for_listeners(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+
+
 def bursts(spark, tmp_path, flow, batches):
-    """Feed files of events one per micro-batch; gives the rows written and the query."""
+    """Feed files of events one per micro-batch; gives the rows written and the late rows dropped."""
     for i, rows in enumerate(batches):
         drop_events(tmp_path / "in", f"{i}.json", rows)
     stream = flow(logs.file_event_stream(spark, str(tmp_path / "in"), max_files_per_trigger=1))
-    query = events.start_append(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(str(tmp_path / "out")), query
+    counter = events.LateCounter()
+    spark.streams.addListener(counter)
+    try:
+        query = events.start_append(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+        query.awaitTermination()
+        wait_for_listeners(spark)
+    finally:
+        spark.streams.removeListener(counter)
+    return spark.read.schema(stream.schema).parquet(str(tmp_path / "out")), counter.dropped[str(query.id)]
 
 
 def test_debounce(spark, tmp_path):
@@ -51,17 +61,17 @@ def test_bursts_grow_across_batches_and_late_events_are_counted(spark, tmp_path)
         [("/a.jpg", "CREATE", 50.0)], [("/a.jpg", "WRITE", 51.5)], [("/end.jpg", "CREATE", 100.0)],
         [("/late.jpg", "CREATE", 10.0)], [("/end2.jpg", "CREATE", 200.0)],
     ]
-    found, query = bursts(spark, tmp_path, events.debounce_events, batches)
+    found, late = bursts(spark, tmp_path, events.debounce_events, batches)
     got = {(r.path, r.events) for r in found.collect()}
     assert got == {("/a.jpg", 2), ("/end.jpg", 1)}
-    assert events.dropped_late(query) == 1
+    assert late == 1
 
 
 def test_a_longer_delay_keeps_late_events(spark, tmp_path):
     batches = [[("/x.jpg", "CREATE", 100.0)], [("/late.jpg", "CREATE", 10.0)], [("/end.jpg", "CREATE", 1000.0)]]
-    found, query = bursts(spark, tmp_path, lambda e: events.debounce_events(e, delay="5 minutes"), batches)
+    found, late = bursts(spark, tmp_path, lambda e: events.debounce_events(e, delay="5 minutes"), batches)
     assert column(found, "path") == ["/late.jpg", "/x.jpg"]
-    assert events.dropped_late(query) == 0
+    assert late == 0
 
 
 def test_hot_path_is_folded_before_the_shuffle(spark, tmp_path):
@@ -109,7 +119,7 @@ def test_ingest_over_two_runs(spark, tmp_path):
     assert column(second, "id") == [1, 2, 3]
     plans = spark.read.parquet(where[1])
     assert sorted((r.action, r.name) for r in plans.collect()) == [
-        ("DELETE_DUPLICATE", "b.jpg"), ("DELETE_DUPLICATE", "copy.JPG"), ("MOVE", "a.jpg"), ("MOVE", "a.jpg"), ("MOVE", "a.jpg"),
+        ("DELETE_DUPLICATE", "b.jpg"), ("MOVE", "a.jpg"), ("MOVE", "a.jpg"), ("MOVE", "a.jpg"), ("SKIP_DUPLICATE", "copy.JPG"),
     ]
 
 
@@ -129,16 +139,26 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     assert spark.read.parquet(where[1]).count() == 3
 
 
-def test_small_batches_look_their_hashes_up(spark, tmp_path):
-    where = roots(spark, tmp_path, records(spark, [(1, "a", "/s/o.jpg", "/lib/o.jpg"), (2, "b", "/s/p.jpg", "")]))
-    spark.conf.set(ingest.IN_LIST_PUSHDOWN, str(ingest.LOOKUP_HASHES))
-    stored = catalog_store.read_segments(spark, where[0])
-    batch = inventory(spark, [(f"/s/{i}.jpg", f"{i:02d}") for i in range(30)] + [("/s/a.jpg", "a")])
-    few = ingest.records_of(batch, stored)
-    assert column(few, "id") == [1]
-    plan = few._jdf.queryExecution().executedPlan().toString()
-    assert "In(hash, [" in plan
-    assert column(ingest.records_of(batch, stored, max_hashes=5), "id") == [1, 2]
+def test_replays_keep_the_time_of_the_first_try(spark, tmp_path):
+    where = roots(spark, tmp_path)
+    time = ingest.batch_time(spark, where[0], 4)
+    assert ingest.batch_time(spark, where[0], 4) == time
+    ingest.ingest_batch(inventory(spark, [("/s/a.jpg", "a")]), 4, *where[:3])
+    record = catalog_store.read_segments(spark, where[0]).first()
+    assert str(record.processed_at)[:19] == time and record.target_path == f"/lib/{time[:10].replace('-', '/')}/a.jpg"
+
+
+def test_ids_go_on_over_empty_batches(spark, tmp_path):
+    where = roots(spark, tmp_path, records(spark, [(7, "old", "/s/o.jpg", "/lib/o.jpg")]))
+    for batch, rows in enumerate(([("/s/o.jpg", "old")], [], [("/s/a.jpg", "a")])):
+        ingest.ingest_batch(inventory(spark, rows), batch, *where[:3], processed_at=NOW)
+    assert column(catalog_store.read_segments(spark, where[0]), "id") == [7, 8]
+
+
+def test_all_bursts_of_a_table(spark):
+    rows = [("/a.jpg", "CREATE", 0.0), ("/a.jpg", "WRITE", 2.0), ("/a.jpg", "WRITE", 4.1), ("/b.jpg", "REMOVE", 9.0)]
+    table = spark.createDataFrame([(p, op, T0 + dt.timedelta(seconds=s)) for p, op, s in rows], FILE_EVENTS)
+    assert sorted((r.path, r.events) for r in events.debounce_events(table).collect()) == [("/a.jpg", 1), ("/a.jpg", 2), ("/b.jpg", 1)]
 
 
 def test_names_below_a_folder_are_pushed_down(spark, tmp_path):

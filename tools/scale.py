@@ -4,6 +4,7 @@ Usage: python tools/scale.py [tables folder] [copies of the inventory]
 """
 
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -15,9 +16,9 @@ from shelfqueries import tables as t  # noqa: E402
 from tallyshelf.operators.catalog import names_in_use  # noqa: E402
 from tallyshelf.operators.dedup import duplicate_groups  # noqa: E402
 from tallyshelf.operators.matching import known_files  # noqa: E402
+from tallyshelf.operators.naming import assigned_names  # noqa: E402
 from tallyshelf.plans import apply_plan, plan_ingest  # noqa: E402
 from tallyshelf.session import settle  # noqa: E402
-from tallyshelf.streaming.ingest import names_in_use  # noqa: E402
 
 
 def timed(label, rows, run):
@@ -38,7 +39,8 @@ def main():
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "32")
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "12g").getOrCreate()
+        .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="scale-")).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     blank = F.col("copy") % 3 == 0
@@ -55,22 +57,23 @@ def main():
     rows = files.count()
     catalog, live = t.settled_catalog(spark, folder)
     print(rows, "files,", files.where("hash = 'blank'").count(), "of one content")
-    for hot_rows in (1_000_000, 50_000):
-        print("hot from", hot_rows, "rows")
-        timed("duplicate_groups", rows, lambda: noop(duplicate_groups(files, hot_rows=hot_rows)))
-        timed("known_files", rows, lambda: noop(known_files(files, catalog, hot_rows=hot_rows)))
-        plan = timed(
-            "plan_ingest", rows,
-            lambda: settle(
-                plan_ingest(
-                    files, catalog, t.LIBRARY, t.PROCESSED_AT, ["en", "fr", "de", "es"], live_paths=live,
-                    taken=names_in_use(catalog), hot_rows=hot_rows,
-                ),
-                "plan",
+    timed("duplicate_groups", rows, lambda: noop(duplicate_groups(files)))
+    timed("known_files", rows, lambda: noop(known_files(files, catalog)))
+    plan = timed(
+        "plan_ingest", rows,
+        lambda: settle(
+            plan_ingest(
+                files, catalog, t.LIBRARY, t.PROCESSED_AT, ["en", "fr", "de", "es"], live_paths=live, taken=names_in_use(catalog)
             ),
-        )
-        after = timed("apply_plan", rows, lambda: settle(apply_plan(plan, catalog, "ingest", t.PROCESSED_AT), "catalog"))
-        print("actions", {r.action: r["count"] for r in plan.groupBy("action").count().collect()}, "catalog", after.count())
+            "plan",
+        ),
+    )
+    after = timed("apply_plan", rows, lambda: settle(apply_plan(plan, catalog, "ingest", t.PROCESSED_AT), "catalog"))
+    print("actions", {r.action: r["count"] for r in plan.groupBy("action").count().collect()}, "catalog", after.count())
+    # Every file in one folder under one name, each content different: a third of the names are in use already.
+    crowd = files.select(F.concat("path", F.xxhash64("path")).alias("path"), F.lit("IMG.jpg").alias("name"), F.lit(t.TODAY).alias("target_dir"))
+    taken = spark.range(0, rows, 3).select(F.lit(t.TODAY).alias("target_dir"), F.concat(F.lit("IMG_"), "id", F.lit(".jpg")).alias("name"))
+    timed("crowded names", rows, lambda: noop(assigned_names(crowd, taken)))
 
 
 if __name__ == "__main__":
