@@ -1,5 +1,10 @@
 """Helpers for frames that pass through Arrow."""
 
+import pickle
+from collections.abc import Callable
+
+from pyspark import cloudpickle
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +19,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def shared_value[T](spark: SparkSession, value: T) -> Callable[[], T]:
+    """Broadcast a value of bounded size; call the result once in a task to get it.
+
+    It is packed by value, so that executors need no copy of this package.
+    """
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(packed.value)
+
+
 def row_keys(*columns: Column) -> list[Column]:
     """128 bits that tell rows apart by value; equal rows share them, and so share results.
 

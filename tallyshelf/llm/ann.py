@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tallyshelf.session import settle
 
-from ._frames import small_batches
+from ._frames import shared_value, small_batches
 from ._vectors import NO_ID, Block, TopLists, best_of_tile, hash_of, id_numbers, ids_array, usable
 
 #: Vectors of a block, queries of a block, and queries whose lists a task keeps before it sends them on.
@@ -206,22 +206,23 @@ def build(
         trees[dim] = Tree(unit(found), branch, leaf_rows * share)
         step = max(1, len(ids) // calibration_queries)
         queries[dim] = (ids[::step][:calibration_queries], found[::step][:calibration_queries])
-    shared = spark.sparkContext.broadcast(trees)
-    packed = rows.mapInArrow(lambda batches: _pack(shared.value, ROWS, None)(batches), LEAVES)
+    shared = shared_value(spark, trees)
+    packed = rows.mapInArrow(lambda batches: _pack(shared(), ROWS, None)(batches), LEAVES)
     blocks = settle(packed, "ann-leaves")
     return Index(trees, blocks, calibrated(blocks, trees, queries, k, recall))
 
 
 def calibrated(blocks: DataFrame, trees: dict[int, Tree], queries: dict, k: int, recall: float) -> dict[int, int]:
     """For each dimension the fewest leaves that hold ``recall`` of the queries' true neighbours."""
-    shared = blocks.sparkSession.sparkContext.broadcast(queries)
+    shared = shared_value(blocks.sparkSession, queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = {dim: TopLists(k, float) for dim in shared.value}
+        asked = shared()
+        lists = {dim: TopLists(k, float) for dim in asked}
         for batch in batches:
             for row in batch.to_pylist():
                 if row["dim"] in lists:
-                    ids, own = shared.value[row["dim"]]
+                    ids, own = asked[row["dim"]]
                     block = Block.unpack(row["dim"], row["ids"], row["vectors"])
                     scores = unit(own) @ unit(block.vectors).T
                     i, j = best_of_tile(scores, (ids[:, None] != block.ids) | (ids[:, None] == NO_ID), k)
@@ -256,8 +257,13 @@ def nearest(
     index = index or build(vectors, id_col, vector_col, k, **fit)
     chosen = vectors.where(is_query & F.col(id_col).isNotNull())
     chosen = chosen.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("vector")).distinct()
-    shared = spark.sparkContext.broadcast((index.trees, index.visits))
-    asked = chosen.mapInArrow(lambda batches: _pack(shared.value[0], QUERIES, shared.value[1])(batches), LEAVES)
+    shared = shared_value(spark, (index.trees, index.visits))
+    
+    def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees, visits = shared()
+        yield from _pack(trees, QUERIES, visits)(batches)
+
+    asked = chosen.mapInArrow(visited, LEAVES)
     # As many rows as the trees have leaves, and one for each further dimension.
     dealt = index.blocks.groupBy("dim", "leaf").agg(F.ceil(F.sum(F.length("ids")) / F.lit(8 * DEALT)).alias("tasks"))
     blocks = index.blocks.join(dealt, ["dim", "leaf"])

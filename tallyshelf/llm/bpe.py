@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import id_type, small_batches
+from ._frames import id_type, shared_value, small_batches
 from ._text import CHUNK, chunks
 
 NONE = np.int32(2**31 - 1)
@@ -200,10 +200,10 @@ def encode(
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(Vocabulary.load(path, pattern))
+    shared = shared_value(spark, Vocabulary.load(path, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, known = shared.value, {}
+        vocabulary, known = shared(), {}
         kept = 0
         for table in chunks(batches, "text", chunk):
             if kept > REMEMBERED:

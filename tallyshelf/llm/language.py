@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tallyshelf.session import settle
 
-from ._frames import small_batches
+from ._frames import shared_value, small_batches
 from ._text import CHUNK, chunks
 
 UNKNOWN = "und"
@@ -242,10 +242,10 @@ def train(
     uses[pieces.size :] = 0
     weights = normalised(uses, pieces.size)
     for _ in range(rounds if languages else 0):
-        shared = docs.sparkSession.sparkContext.broadcast((vocabulary, weights))
+        shared = shared_value(docs.sparkSession, (vocabulary, weights))
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, now = shared.value
+            own, now = shared()
             known, total = Pieces(own), None
             number = {x: k for k, x in enumerate(languages)}
             for batch in batches:
@@ -272,10 +272,10 @@ def identify(
 ) -> DataFrame:
     """``id_col``, the columns of ``keep``, ``text`` if wanted, ``lang_pred`` and ``score`` (that language's posterior)."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shared_value(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = shared.value
+        found = shared()
         pieces, languages = Pieces(found.pieces), len(found.languages)
         known: dict[str, int] = {}
         scores = np.zeros((0, languages))

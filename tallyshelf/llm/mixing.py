@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tallyshelf.session import settle
 
-from ._frames import small_batches
+from ._frames import shared_value, small_batches
 from ._text import ALPHANUMERIC, SPACED, chunks, find_words, word_hashes
 
 #: Hashed words the classifier tells apart.
@@ -141,11 +141,12 @@ def train(
     total = np.zeros((FEATURES, len(domains)))
     total[found["feature"].to_numpy(), found["domain"].to_numpy()] = found["n"].to_numpy()
     words = evidence(total)
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    shared = shared_value(docs.sparkSession, words)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared()
         for table in chunks(batches, "text"):
-            found = text_scores(table["text"], shared.value)
+            found = text_scores(table["text"], known)
             yield pa.RecordBatch.from_pydict({"domain": pa.array(table["domain"].to_numpy(), pa.int32()), "scores": pa.array(list(found), pa.list_(pa.float64()))})
 
     scored = rows.where("calibrates").select("domain", "text").mapInArrow(score, "domain int, scores array<double>").toArrow()
@@ -166,11 +167,12 @@ def posteriors(
 ) -> DataFrame:
     """``id``, the columns of ``keep``, ``text`` if wanted, ``n_tokens`` (words) and ``posterior`` (by domain) of every row."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shared_value(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = shared()
         for table in chunks(batches, "text"):
-            found, column = shared.value, table["text"]
+            column = table["text"]
             p = softmax(text_scores(column, found.words) @ found.weights + found.offsets)
             done = table if keep_text else table.drop_columns("text")
             done = done.append_column("n_tokens", pa.array(find_words(column, SPACED).counts()))
