@@ -190,23 +190,31 @@ class Fit(NamedTuple):
     base: float
     residuals: list[np.ndarray]
 
+    def steps(self, posterior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rates after all steps, and the point ahead of them where the next residual is measured.
+
+        Each step goes down the gradient per token from the point ahead and is cut off at zero.
+        """
+        before = rate = ahead = np.full(len(posterior), self.base)
+        for k, residual in enumerate(self.residuals, 1):
+            slope = posterior @ residual + self.pull * (ahead - self.base)
+            before, rate = rate, np.maximum(0, ahead - slope / (1 + self.pull))
+            ahead = rate + k / (k + 3) * (rate - before)
+        return rate, ahead
+
     def rates(self, posterior: np.ndarray, n_tokens: np.ndarray) -> np.ndarray:
-        """Steps down the gradient per token, each cut off at zero."""
-        rate = np.full(len(posterior), self.base)
-        for residual in self.residuals:
-            rate = np.maximum(0, rate - (posterior @ residual + self.pull * (rate - self.base)) / (1 + self.pull))
-        return np.where(n_tokens > 0, rate, 1.0)
+        return np.where(n_tokens > 0, self.steps(posterior)[0], 1.0)
 
 
 def fit_rates(
-    scored: DataFrame, weights: list[float], total: float | None = None, pull: float = 1e-4, most: int = 60, tolerance: float = 1e-5
+    scored: DataFrame, weights: list[float], total: float | None = None, pull: float = 1e-4, most: int = 60, tolerance: float = 1e-4
 ) -> Fit:
     """Rates that bring domains' expected tokens to ``weights`` of ``total``.
 
     Minimises the squared distances of the domains' token totals from their targets, each over the
     tokens the domain holds, plus ``pull`` times the squared distances of all tokens' rates from the
-    common one, by steps of length 1 / (1 + pull): with that scaling no curvature exceeds 1 + pull.
-    Ends when no residual moves by ``tolerance`` any more, or after ``most`` steps. ``total``: tokens to
+    common one, by accelerated steps of length 1 / (1 + pull): with that scaling no curvature exceeds
+    1 + pull. Ends when no residual moves by ``tolerance`` any more, or after ``most`` steps. ``total``: tokens to
     reach; by default as many as the domain with the least tokens for its weight allows without
     repeating any.
     """
@@ -229,7 +237,7 @@ def fit_rates(
                 if batch.num_rows:
                     p = pc.list_flatten(batch.column("posterior")).to_numpy().reshape(batch.num_rows, -1)
                     n = batch.column("n_tokens").to_numpy()
-                    out += (now.rates(p, n) * n) @ p
+                    out += (now.steps(p)[1] * n) @ p
             yield pa.RecordBatch.from_pydict({"domain": pa.array(range(len(out)), pa.int32()), "tokens": out})
 
         reached = scored.select("n_tokens", "posterior").mapInArrow(run, "domain int, tokens double")

@@ -23,7 +23,7 @@ def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: Domains of documents by their labels, and the share of tokens each is to have.
-WEIGHTS = {"good": 0.9, "low": 0.08, "toxic": 0.02}
+WEIGHTS = {"good": 0.85, "low": 0.1, "toxic": 0.05}
 
 
 def domain_of_labels() -> Column:
