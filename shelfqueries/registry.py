@@ -102,7 +102,7 @@ def merge_catalog(spark: SparkSession, sf: str) -> DataFrame:
 def resolve_name_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     inventory = t.settled_files(spark, sf)
     arriving = inventory.withColumn("target_dir", F.lit(t.TODAY))
-    named = naming.resolve_name_conflicts(arriving, t.today_names(t.catalog(spark, sf, inventory)))
+    named = naming.resolve_name_conflicts(arriving, t.today_names(t.catalog(spark, sf, inventory)), at=settle)
     return named.select("path", "name", "final_name")
 
 
@@ -122,7 +122,7 @@ def ingest_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, D
     inventory = t.settled_files(spark, sf)
     records, live = t.settled_catalog(spark, sf, inventory)
     plan = plan_ingest(
-        inventory, records, t.LIBRARY, t.PROCESSED_AT, live_paths=live, taken=t.today_names(records), **WANTED
+        inventory, records, t.LIBRARY, t.PROCESSED_AT, live_paths=live, taken=t.today_names(records), at=settle, **WANTED
     )
     return plan, records, live
 

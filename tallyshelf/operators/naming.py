@@ -6,10 +6,13 @@ on, skipping suffixes that are in use or that another incoming file brings along
 name. Suffixes have no end unless the caller sets one.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import name_stem, raw_extension, suffixed_name, walk_key
+from ..session import unsettled
 
 SUFFIXED = r"_([1-9][0-9]{0,17})(\.[^./]*)?$"
 #: Suffixes numbered in one go.
@@ -47,6 +50,7 @@ def assigned_names(
     key: str = "path",
     ignore_case: bool = False,
     max_suffix: int | None = None,
+    at: Callable[[DataFrame, str], DataFrame] = unsettled,
 ) -> DataFrame:
     """Rows (key, target_dir, final_name) for the files that get a name: all, unless suffixes are limited.
 
@@ -54,6 +58,7 @@ def assigned_names(
     (target_dir, name) pairs in use; it need hold no more than the folders that files go to.
     Files in wait of a suffix are numbered in parts by a hash of their path, free suffixes in blocks
     of numbers, and the two meet in a join on the number, so any number of files may want one name.
+    ``at`` may write down the claims, which are read several times.
     """
 
     def fold(name: str) -> Column:
@@ -64,7 +69,7 @@ def assigned_names(
     in_use = _names_in_use(files, fold("name"), F.lit(False))
     if taken is not None:
         in_use = in_use.unionByName(_names_in_use(taken, fold("name"), F.lit(True)))
-    uses = in_use.groupBy(*group, "suffix").agg(F.bool_or("own").alias("own"))
+    uses = at(in_use.groupBy(*group, "suffix").agg(F.bool_or("own").alias("own")), "names-in-use")
     queues = claims.groupBy(*group).agg(
         F.min(F.struct(walk_key("path").alias("key"), "claimant"))["claimant"].alias("first"), F.count("*").alias("claims")
     )
@@ -76,14 +81,14 @@ def assigned_names(
         F.coalesce("n_used", F.lit(0)).alias("n_used"),
     )
     waiting = F.col("claims") - F.col("first").isNotNull().cast("int")
-    placed = claims.join(queues.select(*group, "first").hint("rebalance"), group)
+    placed = at(claims.join(queues.hint("rebalance"), group), "claims")
     owner = F.coalesce(F.col("claimant") == F.col("first"), F.lit(False))
     named = placed.where(owner).select(F.col("claimant").alias(key), "target_dir", F.col("name").alias("final_name"))
 
-    late = placed.where(~owner).withColumns({"digest": F.md5("path"), "part": F.left(F.md5("path"), F.lit(4))})
+    late = placed.where(~owner).drop("first", "claims", "n_used").withColumns({"digest": F.md5("path"), "part": F.left(F.md5("path"), F.lit(4))})
     late = _numbered(late, group, "part", "digest", "path", "claimant")
     last = (waiting + F.col("n_used")).cast("bigint")
-    spans = queues.where(waiting > 0).select(*group, last.alias("last"))
+    spans = placed.where(owner | F.col("first").isNull()).where(waiting > 0).select(*group, last.alias("last")).distinct()
     blocks = spans.withColumn("block", F.explode(F.expr(f"sequence(0L, (last - 1) div {BLOCK})")))
     blocks = blocks.repartition(*group, "block")
     numbers = F.expr(f"sequence(block * {BLOCK} + 1, least((block + 1) * {BLOCK}, last))")
@@ -103,7 +108,8 @@ def resolve_name_conflicts(
     key: str = "path",
     ignore_case: bool = False,
     max_suffix: int | None = None,
+    at: Callable[[DataFrame, str], DataFrame] = unsettled,
 ) -> DataFrame:
     """All files with ``final_name``; null only where ``max_suffix`` leaves none."""
-    names = assigned_names(files, taken, key, ignore_case, max_suffix).select(key, "final_name")
+    names = assigned_names(files, taken, key, ignore_case, max_suffix, at).select(key, "final_name")
     return files.join(names, key, "left")

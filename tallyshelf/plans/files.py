@@ -8,7 +8,7 @@ copies. Plans are lazy and start no job; they read the inventory several times,
 a written table. ``ingest_folder`` sees to that.
 """
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +30,7 @@ from ..schemas import (
     SKIP_DUPLICATE,
     SKIPPED,
 )
-from ..session import settle
+from ..session import settle, unsettled
 from ..sources.files import file_inventory
 
 PLAN_COLUMNS = [
@@ -124,6 +124,7 @@ def plan_ingest(
     skip_temp: bool = False,
     only_ready: bool = False,
     max_suffix: int | None = None,
+    at: Callable[[DataFrame, str], DataFrame] = unsettled,
 ) -> DataFrame:
     """Action plan for moving a folder into the library.
 
@@ -134,14 +135,15 @@ def plan_ingest(
     ``processed_at``, or by the inventory column ``date_col``. A file that is not taken is SKIPPED
     with the reason. A file without a hash could not be read and is an ERROR; so are a file for which
     ``max_suffix`` leaves no name and its copies: none of them may be deleted while the content is
-    stored nowhere.
+    stored nowhere. The plan starts no job, unless ``at`` writes its named points down: with ``settle``
+    nothing behind them is computed more than once.
     """
     inventory = inventory.withColumn(
         "reason", skip_reason(extensions or DEFAULT_EXTENSIONS, max_size, skip_hidden, skip_temp, only_ready)
     )
     files = inventory.where(F.col("reason").isNull() & F.col("hash").isNotNull())
 
-    verdicts = content_verdicts(files, catalog, live_paths, [date_col] if date_col else [])
+    verdicts = at(content_verdicts(files, catalog, live_paths, [date_col] if date_col else []), "verdicts")
     day = date_path(F.col(date_col) if date_col else timestamp_column(processed_at))
     target_dir = join_path(F.lit(target_root.rstrip("/")), day)
     arriving = verdicts.where("state in ('NEW', 'STALE')").select(
@@ -153,7 +155,7 @@ def plan_ingest(
         taken = taken.join(arriving.select("target_dir").distinct(), "target_dir", "left_semi")
     else:
         taken = taken.where(F.col("target_dir") == target_dir)
-    named = assigned_names(arriving, taken, key="hash", max_suffix=max_suffix).select(
+    named = assigned_names(arriving, taken, key="hash", max_suffix=max_suffix, at=at).select(
         "hash", join_path("target_dir", "final_name").alias("kept_target")
     )
     verdicts = verdicts.join(named, "hash", "left")
@@ -205,4 +207,4 @@ def ingest_folder(
 ) -> DataFrame:
     """``plan_ingest`` of a folder, as a written table; contents are read and hashed once."""
     inventory = settle(file_inventory(spark, root, algorithm=algorithm), "inventory")
-    return settle(plan_ingest(inventory, catalog, target_root, **options), "plan")
+    return settle(plan_ingest(inventory, catalog, target_root, at=settle, **options), "plan")

@@ -36,6 +36,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def unsettled(df: DataFrame, label: str) -> DataFrame:
+    """``df`` itself: what a plan does at its named points unless the caller has it ``settle`` there."""
+    return df
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and return it as a Parquet scan, cutting its lineage."""
     spark = df.sparkSession

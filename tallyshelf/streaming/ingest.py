@@ -52,7 +52,7 @@ def ingest_batch(
     below = target_root.rstrip("/")
     if "date_col" not in options and isinstance(processed_at, str):
         below += "/" + processed_at[:10].replace("-", "/")
-    plan = plan_ingest(files, catalog, target_root, processed_at, taken=names_in_use(catalog, below), **options)
+    plan = plan_ingest(files, catalog, target_root, processed_at, taken=names_in_use(catalog, below), at=settle, **options)
     plan_path = f"{plan_root}/batch={batch_id}"
     plan.write.mode("overwrite").parquet(plan_path)
     written = spark.read.schema(plan.schema).parquet(plan_path)
