@@ -16,7 +16,7 @@ any other. A repeated row gets its row again. A null id never is a component id
 document of the component has an id. Other columns are not looked at.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -253,14 +253,14 @@ def near_duplicates(
     return out.select(F.col("id").alias(id_col), "fp", "root", "component_id", *others)
 
 
-def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of ``docs`` for each component: the one with the smallest id, rows without an id last.
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: Callable[..., DataFrame] = near_duplicates, **options) -> DataFrame:
+    """One row of ``docs`` for each component that ``near`` finds: the one with the smallest id, rows without an id last.
 
     Of rows with one id and text the first in order of the other columns stays. Only keys are
     compared to find it; the documents are shuffled once, to be joined with the keys that stay.
     """
     keys = row_keys(F.col(id_col), F.col(text_col))
-    found = near_duplicates(docs, id_col, text_col, keep=tuple(keys), **options)
+    found = near(docs, id_col, text_col, keep=tuple(keys), **options)
     first = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), id_col, "k1", "k2")).alias("first"))
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     rows = docs.select(*keys, F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(F.lit(0), *others).alias("others"))
