@@ -8,11 +8,12 @@ kind or none. Its factors are
 * the labels of tokens that follow one another (the chain), and
 * the labels of distant tokens that are the same or nearly so (the skip edges): six or more letters
   and signs that are equal after case and surrounding punctuation are dropped, or the same six or
-  more digits. Each mention is linked to the next one, so a text has at most two skip edges per
-  token and labels still pass along all mentions.
+  more digits. Each mention is linked to the next one, and to the last one before it that lies in a
+  pattern's span, or the first one after it, however far that is. So a text has at most four skip
+  edges per token, and a held label reaches all mentions in one step.
 
-Sum-product messages run over this loopy graph for a fixed number of rounds, for all texts of a chunk
-at once; tokens inside a pattern's span are held at its kind. A token whose marginal for a kind
+Sum-product messages run over this loopy graph, for all texts of a chunk at once, until those of a
+text move no more; tokens inside a pattern's span are held at its kind. A token whose marginal for a kind
 reaches ``least`` becomes a span; so a number mentioned again in another form gets the label of
 its first mention, while a token without such support stays as it is.
 
@@ -28,6 +29,7 @@ is fine; a field trained on none adds nothing.
 """
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -123,6 +125,23 @@ class Graph(NamedTuple):
     held: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
+    #: Skip edges between a held mention and others that are not next to it; training leaves them out.
+    hub: np.ndarray = np.zeros((0, 2), np.int64)
+
+
+def hub_edges(mentions: list[list[int]], held: np.ndarray, skip: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """For each mention outside all spans, an edge with the last held one before it, or the first after it."""
+    known, out = set(skip), []
+    for own in mentions:
+        fixed = [k for k in own if held[k] != ABSENT]
+        for k in own if fixed else []:
+            if held[k] == ABSENT:
+                at = fixed[max(bisect_left(fixed, k) - 1, 0)]
+                edge = (min(at, k), max(at, k))
+                if edge not in known:
+                    known.add(edge)
+                    out.append(edge)
+    return out
 
 
 def graph_of(column: pa.ChunkedArray) -> tuple[Graph, list[list[tuple[int, int, int]]]]:
@@ -140,7 +159,7 @@ def graph_of(column: pa.ChunkedArray) -> tuple[Graph, list[list[tuple[int, int,
     strings = [data[a:z].tobytes().decode() for a, z in zip(words.starts[token].tolist(), words.ends[token].tolist())]
     spans: list[list[tuple[int, int, int]]] = [[] for _ in range(len(column))]
     held = np.full(len(token), ABSENT)
-    skip, last, now = [], {}, -1
+    skip, last, now, mentions = [], {}, -1, {}
     for t in np.unique(text).tolist():
         spans[t] = base_spans(column[t].as_py())
     firsts = np.searchsorted(text, np.arange(len(column) + 1))
@@ -158,10 +177,12 @@ def graph_of(column: pa.ChunkedArray) -> tuple[Graph, list[list[tuple[int, int,
             if key in last and (not skip or skip[-1] != (last[key], k)):
                 skip.append((last[key], k))
             last[key] = k
+            mentions.setdefault((t, key), []).append(k)
     near = np.flatnonzero((token[1:] == token[:-1] + 1) & (text[1:] == text[:-1]))
     chain = np.stack([near, near + 1], axis=1)
     shapes = np.array([shape(s) for s in strings], np.int64)
-    return Graph(shapes, text, start, end, held, chain, np.array(skip, np.int64).reshape(-1, 2)), spans
+    hub = hub_edges([own for own in mentions.values() if len(own) > 1], held, skip)
+    return Graph(shapes, text, start, end, held, chain, *(np.array(x, np.int64).reshape(-1, 2) for x in (skip, hub))), spans
 
 
 class Field(NamedTuple):
@@ -172,31 +193,58 @@ class Field(NamedTuple):
     skip: float
 
 
-def marginals(graph: Graph, field: Field, rounds: int = 8) -> np.ndarray:
-    """Label probabilities of every token, by sum-product messages on the loopy graph."""
+#: Messages that would move by no more than that have settled.
+STILL = 1e-8
+
+
+def passed_on(belief: np.ndarray, back: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    """Messages of tokens of that belief over edges of that factor, without what came ``back`` over them."""
+    out = (belief - back)[:, :, None] + factor
+    most = out.max(axis=1)
+    new = most + np.log(np.exp(out - most[:, None]).sum(axis=1))
+    return new - new.max(axis=1, keepdims=True)
+
+
+def marginals(graph: Graph, field: Field, rounds: int | None = None) -> np.ndarray:
+    """Label probabilities of every token, by sum-product messages on the loopy graph.
+
+    A text's messages run until none would move by more than STILL (or for ``rounds``, if given),
+    whatever other texts do. Should they swing instead, and come no closer to rest in more rounds than the
+    text has edges, their steps are halved; at an eighth of the first step the text is left as it is.
+    """
     own = (shape_features() @ field.token)[graph.shapes]
     fixed = np.flatnonzero(graph.held != ABSENT)
     own[fixed] = -1e3
     own[fixed, graph.held[fixed]] = 0
-    edges = np.concatenate([graph.chain, graph.skip])
-    factor = np.concatenate(
-        [np.broadcast_to(field.chain, (len(graph.chain), LABELS, LABELS)), np.broadcast_to(field.skip * np.eye(LABELS), (len(graph.skip), LABELS, LABELS))]
-    )
-    to = np.concatenate([edges[:, 1], edges[:, 0]])
-    source = np.concatenate([edges[:, 0], edges[:, 1]])
-    factor = np.concatenate([factor, factor.transpose(0, 2, 1)])  # [edge, label of the source, label of the target]
-    back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-    message = np.zeros((len(to), LABELS))
-    for _ in range(rounds if len(to) else 0):
-        belief = own.copy()
-        np.add.at(belief, to, message)
-        out = (belief[source] - message[back])[:, :, None] + factor
-        most = out.max(axis=1)
-        new = most + np.log(np.exp(out - most[:, None]).sum(axis=1))
-        new -= new.max(axis=1, keepdims=True)
-        message = 0.5 * message + 0.5 * new
-    belief = own
-    np.add.at(belief, to, message)
+    edges = np.concatenate([graph.chain, graph.skip, graph.hub])
+    factors = np.stack([field.chain, field.skip * np.eye(LABELS)])
+    which = (np.arange(len(edges)) >= len(graph.chain)).astype(int)
+    text = graph.text[edges[:, 0]]
+    texts = int(text.max()) + 1 if len(text) else 0
+    patience = 100 + 4 * np.bincount(text, minlength=texts)
+    best, since, step = np.full(texts, np.inf), np.zeros(texts, int), np.full(texts, 0.5)
+    message = np.zeros((2, len(edges), LABELS))  # to the second token, to the first
+
+    def beliefs(on: np.ndarray) -> np.ndarray:
+        out = own.copy()
+        np.add.at(out, edges[on, 1], message[0, on])
+        np.add.at(out, edges[on, 0], message[1, on])
+        return out
+
+    on, done = np.arange(len(edges)), 0
+    while len(on) and (rounds is None or done < rounds):
+        done += 1
+        belief, factor, old = beliefs(on), factors[which[on]], message[:, on]
+        new = np.stack([passed_on(belief[edges[on, 0]], old[1], factor), passed_on(belief[edges[on, 1]], old[0], factor.transpose(0, 2, 1))])
+        move = np.zeros(texts)
+        np.maximum.at(move, text[on], np.abs(new - old).max(axis=(0, 2)))
+        message[:, on] = old + step[text[on], None] * (new - old)
+        closer = move < 0.9 * best
+        best, since = np.where(closer, move, best), np.where(closer, 0, since + 1)
+        stuck = since > patience
+        step, since, best = np.where(stuck, step / 2, step), np.where(stuck, 0, since), np.where(stuck, np.inf, best)
+        on = on[((move > STILL) & (step > 0.05))[text[on]]]
+    belief = beliefs(np.arange(len(edges)))
     belief = np.exp(belief - belief.max(axis=1, keepdims=True))
     return belief / belief.sum(axis=1, keepdims=True)
 

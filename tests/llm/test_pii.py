@@ -131,3 +131,37 @@ def test_redacted_overlaps():
     assert pii.redacted("abcdef", [(3, 0, 4), (2, 2, 6)]) == "[PHONE]"
     assert pii.redacted("ab cd", [(0, 0, 2), (1, 3, 5)]) == "[EMAIL] [IP]"
     assert pa.array([[]], pii.SPANS).to_pylist() == [[]]
+
+
+def mentions_in_a_row(n, skip):
+    edges = np.stack([np.arange(n - 1), np.arange(1, n)], axis=1)
+    held = np.full(n, pii.ABSENT)
+    held[0] = 3
+    field = pii.Field(np.zeros((19, pii.LABELS)), np.zeros((pii.LABELS, pii.LABELS)), skip)
+    return pii.Graph(np.zeros(n, int), np.zeros(n, int), np.arange(n), np.arange(n) + 1, held, np.zeros((0, 2), int), edges), field
+
+
+def test_messages_reach_every_mention():
+    n, skip = 60, 10.0
+    got = pii.marginals(*mentions_in_a_row(n, skip))[:, 3]
+    turn = np.exp(-skip) / (np.exp(-skip) * 4 + 1)  # to one other label over an edge
+    want = 0.2 + 0.8 * (1 - 5 * turn) ** np.arange(n)
+    assert np.allclose(got, want, atol=1e-5) and got[-1] > 0.95
+
+
+def test_a_text_does_not_depend_on_others():
+    column = ["Call +1 (546) 555-9275, 555-9275 or 12 12 1999", " ".join(f"555-{k % 7}275 {k}" for k in range(200))]
+    field = pii.Field(np.random.default_rng(4).normal(size=(19, pii.LABELS)), np.random.default_rng(5).normal(size=(pii.LABELS, pii.LABELS)), 2.0)
+    one, both = (pii.graph_of(pa.chunked_array([pa.array(c)]))[0] for c in (column[:1], column))
+    assert np.array_equal(pii.marginals(one, field), pii.marginals(both, field)[: len(one.text)])
+
+
+def test_dozens_of_repeats_take_the_label(spark):
+    rng = random.Random(6)
+    filler = lambda: " ".join(rng.choice("abcdefg") * 4 for _ in range(20))
+    text = "Call +1 (546) 555-9275 today. " + " ".join(f"{filler()} call 555-9275 again" for _ in range(60))
+    table = documents(spark, texts() + [(1000, text), (1001, text[30:] + " Or +1 (546) 555-9275")])
+    spans = {r.doc_id: (r.spans, r.redacted) for r in pii.find_spans(table, pii.train(table), redact=True).collect()}
+    for doc in (1000, 1001):
+        found, clean = spans[doc]
+        assert sum(not s.base and s.kind == "phone" for s in found) == 60 and "555-9275" not in clean
