@@ -3,10 +3,9 @@
 A classifier fitted on a table of labels gives every document a posterior over the domains. The
 documents' rates, how often each is to be used, are nonnegative and fitted by least squares: the
 expected tokens of each domain, summed over all documents, are to meet the domain's share of a total,
-while rates stay near a common one. Each step of projected gradient descent needs one sum per domain
-over all documents, which is a job with a partial sum in every task; a rate after t steps follows
-from the document's own posterior and the t residuals so far, so steps are replayed where the document
-lies and no state is kept or shuffled.
+while rates stay near a common one. Each Newton step needs a few sums per domain
+over all documents, which is a job with a partial sum in every task; a rate follows from the
+document's own posterior and the domains' residuals, so no state is kept or shuffled.
 
 The classifier is naive Bayes over hashed words, whose counts are summed by a shuffle into a table of
 fixed size. Its mean log-likelihood per word, and the word that says most for each domain, are turned
@@ -20,6 +19,7 @@ domain without tokens cannot be met and the others come out as near as rates all
 rows posteriors are uniform. An empty table gives an empty result.
 """
 
+import warnings
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -184,70 +184,103 @@ def posteriors(
 
 
 class Fit(NamedTuple):
-    """What replays every document's rate: pull to ``base``, and the domains' scaled residuals of each step."""
+    """What gives every document's rate: pull to ``base``, and each domain's scaled residual; and how near it came.
+
+    ``targets`` and ``reached`` are the domains' expected tokens; ``gap`` bounds the projected gradient per token.
+    """
 
     pull: float
     base: float
-    residuals: list[np.ndarray]
-
-    def steps(self, posterior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rates after all steps, and the point ahead of them where the next residual is measured.
+    residual: np.ndarray
+    targets: np.ndarray
+    reached: np.ndarray
+    gap: float
 
-        Each step goes down the gradient per token from the point ahead and is cut off at zero.
-        """
-        before = rate = ahead = np.full(len(posterior), self.base)
-        for k, residual in enumerate(self.residuals, 1):
-            slope = posterior @ residual + self.pull * (ahead - self.base)
-            before, rate = rate, np.maximum(0, ahead - slope / (1 + self.pull))
-            ahead = rate + k / (k + 3) * (rate - before)
-        return rate, ahead
+    def shares(self) -> tuple[np.ndarray, np.ndarray]:
+        """The shares of tokens that were wanted, and those reached."""
+        return tuple(x / max(x.sum(), 1e-300) for x in (self.targets, self.reached))
 
     def rates(self, posterior: np.ndarray, n_tokens: np.ndarray) -> np.ndarray:
-        return np.where(n_tokens > 0, self.steps(posterior)[0], 1.0)
+        return np.where(n_tokens > 0, np.maximum(0, self.base - posterior @ self.residual / self.pull), 1.0)
+
+
+#: Parts of a Newton step that are tried in one job.
+PARTS = 0.5 ** np.arange(8)
+
+
+def measured(scored: DataFrame, k: int, base: float, pull: float, points: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """For rates at each of the points (residuals): half their squares, the domains' tokens, and how these change.
+
+    One job with a partial sum in every task.
+    """
+    width = 1 + k + k * k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((len(points), width))
+        for batch in batches:
+            if batch.num_rows:
+                p = pc.list_flatten(batch.column("posterior")).to_numpy().reshape(batch.num_rows, -1)
+                n = batch.column("n_tokens").to_numpy()
+                for own, point in zip(out, points):
+                    rate = np.maximum(0, base - p @ point / pull)
+                    used = p[rate > 0]
+                    own += np.concatenate([[(n * rate * rate).sum() / 2], (rate * n) @ p, ((used * n[rate > 0, None]).T @ used).ravel()])
+        yield pa.RecordBatch.from_pydict({"place": pa.array(range(out.size), pa.int32()), "x": out.ravel()})
+
+    sums = scored.select("n_tokens", "posterior").mapInArrow(run, "place int, x double")
+    out = np.zeros(len(points) * width)
+    for place, x in sums.groupBy("place").agg(F.sum("x")).collect():
+        out[place] = x
+    return [(row[0], row[1 : 1 + k], row[1 + k :].reshape(k, k)) for row in out.reshape(len(points), -1)]
 
 
 def fit_rates(
-    scored: DataFrame, weights: list[float], total: float | None = None, pull: float = 1e-4, most: int = 60, tolerance: float = 1e-4
+    scored: DataFrame, weights: list[float], total: float | None = None, pull: float = 1e-4, most: int = 60, tolerance: float = 1e-5
 ) -> Fit:
     """Rates that bring domains' expected tokens to ``weights`` of ``total``.
 
     Minimises the squared distances of the domains' token totals from their targets, each over the
-    tokens the domain holds, plus ``pull`` times the squared distances of all tokens' rates from the
-    common one, by accelerated steps of length 1 / (1 + pull): with that scaling no curvature exceeds
-    1 + pull. Ends when no residual moves by ``tolerance`` any more, or after ``most`` steps. ``total``: tokens to
-    reach; by default as many as the domain with the least tokens for its weight allows without
-    repeating any.
+    tokens the domain holds, plus ``pull`` (more than 0) times the squared distances of all tokens' rates
+    from the common one. At the least a rate is the common one less the posterior times the residuals
+    over ``pull``, cut off at zero, so the residuals alone are unknown: one number a domain, the least of
+    a convex function made of quadratic pieces. Newton steps find it, each a job that tries parts of the
+    step; their number follows the pieces, not the targets. Ends when the projected gradient per token is at most
+    ``tolerance`` everywhere; a fit that does not come there in ``most`` steps is reported by a warning
+    and by its ``gap``. ``total``: tokens to reach; by default as many as the domain with the least tokens
+    for its weight allows without repeating any.
     """
+    if pull <= 0:
+        raise ValueError("pull has to be more than 0")
     shares = np.array(weights, float) / sum(weights)
-    sums = [F.sum(F.col("n_tokens") * F.element_at("posterior", k + 1)) for k in range(len(shares))]
+    k = len(shares)
+    sums = [F.sum(F.col("n_tokens") * F.element_at("posterior", d + 1)) for d in range(k)]
     held = np.array([x or 0.0 for x in scored.agg(*sums).first()])
     there = held.sum()
     if not there:
-        return Fit(pull, 1.0, [])
+        return Fit(pull, 1.0, np.zeros(k), np.zeros(k), np.zeros(k), 0.0)
     if total is None:
         can = (held / np.where(shares > 0, shares, 1))[(shares > 0) & (held > 0)]
         total = float(can.min()) if len(can) else there
-    fit = Fit(pull, total / there, [])
-    for _ in range(most):
-        now = fit
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(len(shares))
-            for batch in batches:
-                if batch.num_rows:
-                    p = pc.list_flatten(batch.column("posterior")).to_numpy().reshape(batch.num_rows, -1)
-                    n = batch.column("n_tokens").to_numpy()
-                    out += (now.steps(p)[1] * n) @ p
-            yield pa.RecordBatch.from_pydict({"domain": pa.array(range(len(out)), pa.int32()), "tokens": out})
-
-        reached = scored.select("n_tokens", "posterior").mapInArrow(run, "domain int, tokens double")
-        got = np.zeros(len(shares))
-        for k, tokens in reached.groupBy("domain").agg(F.sum("tokens")).collect():
-            got[k] = tokens
-        residual = (got - shares * total) / np.where(held > 0, held, np.inf)
-        if fit.residuals and np.abs(residual - fit.residuals[-1]).max() <= tolerance:
+    base, targets = total / there, shares * total
+    scale, wanted = np.where(held > 0, held, there), np.where(held > 0, targets, 0)
+    points, at, least = np.zeros((1, k)), np.zeros(k), np.inf
+    for step in range(most + 1):
+        found = measured(scored, k, base, pull, points)
+        values = [float(scale @ x**2 / 2 + wanted @ x + pull * half) for x, (half, _, _) in zip(points, found)]
+        gaps = [float(np.abs(x + (wanted - got) / scale).max()) for x, (_, got, _) in zip(points, found)]
+        best = int(np.argmin(gaps if min(gaps) <= tolerance else values))
+        if gaps[best] <= tolerance or values[best] < least:
+            at, least, gap, (_, reached, change) = points[best], values[best], gaps[best], found[best]
+            part = PARTS
+        else:
+            part = part * PARTS[-1] / 2  # shorter ones than any tried
+        if gap <= tolerance:
             break
-        fit = fit._replace(residuals=[*fit.residuals, residual])
+        slope = scale * at + wanted - reached
+        points = at - part[:, None] * np.linalg.solve(np.diag(scale) + change / pull, slope)
+    fit = Fit(pull, base, at, targets, reached, gap)
+    if gap > tolerance:
+        warnings.warn(f"rates are off their optimum by {gap:.2g} after {step} steps: shares {fit.shares()[1]} for {fit.shares()[0]}", stacklevel=2)
     return fit
 
 

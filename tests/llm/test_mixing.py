@@ -95,3 +95,29 @@ def test_copies_follow_the_rate(spark):
     table = spark.range(20_000).withColumn("rate", F.lit(1.3))
     used = table.agg(F.avg(mixing.copies(F.col("rate"), F.col("id"))), F.min(mixing.copies(F.col("rate"), F.col("id")))).first()
     assert used[0] == pytest.approx(1.3, abs=0.02) and used[1] == 1
+
+
+@pytest.mark.parametrize("noise,weights", [(1.0, [0.9, 0.08, 0.02]), (0.5, [0.85, 0.1, 0.05])])
+def test_overlapping_posteriors_end_at_the_optimum(spark, noise, weights):
+    """No token's rate could be moved to gain more than the tolerance, though posteriors tell domains apart badly."""
+    rng = np.random.default_rng(8)
+    p = mixing.softmax(np.log([0.6, 0.3, 0.1]) + rng.normal(size=(2000, 3)) * noise)
+    n = rng.integers(1, 900, len(p))
+    scored = spark.createDataFrame([(i, int(n[i]), p[i].tolist()) for i in range(len(p))], SCORED)
+    fit = mixing.fit_rates(scored, weights)
+    got = {r.id: r.rate for r in mixing.rated(scored, fit).collect()}
+    rate = np.array([got[i] for i in range(len(p))])
+    held = n @ p
+    total = min(held / weights)
+    reached = (rate * n) @ p
+    slope = p @ ((reached - np.array(weights) * total) / held) + 1e-4 * (rate - total / n.sum())
+    assert np.abs(slope[rate > 0]).max() < 2e-5 and slope.min() > -2e-5
+    assert np.allclose(fit.reached, reached) and np.allclose(fit.shares()[0], weights) and fit.gap <= 1e-5
+
+
+def test_a_stop_by_the_cap_is_reported(spark):
+    rng = np.random.default_rng(9)
+    p, n = soft(rng, 200, 3)
+    scored = spark.createDataFrame([(i, int(n[i]), p[i].tolist()) for i in range(200)], SCORED)
+    with pytest.warns(UserWarning, match="off their optimum"):
+        assert mixing.fit_rates(scored, [0.9, 0.08, 0.02], most=0).gap > 1e-5
