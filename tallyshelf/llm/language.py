@@ -50,12 +50,12 @@ REMEMBERED = 300_000
 BLOCK = 4_000_000
 
 
-def vocabulary_pieces(path: str, longest: int) -> list[str]:
-    """Pieces of letters of the public model: lower case, at most ``longest`` letters."""
+def vocabulary_pieces(path: str) -> list[str]:
+    """All pieces of letters of the public model, in lower case."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     plain = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not model.is_control(i) and not model.is_byte(i))
     wanted = regex.compile(f"{BEGIN}?(?:{WORD})").fullmatch
-    return sorted({p for p in (piece.lower() for piece in plain) if len(p) <= longest and (wanted(p) or p == BEGIN)})
+    return sorted({p for p in (piece.lower() for piece in plain) if wanted(p) or p == BEGIN})
 
 
 def letter_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,30 +74,59 @@ class Pieces:
 
     def __init__(self, pieces: list[str]):
         self.size, self.longest = len(pieces), max(map(len, pieces), default=1)
-        hashes = np.array([self.hash(p) for p in pieces], np.uint64)
-        self.order = np.argsort(hashes)
-        self.hashes = hashes[self.order]
-
-    def hash(self, piece: str) -> int:
-        out = 0
-        for letter in piece:
-            out = ((out + ord(letter) + 1) * int(self.FACTOR)) & (1 << 64) - 1
-            out ^= out >> 29
-        return out
+        begun: dict[int, int] = {}  # hashes of all beginnings of pieces, and the piece each is
+        for k, piece in enumerate(pieces):
+            out = 0
+            for letter in piece:
+                out = ((out + ord(letter) + 1) * int(self.FACTOR)) & (1 << 64) - 1
+                out ^= out >> 29
+                begun.setdefault(out, self.size)
+            begun[out] = k
+        hashes, piece = np.array(list(begun), np.uint64), np.array(list(begun.values()), np.int64)
+        order = np.argsort(hashes)
+        self.hashes, self.piece = hashes[order], piece[order]
 
     def numbers(self, letters: np.ndarray) -> Iterator[np.ndarray]:
         """For n = 1, 2, ...: the piece beginning at each place with n letters, ``size`` if none.
 
-        A single letter that is no piece has number ``size + 1``, the unknown letter.
+        A single letter that is no piece has number ``size + 1``, the unknown letter. Only places
+        where some piece begins with the letters so far are looked at again; ends when there are none.
         """
-        rolling = np.zeros_like(letters)
-        for n in range(1, min(self.longest, letters.shape[1]) + 1):
-            rolling = (rolling[:, : letters.shape[1] - n + 1] + letters[:, n - 1 :] + np.uint64(1)) * self.FACTOR
+        rows, width = letters.shape
+        flat = letters.ravel()
+        place, rolling = np.arange(flat.size), np.zeros(flat.size, np.uint64)
+        for n in range(1, min(self.longest, width) + 1):
+            fits = place % width + n <= width
+            place, rolling = place[fits], rolling[fits]
+            rolling = (rolling + flat[place + n - 1] + np.uint64(1)) * self.FACTOR
             rolling ^= rolling >> np.uint64(29)
-            at = np.searchsorted(self.hashes, rolling)
-            at[at == self.size] = 0
-            hit = self.hashes[at] == rolling if self.size else np.zeros(at.shape, bool)
-            yield np.where(hit, self.order[at] if self.size else 0, self.size + (n == 1))
+            if self.size:
+                at = np.searchsorted(self.hashes, rolling)
+                at[at == len(self.hashes)] = 0
+                hit = self.hashes[at] == rolling
+            else:
+                at, hit = np.zeros(len(place), np.int64), np.zeros(len(place), bool)
+            place, rolling, piece = place[hit], rolling[hit], self.piece[at[hit]]
+            if n > 1 and not len(place):
+                return
+            out = np.full((rows, width - n + 1), self.size + (n == 1))
+            known = piece != self.size
+            out[place[known] // width, place[known] % width] = piece[known]
+            yield out
+
+
+#: Letters of a piece from which on words without one are left out of the recursion.
+SPARSE = 4
+
+
+def add_pieces(total: np.ndarray, before: np.ndarray, numbers: np.ndarray, n: int, weights: np.ndarray) -> None:
+    """Add to each word's ``total`` what pieces of n letters make of ``before``."""
+    if n < SPARSE:
+        total += before * weights[numbers]
+        return
+    hit = np.flatnonzero(numbers < len(weights) - 2)
+    if len(hit):
+        total[hit] += before[hit] * weights[numbers[hit]]
 
 
 def forward(found: list[np.ndarray], weights: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +142,7 @@ def forward(found: list[np.ndarray], weights: np.ndarray, width: int) -> tuple[n
     now = np.zeros((rows, languages))
     for j in range(1, width + 1):
         for n in range(1, min(j, len(found)) + 1):
-            alpha[j] += alpha[j - n] * weights[found[n - 1][:, j - n]]
+            add_pieces(alpha[j], alpha[j - n], found[n - 1][:, j - n], n, weights)
         if j % RESCALE == 0:  # what a later letter can still reach is divided by its largest value
             low = max(0, j - len(found) + 1)
             most = alpha[low : j + 1].max(axis=0)
@@ -161,10 +190,10 @@ def expected_uses(words: list[str], counts: np.ndarray, pieces: Pieces, weights:
         ahead[0] = back[width] = 1
         for j in range(1, width + 1):
             for n in range(1, min(j, len(found)) + 1):
-                ahead[j] += ahead[j - n] * weights[found[n - 1][:, j - n]]
+                add_pieces(ahead[j], ahead[j - n], found[n - 1][:, j - n], n, weights)
         for j in range(width - 1, -1, -1):
             for n in range(1, min(width - j, len(found)) + 1):
-                back[j] += back[j + n] * weights[found[n - 1][:, j]]
+                add_pieces(back[j], back[j + n], found[n - 1][:, j], n, weights)
         share = counts[own] / np.maximum(ahead[width], 1e-300)
         for n, numbers in enumerate(found, 1):
             for j in range(width - n + 1):
@@ -212,12 +241,11 @@ def train(
     text_col: str = "text",
     lang_col: str = "lang",
     per_language: int = 1_000,
-    longest: int = 8,
     rounds: int = 2,
 ) -> Model:
     """Fit on the labelled rows that ``teaches`` admits, ``per_language`` of each language at most."""
     small_batches(docs.sparkSession)
-    vocabulary = vocabulary_pieces(path, longest)
+    vocabulary = vocabulary_pieces(path)
     pieces = Pieces(vocabulary)
     rows = labelled_sample(docs, teaches, per_language, id_col, lang_col)
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("text is not null")

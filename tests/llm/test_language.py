@@ -93,3 +93,19 @@ def test_without_labels_or_rows(spark):
     assert [(r.lang_pred, r.score) for r in language.identify(docs, model).collect()] == [("und", 0.0)] * 2
     empty = documents(spark, [])
     assert language.identify(empty, language.train(empty, queries.PIECES, F.lit(True))).count() == 0
+
+
+def test_long_pieces_take_part():
+    vocabulary = language.vocabulary_pieces(queries.PIECES)
+    assert {"▁hospital", "▁security", "▁infrastructure"} <= set(vocabulary)
+    pieces = language.Pieces(vocabulary)
+    rng = np.random.default_rng(3)
+    weights = language.normalised(np.vstack([rng.random((len(vocabulary), 2)), np.zeros((2, 2))]), len(vocabulary))
+    words = ["hospital", "security", "infrastructure", "infrastructures", "unterhospitalinfrastructureé"]
+    found = language.word_scores(words, pieces, weights)
+    uses = language.expected_uses(words, np.ones((len(words), 2)), pieces, weights)
+    assert uses[vocabulary.index("▁infrastructure")].min() > 0.5
+    for k, word in enumerate(words):
+        for lang in range(2):
+            probability = dict(zip(vocabulary, weights[:, lang]))
+            assert found[k, lang] == pytest.approx(math.log(all_segmentations(word, probability, language.FLOOR)), rel=1e-9)
