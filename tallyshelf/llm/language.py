@@ -173,35 +173,29 @@ def word_scores(words: list[str], pieces: Pieces, weights: np.ndarray) -> np.nda
 
 def expected_uses(words: list[str], counts: np.ndarray, pieces: Pieces, weights: np.ndarray) -> np.ndarray:
     """Expected uses of every piece, by language, in words seen ``counts`` times (words by languages).
-
-    Words are cut at 40 letters here, where products cannot underflow; it concerns training alone.
+    Sums over the beginnings and over the ends of a word have scales of their own, so that long
+    words cannot underflow.
     """
     uses = np.zeros((pieces.size + 2, weights.shape[1]))
-    words = [w[:40] for w in words]
     by_length: dict[int, list[int]] = {}
     for k, w in enumerate(words):
         by_length.setdefault(len(w), []).append(k)
-    block = max(1, BLOCK // (42 * weights.shape[1]))
-    for own in (ks[i : i + block] for ks in by_length.values() for i in range(0, len(ks), block)):
-        letters, lengths = letter_codes([words[k] for k in own])
-        width, found = int(lengths[0]), list(pieces.numbers(letters))
-        ahead = np.zeros((width + 1, len(own), weights.shape[1]))
-        back = np.zeros_like(ahead)
-        ahead[0] = back[width] = 1
-        for j in range(1, width + 1):
-            for n in range(1, min(j, len(found)) + 1):
-                add_pieces(ahead[j], ahead[j - n], found[n - 1][:, j - n], n, weights)
-        for j in range(width - 1, -1, -1):
-            for n in range(1, min(width - j, len(found)) + 1):
-                add_pieces(back[j], back[j + n], found[n - 1][:, j], n, weights)
-        share = counts[own] / np.maximum(ahead[width], 1e-300)
-        for n, numbers in enumerate(found, 1):
-            for j in range(width - n + 1):
-                got = numbers[:, j]
-                hit = got != pieces.size
-                used = (ahead[j] * back[j + n] * share)[hit] * weights[got[hit]]
-                for language in range(weights.shape[1]):
-                    uses[:, language] += np.bincount(got[hit], used[:, language], len(uses))
+    for size, same in by_length.items():
+        block = max(1, BLOCK // ((size + 2) * weights.shape[1]))
+        for own in (same[i : i + block] for i in range(0, len(same), block)):
+            letters, lengths = letter_codes([words[k] for k in own])
+            width, found, count = int(lengths[0]), list(pieces.numbers(letters)), counts[own]
+            with np.errstate(divide="ignore"):
+                ahead, back = (np.log(x) + scale for x, scale in (forward(f, weights, width) for f in (found, [numbers[:, ::-1] for numbers in found])))
+            for n, numbers in enumerate(found, 1):
+                for j in range(width - n + 1):
+                    hit = np.flatnonzero(numbers[:, j] != pieces.size)
+                    if not len(hit):
+                        continue
+                    got, rest = numbers[hit, j], width - j - n
+                    used = np.exp(ahead[j, hit] + back[rest, hit] - ahead[width, hit]) * weights[got] * count[hit]
+                    for language in range(weights.shape[1]):
+                        uses[:, language] += np.bincount(got, used[:, language], len(uses))
     return uses
 
 

@@ -109,3 +109,11 @@ def test_long_pieces_take_part():
         for lang in range(2):
             probability = dict(zip(vocabulary, weights[:, lang]))
             assert found[k, lang] == pytest.approx(math.log(all_segmentations(word, probability, language.FLOOR)), rel=1e-9)
+
+
+def test_training_takes_whole_words():
+    pieces = language.Pieces([language.BEGIN, "a", "b"])
+    weights = language.normalised(np.array([[1.0], [2.0], [3.0], [0], [0]]), 3)
+    words = ["a" * 100 + "b" * 3000, "z" * 500]
+    uses = language.expected_uses(words, np.array([[2.0], [1.0]]), pieces, weights)
+    assert uses[[0, 1, 2, 4], 0] == pytest.approx([3, 200, 6000, 500])
