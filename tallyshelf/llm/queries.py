@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, language, licenses, mixing, pii, simhash, substring_dedup, topk, urls, whitening
+from . import alignment, ann, bpe, language, licenses, mixing, pii, simhash, substring_dedup, topk, urls, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_PAIRS = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -104,13 +105,17 @@ def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op12_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.align(table(spark, sf, "documents"), BYTE_PAIRS, PIECES)
+
+
 def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
     return whitening.whiten(table(spark, sf, "embeddings"))
 
 
 def queries() -> dict[str, Query]:
     named = (op1_substring_dedup, op2_mixing, op3_pii, op4_licenses, op5_url_filter, op6_language, op7_topk, op8_simhash, op9_ann, op10_bpe)
-    named += (op13_whitening,)
+    named += (op12_alignment, op13_whitening,)
     return {query.__name__: query for query in named}
 
 
