@@ -16,8 +16,7 @@ turns U+2581 into a space), has no tokens: zeros and no groups. Rows are aligned
 counts, so a repeated row counts again; null ids are kept; other columns are not looked at.
 """
 
-import os
-from array import array
+import json
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
 from typing import NamedTuple
@@ -58,23 +57,34 @@ class Vocabulary(NamedTuple):
 
 
 class ByteTokenizer:
-    """A: a byte-level tokenizer file; strings of special tokens in a text are plain text."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True
+    """A: a byte-level tokenizer file; strings of special tokens in a text are plain text.
+
+    In such a file ids follow the order of the merges, so the vocabulary is a table of ranks, which the
+    rank library encodes with to the same ids in a third of the time; a file without that order is refused.
+    """
+
+    def __init__(self, path: str, pattern: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            given = json.load(file)
+        model, added = given["model"], {t["content"] for t in given["added_tokens"]}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        made = [model["vocab"]["".join(m)] for m in merges]
+        if given["normalizer"] or given["pre_tokenizer"]["type"] != "ByteLevel" or made != sorted(made):
+            raise ValueError(f"{path} is not a plain byte-level vocabulary in order of its merges")
+        alphabet = byte_alphabet()
+        self.ranks = {bytes(alphabet[c] for c in t): k for t, k in model["vocab"].items() if t not in added}
+        self.tool = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tool.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        return [self.tool.encode_ordinary(" " + text) for text in texts]
 
     def vocabulary(self) -> Vocabulary:
-        alphabet = byte_alphabet()
-        tokens = [self.tool.id_to_token(k) or "" for k in range(self.tool.get_vocab_size())]
-        known = [bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode() for t in tokens]
-        return Vocabulary.of(known)
+        tokens = [b""] * (max(self.ranks.values()) + 1)
+        for token, k in self.ranks.items():
+            tokens[k] = token
+        return Vocabulary.of(tokens)
 
 
 class PieceTokenizer:
@@ -110,42 +120,47 @@ class Aligner:
     def __init__(self, a, b):
         self.a, self.b = a, b
         self.of_a, self.of_b = a.vocabulary(), b.vocabulary()
-        self.length_a, self.length_b = self.of_a.lengths.tolist(), self.of_b.lengths.tolist()
-        self.names = [str(k) for k in range(max(len(self.length_a), len(self.length_b)))]
+        self.names = pa.array([str(k) for k in range(max(len(self.of_a.tokens), len(self.of_b.tokens)))])
         self.known: dict[bytes, tuple[str, int, bytes]] = {}
         self.size = 0
 
-    def window(self, key: bytes) -> tuple[str, int, bytes]:
-        """Groups as text, their number, and the codes a * |B| + b of the links, of one window."""
-        n, *ids = memoryview(key).cast("i").tolist()
-        of_a, of_b, names, size_b = self.length_a, self.length_b, self.names, len(self.length_b)
-        groups, links = [], []
-        j, at_a, at_b, end_a, end_b = n - 1, 0, n, 0, 0
-        for i in range(n):
-            end_a += of_a[ids[i]]
-            while end_b < end_a:
-                j += 1
-                end_b += of_b[ids[j]]
-            if end_a == end_b:
-                if at_a == i and at_b == j:
-                    groups.append(f"{names[ids[i]]}|{names[ids[j]]}")
-                else:
-                    groups.append(f"{','.join([names[x] for x in ids[at_a : i + 1]])}|{','.join([names[x] for x in ids[at_b : j + 1]])}")
-                links.append(ids[i] * size_b + ids[j])
-                at_a, at_b = i + 1, j + 1
-        return ";".join(groups), len(groups), array("I", links).tobytes()
+    def align_windows(self, keys: list[bytes]) -> Iterator[tuple[str, int, bytes]]:
+        """Of each window: groups as text, their number, and the codes a * |B| + b of the links.
+
+        Both sides of a window have the same bytes, so many windows are aligned in a row as one.
+        """
+        sizes = np.array([len(key) // 4 for key in keys])
+        packed = np.frombuffer(b"".join(keys), "<i4")
+        starts = np.cumsum(sizes) - sizes
+        n_a = packed[starts]
+        place = np.arange(len(packed)) - np.repeat(starts, sizes)
+        of_b = place > np.repeat(n_a, sizes)
+        a, b = packed[(place > 0) & ~of_b], packed[of_b]
+        a_ends, b_ends = np.cumsum(self.of_a.lengths[a]), np.cumsum(self.of_b.lengths[b])
+        at = np.searchsorted(b_ends, a_ends)
+        i = np.flatnonzero(b_ends[at] == a_ends)
+        j = at[i]
+        sides = []
+        for ids, last in ((a, i), (b, j)):
+            listed = pa.ListArray.from_arrays(pa.array(np.append(0, last + 1), pa.int32()), self.names.take(pa.array(ids)))
+            sides.append(pc.binary_join(listed, ","))
+        groups = pc.binary_join_element_wise(*sides, "|")
+        edges = np.append(0, np.searchsorted(i, np.cumsum(n_a) - 1, "right"))
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), groups), ";").to_pylist()
+        links = (a[i].astype(np.int64) * len(self.of_b.tokens) + b[j]).astype("<u4").tobytes()
+        for text, start, end in zip(texts, edges[:-1].tolist(), edges[1:].tolist()):
+            yield text, end - start, links[4 * start : 4 * end]
 
     def windows(self, keys: list[bytes]) -> tuple[pa.Array, np.ndarray, pa.Array]:
         if self.size > REMEMBERED:
             self.known, self.size = {}, 0
-        found = []
-        for key in keys:
-            own = self.known.get(key)
-            if own is None:
-                own = self.known[key] = self.window(key)
+        new = [key for key in keys if key not in self.known]
+        if new:
+            for key, own in zip(new, self.align_windows(new)):
+                self.known[key] = own
                 self.size += len(key) + len(own[0]) + len(own[2]) + 200
-            found.append(own)
-        return pa.array([f[0] for f in found], pa.string()), np.array([f[1] for f in found], np.int64), pa.array([f[2] for f in found], pa.binary())
+        texts, counts, links = zip(*map(self.known.__getitem__, keys))
+        return pa.array(texts, pa.string()), np.array(counts, np.int64), pa.array(links, pa.binary())
 
     def align(self, texts: list[str | None]) -> Aligned:
         some = [k for k, text in enumerate(texts) if text]
@@ -232,12 +247,12 @@ def pair_counts(aligned: DataFrame, size_b: int) -> Counts:
     return Counts(codes, counts, best)
 
 
-def aligned_texts(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str) -> DataFrame:
+def aligned_texts(docs: DataFrame, path_a: str, pattern: str, path_b: str, id_col: str, text_col: str) -> DataFrame:
     """``id``, ``n_a``, ``n_b``, ``n_groups``, ``groups_sha256`` and ``links`` (pair codes, packed) of every row."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(ByteTokenizer(path_a), PieceTokenizer(path_b))
+        aligner = Aligner(ByteTokenizer(path_a, pattern), PieceTokenizer(path_b))
         for table in chunks(batches, "text", CHUNK):
             done = aligner.align(table["text"].to_pylist())
             ids = table["id"].combine_chunks() if table.num_rows else pa.array([], table["id"].type)
@@ -248,15 +263,17 @@ def aligned_texts(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_c
     return rows.mapInArrow(run, f"id {kind}, n_a bigint, n_b bigint, n_groups bigint, groups_sha256 string, links binary")
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``id_col``, ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``n_best`` (links whose pair is the commonest
+def align(docs: DataFrame, path_a: str, pattern: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Texts by the byte-level file ``path_a``, split by ``pattern``, and the piece model ``path_b``.
+
+    Per row: ``id_col``, ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``n_best`` (links whose pair is the commonest
     of its id of B, ties included), ``count_sum`` (of the links' pairs), ``groups_sha256``."""
     spark = docs.sparkSession
     small_batches(spark)
     size_b = len(PieceTokenizer(path_b).vocabulary().tokens)
-    if len(ByteTokenizer(path_a).vocabulary().tokens) * size_b > 2**32:
+    if len(ByteTokenizer(path_a, pattern).vocabulary().tokens) * size_b > 2**32:
         raise ValueError("pairs of these vocabularies need more than 32 bits")
-    aligned = settle(aligned_texts(docs, path_a, path_b, id_col, text_col), "aligned")
+    aligned = settle(aligned_texts(docs, path_a, pattern, path_b, id_col, text_col), "aligned")
     shared = shared_value(spark, pair_counts(aligned, size_b))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

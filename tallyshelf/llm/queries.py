@@ -106,7 +106,7 @@ def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op12_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    return alignment.align(table(spark, sf, "documents"), BYTE_PAIRS, PIECES)
+    return alignment.align(table(spark, sf, "documents"), BYTE_PAIRS, public_tokenizers.PATTERN, PIECES)
 
 
 def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,6 +14,7 @@ from tallyshelf.llm import alignment, queries
 
 from .helpers import clashing, documents, rows
 
+FILES = (queries.BYTE_PAIRS, public_tokenizers.PATTERN, queries.PIECES)
 SF = "/root/testdata/sf0.01"
 
 
@@ -94,14 +95,20 @@ def test_awkward_rows(spark):
     texts = [*odd, *odd[:5], "word " * 20000, " leading", "trailing ", "don't re-tokenise, it's 12,345.67!"]
     docs = documents(spark, [(k if k else None, t) for k, t in enumerate(texts)])
     want = sorted([(k if k else None, *w) for k, w in enumerate(expected(texts))], key=repr)
-    assert rows(alignment.align(docs, queries.BYTE_PAIRS, queries.PIECES)) == want
-    assert rows(alignment.align(clashing(docs), queries.BYTE_PAIRS, queries.PIECES)) == want
+    assert rows(alignment.align(docs, *FILES)) == want
+    assert rows(alignment.align(clashing(docs), *FILES)) == want
     assert want[-1][1] == 0 or any(w[1] == 0 for w in want)
 
 
+def test_every_character_is_encoded_as_by_the_file():
+    a, own = tools()[0], alignment.ByteTokenizer(*FILES[:2])
+    texts = [f"a{c}{c}b1{c} {c}2" for c in map(chr, range(0x30000)) if not 0xD800 <= ord(c) < 0xE000]
+    assert own.encode(texts) == [e.ids for e in a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+
+
 def test_empty(spark):
-    assert alignment.align(documents(spark, []), queries.BYTE_PAIRS, queries.PIECES).count() == 0
-    none = alignment.align(documents(spark, [(1, None)]), queries.BYTE_PAIRS, queries.PIECES)
+    assert alignment.align(documents(spark, []), *FILES).count() == 0
+    none = alignment.align(documents(spark, [(1, None)]), *FILES)
     assert rows(none) == [(1, 0, 0, 0, 0, 0, 0, "")]
 
 
@@ -112,7 +119,7 @@ ALIGNER = []
 @given(st.lists(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\tab.'1▁"))), max_size=4))
 def test_any_text(texts):
     if not ALIGNER:
-        ALIGNER.append(alignment.Aligner(alignment.ByteTokenizer(public_tokenizers.path("byte_bpe_50k.json")), alignment.PieceTokenizer(queries.PIECES)))
+        ALIGNER.append(alignment.Aligner(alignment.ByteTokenizer(*FILES[:2]), alignment.PieceTokenizer(queries.PIECES)))
     done = ALIGNER[0].align(texts)
     want = list(expected(texts))
     assert [(*r[:3], d) for r, d in zip(zip(done.n_a.tolist(), done.n_b.tolist(), done.n_groups.tolist()), done.digests)] == [(*w[:3], w[-1]) for w in want]
