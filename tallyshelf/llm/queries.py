@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, ann, bpe, language, licenses, mixing, pii, simhash, substring_dedup, topk, urls, whitening
+from . import alignment, ann, bpe, language, language_model, licenses, mixing, pii, simhash, substring_dedup, topk, urls, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -105,6 +105,11 @@ def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    held = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    return language_model.score(table(spark, sf, "documents"), held)
+
+
 def op12_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return alignment.align(table(spark, sf, "documents"), BYTE_PAIRS, public_tokenizers.PATTERN, PIECES)
 
@@ -115,7 +120,7 @@ def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     named = (op1_substring_dedup, op2_mixing, op3_pii, op4_licenses, op5_url_filter, op6_language, op7_topk, op8_simhash, op9_ann, op10_bpe)
-    named += (op12_alignment, op13_whitening,)
+    named += (op11_lm_scoring, op12_alignment, op13_whitening,)
     return {query.__name__: query for query in named}
 
 
