@@ -279,6 +279,12 @@ def catalog_sql() -> dict[str, str]:
         sha256(concat(text, chr(10))) as hash, 'sha256' as hash_type from documents"""
     out["quarantine_failures"] = """select doc_id, '.txt' as extension, cast(strlen(text) + 1 as bigint) as file_size,
         cast(null as varchar) as hash, 'ERROR' as action, 'not readable' as reason from documents where strlen(text) + 1 > 4096"""
+    out["catalog_index"] = over(
+        """select doc_id as id, hash, name as original_name, file_size, extension, modified_at as created_at,
+            modified_at as processed_at, path as source_path, path as target_path, hash_type
+        from files f where not exists (select 1 from files b where f.doc_id < b.doc_id and f.hash = b.hash)
+            and hash in (select hash from files join labels using (doc_id) where quality = 0)"""
+    )
     out["read_catalog"] = over(f"select {COLUMNS} from catalog")
     out["write_library"] = over(
         "select target_path, hash, file_size, '2024' as year, '06' as month, '01' as day from plan"

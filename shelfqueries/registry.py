@@ -13,6 +13,7 @@ from tallyshelf.plans import analyze_log, apply_plan, catalog_statistics, plan_i
 from tallyshelf.plans.catalogs import new_records
 from tallyshelf.schemas import CATALOG
 from tallyshelf.session import scratch_path, settle
+from tallyshelf.sources import catalog_index as indexed
 from tallyshelf.sources import catalog_store, logs, sinks
 from tallyshelf.sources import files as folder
 from tallyshelf.streaming import events as bursts
@@ -228,6 +229,16 @@ def read_catalog(spark: SparkSession, sf: str) -> DataFrame:
     return catalog_store.read_catalog(spark, root)
 
 
+def catalog_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of the contents of badly labelled documents, looked up in ten indexed segments."""
+    root = scratch_path(spark, "indexed")
+    whole = settle(cat.compact_catalog(t.dirty_catalog(spark, sf)), "compact")
+    for batch in range(10):
+        catalog_store.append_catalog(whole.where(F.col("id") % 10 == batch), root, batch)
+    wanted = t.files(spark, sf).join(t.table(spark, sf, "labels").where("quality = 0"), "doc_id").select("hash")
+    return indexed.find_records(spark, root, settle(wanted, "wanted")).select(*RECORD)
+
+
 def append_catalog(spark: SparkSession, sf: str) -> DataFrame:
     """Records of a folder added to a stored catalog, twice, as after a replay."""
     root = scratch_path(spark, "segments")
@@ -540,6 +551,7 @@ STORES: dict[str, Query] = {
     "file_inventory": file_inventory,
     "read_catalog": read_catalog,
     "append_catalog": append_catalog,
+    "catalog_index": catalog_index,
     "read_log": read_log,
     "write_action_plan": write_action_plan,
     "write_library": write_library,

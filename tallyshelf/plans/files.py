@@ -66,9 +66,11 @@ def content_verdicts(
 
     ``state`` is NEW, KNOWN, STALE or UNSURE. A record is known if its file is in ``live_paths`` or
     among ``files``; otherwise it is stale, or, without ``live_paths``, unsure: nothing shows that
-    the original still exists. Only paths of matched records are looked up, by an inner join.
+    the original still exists. Only paths of matched records are looked up, by an inner join. The catalog
+    is cut to the hashes of ``files`` first, by a join that can send the smaller side.
     """
     records = catalog.select("hash", existing_path_column().alias("existing_path"))
+    records = records.join(files.select("hash"), "hash", "left_semi")
     verdicts = survivors(files, carry).join(records, "hash", "left")
     new = F.col("existing_path").isNull()
     seen = files.select("path")

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import CATALOG
+from .catalog_index import side_table, write_segment
 
-SEGMENTS = T.StructType([*CATALOG.fields, T.StructField("batch", T.LongType())])
+SEGMENTS = T.StructType([*CATALOG.fields, T.StructField("batch", T.LongType()), T.StructField("range", T.StringType())])
 
 
 def _laid_out(rows: DataFrame) -> DataFrame:
@@ -61,17 +62,15 @@ def read_catalog(spark: SparkSession, root: str, version: int | None = None) ->
 
 
 def append_catalog(rows: DataFrame, root: str, batch: int) -> str:
-    """Add records as the segment of ``batch``, and note the largest id up to it.
+    """Add records, a written table, as the indexed segment of ``batch``, and note the largest id up to it.
 
     Repeating the call for a batch changes nothing.
     """
-    path = f"{root}/segments/batch={batch}"
-    _write(_laid_out(rows), path, "overwrite")
-    written = rows.sparkSession.read.schema(CATALOG).parquet(path)
+    write_segment(rows, root, batch)
     before = last_id(rows.sparkSession, root, batch) if batch >= 0 else 0
     largest = F.greatest(F.coalesce(F.max("id"), F.lit(0)), F.lit(before)).cast("bigint")
-    written.agg(largest.alias("last_id")).write.mode("overwrite").parquet(f"{root}/ids/batch={batch}")
-    return path
+    rows.agg(largest.alias("last_id")).write.mode("overwrite").parquet(f"{root}/ids/batch={batch}")
+    return f"{root}/segments/batch={batch}"
 
 
 def init_segments(spark: SparkSession, root: str, catalog: DataFrame | None = None) -> None:
@@ -82,7 +81,7 @@ def init_segments(spark: SparkSession, root: str, catalog: DataFrame | None = No
 def read_segments(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
     """All segments, or those of the batches before one; the scan does not open the others."""
     rows = spark.read.schema(SEGMENTS).parquet(f"{root}/segments")
-    return (rows if before is None else rows.where(F.col("batch") < before)).drop("batch")
+    return (rows if before is None else rows.where(F.col("batch") < before)).drop("batch", "range")
 
 
 def last_id(spark: SparkSession, root: str, before: int) -> int:
@@ -93,8 +92,7 @@ def last_id(spark: SparkSession, root: str, before: int) -> int:
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-    notes = spark.read.schema(f"{schema}, batch bigint").parquet(f"{root}/ids")
-    return notes.where(F.col("batch") < before).agg(F.max("last_id")).first()[0] or 0
+    return side_table(spark, root, "ids", f"{schema}, batch bigint", before).agg(F.max("last_id")).first()[0] or 0
 
 
 def read_catalog_jdbc(

@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.catalog import names_in_use
 from ..plans import plan_ingest
 from ..plans.catalogs import new_records
 from ..plans.files import PLAN_COLUMNS
 from ..schemas import ERROR
 from ..session import settle
-from ..sources.catalog_store import append_catalog, last_id, read_segments
+from ..sources.catalog_index import find_records, names_below
+from ..sources.catalog_store import append_catalog, last_id
 
 FLUSH_INTERVAL = "2 seconds"
 FLUSH_FILES = 50
@@ -40,24 +40,25 @@ def ingest_batch(
 
     Both outputs carry the batch number. A batch that is replayed after a failure sees the
     same earlier segments, has the same time, and overwrites what it had written, so nothing is
-    recorded twice. Names in use are read below the batch's own day folder, which Parquet
-    statistics find, unless files are dated one by one.
+    recorded twice. Of the catalog only the parts are read that the index names for the batch's
+    hashes, and of the names in use those below the batch's own day folder, unless files are
+    dated one by one.
     """
     spark = inventory.sparkSession
     files = settle(inventory, "inventory")
-    catalog = read_segments(spark, catalog_root, before=batch_id)
+    catalog = find_records(spark, catalog_root, files.where("hash is not null").select("hash"), before=batch_id)
     processed_at = options.pop("processed_at", None)
     if processed_at is None:
         processed_at = batch_time(spark, catalog_root, batch_id)
     below = target_root.rstrip("/")
     if "date_col" not in options and isinstance(processed_at, str):
         below += "/" + processed_at[:10].replace("-", "/")
-    plan = plan_ingest(files, catalog, target_root, processed_at, taken=names_in_use(catalog, below), at=settle, **options)
+    plan = plan_ingest(files, catalog, target_root, processed_at, taken=names_below(spark, catalog_root, below, batch_id), at=settle, **options)
     plan_path = f"{plan_root}/batch={batch_id}"
     plan.write.mode("overwrite").parquet(plan_path)
     written = spark.read.schema(plan.schema).parquet(plan_path)
     added = new_records(written, last_id(spark, catalog_root, batch_id), "ingest", processed_at)
-    append_catalog(added, catalog_root, batch_id)
+    append_catalog(settle(added, "added"), catalog_root, batch_id)
 
 
 def ingest_stream(

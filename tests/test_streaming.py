@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyshelf.operators import filters
+from tallyshelf.operators.catalog import names_in_use
 from tallyshelf.operators.dedup import dedup_keep_first
 from tallyshelf.schemas import FILE_EVENTS
-from tallyshelf.sources import catalog_store, files, logs
+from tallyshelf.sources import catalog_index, catalog_store, files, logs
 from tallyshelf.streaming import events, ingest, progress
 
 from .test_operators import column, inventory, records
@@ -162,10 +163,12 @@ def test_all_bursts_of_a_table(spark):
 
 
 def test_names_below_a_folder_are_pushed_down(spark, tmp_path):
-    where = roots(spark, tmp_path, records(spark, [(1, "a", "/s/x.jpg", "/lib/x.jpg"), (2, "b", "/lib/y.jpg", ""), (3, "c", "/s/z", "/libs/z")]))
-    found = ingest.names_in_use(catalog_store.read_segments(spark, where[0]), "/lib")
-    assert column(found, "name") == ["x.jpg", "y.jpg"]
-    assert "StringStartsWith(target_path,/lib/)" in found._jdf.queryExecution().executedPlan().toString()
+    where = roots(spark, tmp_path, records(spark, [(1, "a", "/s/x.jpg", "/lib/x.jpg"), (2, "b", "/lib/y.jpg", ""), (3, "c", "/s/z", "/libs/z"), (4, "d", "/s/z", "/lib/in/z")]))
+    found = catalog_index.names_below(spark, where[0], "/lib")
+    assert column(found, "name") == ["x.jpg", "y.jpg", "z"]
+    assert "StringStartsWith(target_dir,/lib/)" in found._jdf.queryExecution().executedPlan().toString()
+    old = names_in_use(catalog_store.read_segments(spark, where[0]), "/lib")
+    assert sorted(map(tuple, old.collect())) == sorted(map(tuple, found.collect()))
 
 
 def test_stream_ends_like_the_batch_job(spark, tmp_path):
@@ -209,5 +212,5 @@ def test_running_totals(spark, tmp_path):
 
 def test_names_of_catalogued_files(spark):
     store = records(spark, [(1, "a", "/s/x.jpg", "/lib/2024/a b.jpg"), (2, "b", "/s/y.jpg", "")])
-    found = ingest.names_in_use(store).orderBy(F.col("name")).collect()
+    found = names_in_use(store).orderBy(F.col("name")).collect()
     assert [tuple(r) for r in found] == [("/lib/2024", "a b.jpg"), ("/s", "y.jpg")]
