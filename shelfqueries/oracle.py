@@ -278,7 +278,8 @@ def catalog_sql() -> dict[str, str]:
     out["file_inventory"] = out["new_file_stream"] = """select doc_id, '.txt' as extension, cast(strlen(text) + 1 as bigint) as file_size,
         sha256(concat(text, chr(10))) as hash, 'sha256' as hash_type from documents"""
     out["quarantine_failures"] = """select doc_id, '.txt' as extension, cast(strlen(text) + 1 as bigint) as file_size,
-        cast(null as varchar) as hash, 'ERROR' as action, 'not readable' as reason from documents where strlen(text) + 1 > 4096"""
+        cast(null as varchar) as hash, if(doc_id % 7 = 0, 'ERROR', 'RETRY') as action, 'not readable' as reason,
+        cast(if(doc_id % 7 = 0, 3, 1) as int) as tries from documents where doc_id % 7 < 2"""
     out["catalog_index"] = over(
         """select doc_id as id, hash, name as original_name, file_size, extension, modified_at as created_at,
             modified_at as processed_at, path as source_path, path as target_path, hash_type
@@ -373,8 +374,6 @@ def log_sql() -> dict[str, str]:
     total = "operation, round(total_ms, 3) as total_ms, round(avg_ms, 6) as avg_ms, count"
     latency = """operation, count(*) as count, round(avg(time_ms), 6) as avg_ms, round(median(time_ms), 6) as median_ms,
         round(min(time_ms), 6) as min_ms, round(max(time_ms), 6) as max_ms, round(stddev_samp(time_ms), 4) as stddev_ms"""
-    bursts = """select path, events, first_ts, last_ts, last_op from sessions
-        where last_ts + interval 30 minutes <= (select max(ts) from events) - interval {delay}"""
     out = {
         "read_log": "select level, count(*) as lines from log group by level",
         "classify_operations": f"select {sample} from samples",
@@ -401,9 +400,8 @@ def log_sql() -> dict[str, str]:
         "file_event_stream": "select path, op, ts from file_events",
         "filter_events": "select path, op, ts from file_events where op in ('CREATE', 'WRITE')",
         "debounce_events": "select path, events, first_ts, last_ts, last_op from sessions",
-        "debounce_stream": bursts.format(delay="10 minutes"),
+        "debounce_stream": "select path, events, first_ts, last_ts, last_op from sessions",
         "drop_vanished": "select path, events, first_ts, last_ts, last_op from sessions where last_op <> 'REMOVE'",
-        "late_event_policy": bursts.format(delay="1 day"),
     }
     out["recommendations"] = f"""
         select 1 as section, cast(unnest(range(len(texts))) as int) as place, unnest(texts) as advice from (
@@ -413,6 +411,17 @@ def log_sql() -> dict[str, str]:
           from (select *, {NAME} from totals order by totals.total_ms desc, operation limit 1))
         union all select 2, cast(unnest(range(2)) as int), unnest(['six', 'seven'])
         union all select 3, 0, 'eight' where exists (select 1 from log where number = 18)"""
+    out["flush_sizes"] = """
+        select cast(row_number() over (order by first_ts) as bigint) as flush, if(rows = 50, 'rows', 'quiet') as reason, * from (
+          select count(*) as rows, min(ts) as first_ts, max(ts) as last_ts from (
+            select ts, stretch, (row_number() over (partition by stretch order by ts) - 1) // 50 as k from (
+              select ts, sum(starts) over (order by ts, event_id) as stretch from (
+                select event_id, ts, if(ts - lag(ts) over (order by ts, event_id) > interval 10 minutes, 1, 0) as starts from events)))
+          group by stretch, k)"""
+    out["watch_ingest"] = """
+        select 'let through' as what, concat('/src/', source, '/', doc_id // 100, '/doc_', doc_id, '.EN') as path, hash
+          from files where doc_id % 10 <> 7
+        union all select distinct 'recorded', null, hash from files where doc_id % 10 <> 7"""
     out["write_report"] = """
         select 'latency' as report, operation, count(*) as n, round(median(time_ms), 6) as value from samples group by operation
         union all select 'transfer', operation, null, round(avg(speed_mbps), 6) from samples
@@ -421,7 +430,31 @@ def log_sql() -> dict[str, str]:
         union all (select 'top_by_avg_time', operation, count, round(avg_ms, 6) from totals order by totals.avg_ms desc, operation limit 10)
         union all select 'warning_count', null, count(*), null from log where number = 18
         union all (select 'first_warnings', null, 1, null from log where number = 18 limit 5)"""
-    return {name: over(sql) for name, sql in out.items()}
+    out = {name: over(sql) for name, sql in out.items()}
+    out["late_event_policy"] = LATE
+    return out
+
+
+#: Every fiftieth event comes three tenths late. The watermark is in milliseconds, a tenth behind.
+LATE = """
+with arrivals as (
+  select event_id, concat('/src/', user_id, '.jpg') as path, ts,
+    case event_type when 'click' then 'CREATE' when 'error' then 'REMOVE' else 'WRITE' end as op,
+    least(9, event_id * 10 // (select count(*) from events) + if(event_id % 50 = 0, 3, 0)) as part
+  from events),
+parts as (select part, max(ts) as newest from arrivals group by part),
+marks as (
+  select part, date_trunc('milliseconds', max(newest) over (order by part rows between unbounded preceding and 1 preceding))
+    - interval 10 minutes as mark from parts),
+judged as (select a.*, mark, coalesce(ts + interval 30 minutes <= mark, false) as late from arrivals a join marks using (part)),
+timely as (
+  select *, sum(starts) over (partition by path order by ts, op) as burst from (
+    select *, if(ts - lag(ts) over (partition by path order by ts, op) > interval 30 minutes, 1, 0) as starts
+    from judged where not late))
+select path, count(*) as events, min(ts) as first_ts, max(ts) as last_ts, max_by(op, (ts, op)) as last_op,
+  cast(null as timestamp) as watermark from timely group by path, burst
+union all select path, 0, ts, ts, op, mark from judged where late
+"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,7 +18,7 @@ from tallyshelf.sources import catalog_store, logs, sinks
 from tallyshelf.sources import files as folder
 from tallyshelf.streaming import events as bursts
 from tallyshelf.streaming import ingest as streamed
-from tallyshelf.streaming import progress
+from tallyshelf.streaming import progress, tries, watch
 
 from . import tables as t
 
@@ -216,11 +216,23 @@ def new_file_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def quarantine_failures(spark: SparkSession, sf: str) -> DataFrame:
-    """Files over the content cap are listed but not hashed."""
-    tree = written_tree(spark, sf)
-    listing = folder.file_listing(spark, tree)
-    small = folder.file_inventory(spark, tree, max_size=4096)
-    return by_document(streamed.quarantine_failures(listing, small), "extension", "file_size", "hash", "action", "reason")
+    """Listed files that vanish before they are read: a seventh before the first batch, another before the third."""
+    tree, root = scratch_path(spark, "tree"), scratch_path(spark, "ledger")
+    kind = F.when(F.col("doc_id") % 7 == 0, "lost").when(F.col("doc_id") % 7 == 1, "late").otherwise("good")
+    docs = t.table(spark, sf, "documents").select("doc_id", "text", kind.alias("kind"))
+    docs.write.partitionBy("kind", "doc_id").text(tree)
+    listing = settle(folder.file_listing(spark, tree), "listing")
+    is_late = F.col("path").contains("/kind=late/")
+    for batch, new in enumerate((listing.where(~is_late), listing.limit(0), listing.where(is_late))):
+        if batch != 1:
+            gone = f"{tree}/kind={'late' if batch else 'lost'}"
+            spark.createDataFrame([], "text string").write.mode("overwrite").text(gone)
+        offered = tries.offered(new, root, batch)
+        tries.try_files(offered, folder.file_inventory(spark, tree), root, batch)
+    given_up = by_document(tries.errors(spark, root), "extension", "file_size", "hash", "action", "reason", "tries")
+    open_ = tries.tries(spark, root).where(F.col("tries") < tries.MOST_TRIES)
+    open_ = open_.withColumns({"hash": F.lit(None).cast("string"), "action": F.lit("RETRY")})
+    return given_up.unionByName(by_document(open_, "extension", "file_size", "hash", "action", "reason", "tries"))
 
 
 def read_catalog(spark: SparkSession, sf: str) -> DataFrame:
@@ -408,6 +420,105 @@ def run_events(flow: Callable[[DataFrame], DataFrame]) -> Query:
     return query
 
 
+PARTS = 10
+CLOSING = "/closing.jpg"
+
+
+def in_parts(rows: DataFrame, part: Column, closing: dict[str, str], run: Callable[[DataFrame], object]) -> None:
+    """Let a stream take the rows in micro-batches, and last a closing event a day after all others.
+
+    Every part is a run of its own that goes on from the checkpoint of the one before.
+    """
+    spark, arriving = rows.sparkSession, scratch_path(rows.sparkSession, "arriving")
+    table = settle(rows.withColumn("part", part.cast("int")), "parts")
+    last = table.agg((F.max("ts") + F.expr("interval 1 day")).alias("ts"))
+    last = last.select(*(F.expr(closing.get(f.name, f"cast(null as {f.dataType.simpleString()})")).alias(f.name) for f in rows.schema.fields))
+    for k in range(PARTS + 1):
+        chosen = last if k == PARTS else table.where(F.col("part") == k).drop("part")
+        chosen.write.mode("append").parquet(arriving)
+        run(spark.readStream.schema(rows.schema).parquet(arriving)).awaitTermination()
+
+
+def numbered_events(spark: SparkSession, sf: str) -> tuple[DataFrame, Column]:
+    """File events with their numbers, and which tenth of all events each is in."""
+    events = t.table(spark, sf, "events")
+    rows = t.as_file_events(events, "event_id")
+    return rows, F.floor(F.col("event_id") * PARTS / F.lit(max(1, events.count())))
+
+
+def written_stream(flow: Callable[[DataFrame], DataFrame], out: str, progress_: str) -> Callable[[DataFrame], object]:
+    return lambda stream: bursts.start_append(flow(stream), out, progress_)
+
+
+def debounce_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """All bursts, from a stream in ten parts; the closing event lets the last ones go."""
+    out, rows = scratch_path(spark, "stream"), numbered_events(spark, sf)
+    flow = lambda e: bursts.debounce_events(e, "30 minutes", "10 minutes")
+    in_parts(*rows, {"path": f"'{CLOSING}'", "op": "'CREATE'", "ts": "ts"}, written_stream(flow, out, scratch_path(spark, "progress")))
+    return spark.read.schema(all_bursts(spark, sf).schema).parquet(out)
+
+
+def late_event_policy(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fiftieth event comes three parts late. Bursts of the others, and the late events with the watermark they missed."""
+    rows, part = numbered_events(spark, sf)
+    part = F.least(F.lit(PARTS - 1), part + F.when(F.col("event_id") % 50 == 0, 3).otherwise(0))
+    names = ("bursts", "late")
+    out, places = ({n: scratch_path(spark, f"{kind}-{n}") for n in names} for kind in ("stream", "progress"))
+    gap, delay = "30 minutes", "10 minutes"
+
+    def run(stream: DataFrame) -> object:
+        late = watch.late_events(stream.select("path", "op", "ts"), gap, delay)
+        bursts.start_append(late, out["late"], places["late"]).awaitTermination()
+        return bursts.start_append(bursts.debounce_events(stream, gap, delay), out["bursts"], places["bursts"])
+
+    in_parts(rows, part, {"path": f"'{CLOSING}'", "op": "'CREATE'", "ts": "ts"}, run)
+    kept = spark.read.schema(all_bursts(spark, sf).schema).parquet(out["bursts"]).withColumn("watermark", F.lit(None).cast("timestamp_ntz"))
+    late = spark.read.schema("path string, op string, ts timestamp, watermark timestamp").parquet(out["late"])
+    ts = F.col("ts").cast("timestamp_ntz")
+    late = late.select(
+        "path", F.lit(0).cast("bigint").alias("events"), ts.alias("first_ts"), ts.alias("last_ts"), F.col("op").alias("last_op"),
+        F.col("watermark").cast("timestamp_ntz").alias("watermark"),
+    )
+    return kept.unionByName(late)
+
+
+def flush_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Flushes of a buffer that all events pass: fifty rows, or what there is after ten minutes of quiet."""
+    out, (rows, part) = scratch_path(spark, "stream"), numbered_events(spark, sf)
+    flow = lambda e: watch.flush_buffer(e, limit=streamed.FLUSH_FILES, quiet="10 minutes", delay="1 minute")
+    in_parts(rows, part, {"ts": "ts"}, written_stream(flow, out, scratch_path(spark, "progress")))
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema.fields)}, shard bigint, flush bigint, reason string"
+    flushed = spark.read.schema(schema).parquet(out).groupBy("flush", "reason")
+    times = [f("ts").cast("timestamp_ntz").alias(n) for f, n in ((F.min, "first_ts"), (F.max, "last_ts"))]
+    return flushed.agg(F.count("*").alias("rows"), *times)
+
+
+def watch_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents arrive as files, a third of them in three writes, and a tenth is removed again; files let through, and contents recorded."""
+    roots = [scratch_path(spark, name) for name in ("segments", "plans")]
+    catalog_store.init_segments(spark, roots[0])
+    found = settle(t.as_files(t.table(spark, sf, "documents"), "concat('doc_', doc_id, '.EN')"), "files")
+    step = lambda op, seconds, share: F.struct(F.lit(op).alias("op"), F.lit(seconds).alias("after"), F.lit(share).alias("share"))
+    grows = F.array(step("CREATE", 0.0, 1), step("WRITE", 1.5, 2), step("WRITE", 3.0, 3))
+    steps = F.when(F.col("doc_id") % 3 == 0, grows).otherwise(F.array(step("CREATE", 0.0, 2), step("WRITE", 2.0, 3)))
+    steps = F.when(F.col("doc_id") % 10 == 7, F.concat(steps, F.array(step("REMOVE", 4.0, 3)))).otherwise(steps)
+    events = found.select("doc_id", "path", "file_size", "modified_at", F.inline(steps)).select(
+        "path", "op", F.timestamp_millis((F.lit(1704067200000) + F.col("doc_id") * 1000 + F.col("after") * 1000).cast("bigint")).alias("ts"),
+        F.floor(F.col("file_size") * F.col("share") / 3).alias("file_size"), "modified_at",
+    )
+    documents = found.agg(F.max("doc_id")).first()[0] or 0
+    part = F.least(F.lit(PARTS - 1), F.floor((F.unix_millis("ts") - F.lit(1704067200000)) / F.lit(1000.0 * (documents + 5) / PARTS)))
+    inventory = found.drop("doc_id")
+    run = partial(
+        watch.watch_ingest, catalog_root=roots[0], plan_root=roots[1], target_root=t.LIBRARY, checkpoint=scratch_path(spark, "progress"),
+        read=lambda quiet: inventory.join(quiet.select("path"), "path", "left_semi"), processed_at=t.PROCESSED_AT, **WANTED,
+    )
+    in_parts(events, part, {"path": f"'{CLOSING}'", "op": "'CREATE'", "ts": "ts"}, run)
+    plans = spark.read.schema("path string, hash string").parquet(roots[1]).select(F.lit("let through").alias("what"), "path", "hash")
+    records = catalog_store.read_segments(spark, roots[0]).select(F.lit("recorded").alias("what"), F.lit(None).cast("string").alias("path"), "hash")
+    return plans.unionByName(records)
+
+
 def plain_time(events: DataFrame) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
@@ -584,9 +695,11 @@ STREAMS: dict[str, Query] = {
     "file_event_stream": run_events(plain_time),
     "filter_events": run_events(lambda events: plain_time(filters.filter_events(events))),
     "debounce_events": all_bursts,
-    "debounce_stream": run_events(lambda e: bursts.debounce_events(e, "30 minutes", "10 minutes")),
+    "debounce_stream": debounce_stream,
     "drop_vanished": lambda spark, sf: bursts.drop_vanished_events(all_bursts(spark, sf)),
-    "late_event_policy": run_events(lambda e: bursts.debounce_events(e, "30 minutes", "1 day")),
+    "late_event_policy": late_event_policy,
+    "flush_sizes": flush_sizes,
+    "watch_ingest": watch_ingest,
     "new_file_stream": new_file_stream,
     "ingest_stream": run_ingest(streamed.ingest_stream),
     "scheduled_ingest": run_ingest(partial(streamed.scheduled_ingest, interval="5 seconds")),

@@ -123,8 +123,9 @@ def today_names(records: DataFrame) -> DataFrame:
     return names_in_use(records)
 
 
-def as_file_events(events: DataFrame) -> DataFrame:
+def as_file_events(events: DataFrame, *more: str) -> DataFrame:
     return events.selectExpr(
+        *more,
         "concat('/src/', user_id, '.jpg') as path",
         "case event_type when 'click' then 'CREATE' when 'error' then 'REMOVE' else 'WRITE' end as op",
         "cast(ts as timestamp) as ts",

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+#: One stateful operator a query: what is late is then told by the watermark that also closes bursts.
+MANY_STATES = "spark.sql.streaming.statefulOperator.allowMultiple"
 LOCAL_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 
 
@@ -47,6 +49,7 @@ def start_append(
     few rows.
     """
     stream.sparkSession.conf.set(LOCAL_MERGE, "true")
+    stream.sparkSession.conf.set(MANY_STATES, "false")
     writer = stream.writeStream.format("parquet").outputMode("append")
     writer = writer.option("path", path).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
