@@ -18,7 +18,7 @@ from tallyshelf.sources import catalog_store, logs, sinks
 from tallyshelf.sources import files as folder
 from tallyshelf.streaming import events as bursts
 from tallyshelf.streaming import ingest as streamed
-from tallyshelf.streaming import progress, tries, watch
+from tallyshelf.streaming import buffers, progress, tries, watch
 
 from . import tables as t
 
@@ -485,7 +485,7 @@ def late_event_policy(spark: SparkSession, sf: str) -> DataFrame:
 def flush_sizes(spark: SparkSession, sf: str) -> DataFrame:
     """Flushes of a buffer that all events pass: fifty rows, or what there is after ten minutes of quiet."""
     out, (rows, part) = scratch_path(spark, "stream"), numbered_events(spark, sf)
-    flow = lambda e: watch.flush_buffer(e, limit=streamed.FLUSH_FILES, quiet="10 minutes", delay="1 minute")
+    flow = lambda e: buffers.flush_buffer(e, limit=streamed.FLUSH_FILES, quiet="10 minutes", delay="1 minute")
     in_parts(rows, part, {"ts": "ts"}, written_stream(flow, out, scratch_path(spark, "progress")))
     schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema.fields)}, shard bigint, flush bigint, reason string"
     flushed = spark.read.schema(schema).parquet(out).groupBy("flush", "reason")

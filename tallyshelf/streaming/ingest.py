@@ -14,6 +14,7 @@ from ..schemas import ERROR
 from ..session import settle
 from ..sources.catalog_index import find_records, names_below
 from ..sources.catalog_store import append_catalog, last_id
+from .buffers import flush_buffer
 
 FLUSH_INTERVAL = "2 seconds"
 FLUSH_FILES = 50
@@ -88,8 +89,25 @@ def scheduled_ingest(inventory: DataFrame, *roots: str, interval: str = SCHEDULE
     return ingest_stream(inventory, *roots, interval=interval, **options)
 
 
-def micro_batch_flush(inventory: DataFrame, *roots: str, interval: str = FLUSH_INTERVAL, **options) -> StreamingQuery:
-    """``ingest_stream`` in short intervals; give the source ``FLUSH_FILES`` as its files per trigger."""
+def micro_batch_flush(
+    inventory: DataFrame,
+    *roots: str,
+    interval: str | None = FLUSH_INTERVAL,
+    by: str | None = None,
+    limit: int = FLUSH_FILES,
+    quiet: str = FLUSH_INTERVAL,
+    delay: str = "10 seconds",
+    shards: int = 1,
+    **options,
+) -> StreamingQuery:
+    """``ingest_stream`` in short intervals.
+
+    With ``by``, a time column, files pass a buffer first and are ingested when ``limit`` of them have come, or
+    ``quiet`` after the last one; without it a micro-batch is what has come in an interval.
+    """
+    if by:
+        flushed = flush_buffer(inventory, by, limit, quiet, delay, shards)
+        inventory = flushed.drop(by, "shard", "flush", "reason")
     return ingest_stream(inventory, *roots, interval=interval, **options)
 
 

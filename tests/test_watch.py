@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyshelf.sources import catalog_store
 from tallyshelf.streaming import events as bursts
-from tallyshelf.streaming import watch
+from tallyshelf.streaming import buffers, ingest, watch
 
 from .test_operators import column
 
@@ -118,7 +118,7 @@ def test_flushes_by_rows_or_quiet(spark, tmp_path, cut):
     n = len(rows) // cut + 1
     batches = [rows[k : k + n] for k in range(0, len(rows), n)] + [[("end", at(10_000), None, T0)]]
     schema = "path string, ts timestamp, note string, plain timestamp_ntz"
-    feed(spark, tmp_path, schema, batches, append(tmp_path, "out", lambda e: watch.flush_buffer(e, limit=7)))
+    feed(spark, tmp_path, schema, batches, append(tmp_path, "out", lambda e: buffers.flush_buffer(e, limit=7)))
     found = spark.read.parquet(str(tmp_path / "out"))
     assert {(r.path, r.ts, r.note, r.plain) for r in found.collect()} == set(rows)
     got = {}
@@ -129,9 +129,25 @@ def test_flushes_by_rows_or_quiet(spark, tmp_path, cut):
     assert [(k[1], sorted(v)) for k, v in sorted(got.items())] == want
 
 
+def test_buffered_ingest_takes_files_by_rows_or_quiet(spark, tmp_path):
+    where = [str(tmp_path / n) for n in ("catalog", "plans")]
+    catalog_store.init_segments(spark, where[0])
+    schema = "path string, name string, extension string, file_size bigint, modified_at timestamp_ntz, hash string, hash_type string, ts timestamp"
+    row = lambda k, s: (f"/s/{k}.jpg", f"{k}.jpg", ".jpg", k, at(k / 7), f"h{k}", "sha256", at(s))
+    counts = []
+
+    def start(stream):
+        counts.append(catalog_store.read_segments(spark, where[0]).count())
+        return ingest.micro_batch_flush(stream, *where, "/lib", str(tmp_path / "progress"), interval=None, by="ts", limit=3, processed_at=NOW)
+
+    batches = [[row(k, k / 10) for k in range(4)], [row(4, 0.5)], [row(5, 0.6)], [row(6, 60)], [row(7, 1000)]]
+    feed(spark, tmp_path, schema, batches, start)
+    assert counts == [0, 3, 3, 6, 6] and catalog_store.read_segments(spark, where[0]).count() == 7
+
+
 def test_shards_keep_every_row(spark, tmp_path):
     rows = [(f"p{k}", at(k / 10)) for k in range(200)]
-    feed(spark, tmp_path, "path string, ts timestamp", [rows, [("end", at(9999))]], append(tmp_path, "out", lambda e: watch.flush_buffer(e, limit=10, shards=3)))
+    feed(spark, tmp_path, "path string, ts timestamp", [rows, [("end", at(9999))]], append(tmp_path, "out", lambda e: buffers.flush_buffer(e, limit=10, shards=3)))
     found = spark.read.parquet(str(tmp_path / "out"))
     assert column(found.where("path <> 'end'"), "path") == sorted(p for p, _ in rows)
     assert max(r["count"] for r in found.groupBy("shard", "flush").count().collect()) == 10
