@@ -1,8 +1,10 @@
 """Helpers for frames that pass through Arrow."""
 
+import ctypes
 import pickle
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark import cloudpickle
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +30,14 @@ def shared_value[T](spark: SparkSession, value: T) -> Callable[[], T]:
     return lambda: pickle.loads(packed.value)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again, and by then other processes need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def row_keys(*columns: Column) -> list[Column]:
     """128 bits that tell rows apart by value; equal rows share them, and so share results.
 

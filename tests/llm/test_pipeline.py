@@ -12,7 +12,7 @@ import corpus_pipeline
 from tallyshelf.llm import pii, queries
 
 from .helpers import documents
-from .test_simhash import expected as near_groups
+from .test_near_copies import pairs_and_firsts
 
 SF = "/root/testdata/sf0.01"
 
@@ -40,7 +40,9 @@ def test_each_stage_on_the_tables(spark):
     assert len(gone) <= 2 and all(rows[d] == given[d] for d in rows)
 
     one = corpus_pipeline.near_dedup(spark, docs, SF)
-    want = {c for _, _, c in near_groups([(d, r.text) for d, r in given.items()])}
+    ids = sorted(given)
+    _, firsts = pairs_and_firsts([(d, given[d].text) for d in ids])
+    want = {ids[k] for k in firsts}
     assert sorted(r.doc_id for r in one.collect()) == sorted(want)
     assert {r.doc_id: r for r in one.collect()} == {d: given[d] for d in want}
 
