@@ -60,7 +60,7 @@ def test_each_stage_on_the_tables(spark):
     mixed = corpus_pipeline.source_mixing(spark, docs, SF)
     assert mixed.columns == docs.columns and all(r == given[r.doc_id] for r in mixed.collect())
     good = {r.doc_id for r in queries.op2_mixing(spark, SF).where("p_good >= 0.95").collect()}
-    assert len(good) > 0.5 * len(given) and good <= {r.doc_id for r in mixed.collect()}
+    assert len(good) > 0.4 * len(given) and good <= {r.doc_id for r in mixed.collect()}
 
 
 def test_whole_pipeline(spark):
