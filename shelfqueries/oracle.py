@@ -286,6 +286,17 @@ def catalog_sql() -> dict[str, str]:
         from files f where not exists (select 1 from files b where f.doc_id < b.doc_id and f.hash = b.hash)
             and hash in (select hash from files join labels using (doc_id) where quality = 0)"""
     )
+    out["stored_deletes"] = over(
+        """select state, id, hash, original_name, file_size, extension, created_at, processed_at, source_path, target_path, hash_type
+        from kept cross join (values ('segments'), ('folded'), ('found')) s(state)
+        where state <> 'found' or hash in (select hash from bad)""",
+        """bad as (select hash from files join labels using (doc_id) where quality = 0),
+        kept as (
+          select doc_id + if(doc_id % 7 = 0, 1000000000, 0) as id, hash, name as original_name, file_size, extension,
+            modified_at as created_at, modified_at as processed_at, path as source_path, path as target_path, hash_type
+          from files f where not exists (select 1 from files b where f.doc_id < b.doc_id and f.hash = b.hash)
+            and (doc_id % 7 = 0 or hash not in (select hash from bad)))""",
+    )
     out["read_catalog"] = over(f"select {COLUMNS} from catalog")
     out["write_library"] = over(
         "select target_path, hash, file_size, '2024' as year, '06' as month, '01' as day from plan"

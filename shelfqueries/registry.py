@@ -251,6 +251,27 @@ def catalog_index(spark: SparkSession, sf: str) -> DataFrame:
     return indexed.find_records(spark, root, settle(wanted, "wanted")).select(*RECORD)
 
 
+def stored_deletes(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored catalog after deletes and replacements: as segments, folded, and looked up by the index once folded.
+
+    The contents of badly labelled documents are deleted; every seventh record is replaced, deleted or not.
+    """
+    root = scratch_path(spark, "stored")
+    whole = settle(cat.compact_catalog(t.dirty_catalog(spark, sf)), "compact")
+    for batch in range(8):
+        catalog_store.append_catalog(whole.where(F.col("id") % 8 == batch), root, batch)
+    wanted = settle(t.files(spark, sf).join(t.table(spark, sf, "labels").where("quality = 0"), "doc_id").select("hash"), "wanted")
+    added = settle(whole.where("id % 7 = 0").withColumn("id", F.col("id") + 1_000_000_000), "replaced")
+    for _ in range(2):
+        catalog_store.delete_stored(wanted, root, 8)
+        catalog_store.append_catalog(whole.where("false"), root, 8)
+        catalog_store.replace_stored(added, root, 9)
+    states = {"segments": settle(catalog_store.read_segments(spark, root), "segments")}
+    catalog_store.fold_segments(spark, root, before=10, fan=4)
+    states |= {"folded": catalog_store.read_segments(spark, root), "found": indexed.find_records(spark, root, wanted)}
+    return reduce(DataFrame.unionByName, (rows.select(F.lit(n).alias("state"), *RECORD) for n, rows in states.items()))
+
+
 def append_catalog(spark: SparkSession, sf: str) -> DataFrame:
     """Records of a folder added to a stored catalog, twice, as after a replay."""
     root = scratch_path(spark, "segments")
@@ -663,6 +684,7 @@ STORES: dict[str, Query] = {
     "read_catalog": read_catalog,
     "append_catalog": append_catalog,
     "catalog_index": catalog_index,
+    "stored_deletes": stored_deletes,
     "read_log": read_log,
     "write_action_plan": write_action_plan,
     "write_library": write_library,

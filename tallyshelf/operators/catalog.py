@@ -56,11 +56,11 @@ def existing_path(catalog: DataFrame) -> DataFrame:
     return catalog.withColumn("existing_path", existing_path_column())
 
 
-def path_names(paths: DataFrame, path: Column | str = "path") -> DataFrame:
-    """(target_dir, name) of every path."""
+def path_names(paths: DataFrame, path: Column | str = "path", *more: str) -> DataFrame:
+    """(target_dir, name) of every path, and any other columns asked for."""
     path = F.col(path) if isinstance(path, str) else path
     name = base_name(path)
-    return paths.select(F.left(path, F.length(path) - F.length(name) - 1).alias("target_dir"), name.alias("name"))
+    return paths.select(F.left(path, F.length(path) - F.length(name) - 1).alias("target_dir"), name.alias("name"), *more)
 
 
 def names_in_use(catalog: DataFrame, below: str | None = None) -> DataFrame:

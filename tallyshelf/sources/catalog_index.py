@@ -6,7 +6,7 @@ hashes look like. Beside the segment lie two side tables:
 
 * ``index``: per range and piece of its filter the least and the largest digest, the number of records, and
   a bitmap with one bit per record and ``BITS_PER_RECORD`` bits of room.
-* ``names``: folder and name of every record's file, in order of the folder.
+* ``names``: folder and name of every record's file and its hash, in order of the folder.
 
 A batch's hashes are tried on the side table first. Only folders in which one of them may lie are listed
 and read, and what is read is cut to the batch's hashes by a join that sends the batch, not the catalog.
@@ -14,20 +14,22 @@ The driver sees the names of folders to be read, never a hash.
 """
 
 import math
+from collections import defaultdict
+from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalog import existing_path_column, path_names
 from ..schemas import CATALOG
+from .catalog_parts import SEGMENTS, Part, less_deleted, merges, part_table, tombstones
 
 PER_RANGE, BITS_PER_RECORD = 65_536, 8
 #: Hexadecimal digits that name a range, at most; and the bits of one bitmap of Spark's.
 DEEPEST, BITS = 4, 32_768
 WHOLE = "all"
 INDEX = "range string, depth int, pieces int, piece int, first_digest string, last_digest string, records bigint, filter binary, batch bigint"
-NAMES = "target_dir string, name string, batch bigint"
+NAMES = "target_dir string, name string, hash string, batch bigint"
 
 
 def digest() -> Column:
@@ -73,31 +75,25 @@ def write_segment(rows: DataFrame, root: str, batch: int) -> None:
     index = index.select(*(c.split()[0] for c in INDEX.split(", ")[:-1]))
     index = index.orderBy("range") if depth else index.coalesce(1)
     index.write.mode("overwrite").parquet(f"{root}/index/batch={batch}")
-    names = path_names(rows, existing_path_column())
+    names = path_names(rows, existing_path_column(), "hash")
     names = names.orderBy("target_dir") if depth else names.coalesce(1).sortWithinPartitions("target_dir")
     names.write.mode("overwrite").parquet(f"{root}/names/batch={batch}")
 
 
-def side_table(spark: SparkSession, root: str, name: str, schema: str, before: int | None) -> DataFrame:
-    try:
-        rows = spark.read.schema(schema).parquet(f"{root}/{name}")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        rows = spark.createDataFrame([], schema)
-    return rows if before is None else rows.where(F.col("batch") < before)
-
-
 def names_below(spark: SparkSession, root: str, folder: str, before: int | None = None) -> DataFrame:
     """(target_dir, name) of every catalogued file in or below a folder; statistics skip other folders."""
-    names = side_table(spark, root, "names", NAMES, before).drop("batch")
+    chosen = merges(spark, root, before)
+    names = part_table(spark, root, "names", NAMES, before, chosen)
     folder = folder.rstrip("/")
-    return names.where((F.col("target_dir") == folder) | F.col("target_dir").startswith(folder + "/"))
+    names = names.where((F.col("target_dir") == folder) | F.col("target_dir").startswith(folder + "/"))
+    return less_deleted(names, tombstones(spark, root, before, chosen)).select("target_dir", "name")
 
 
-def hit_ranges(spark: SparkSession, root: str, hashes: DataFrame, before: int | None = None) -> DataFrame:
+def hit_ranges(
+    spark: SparkSession, root: str, hashes: DataFrame, before: int | None = None, chosen: list[Part] | None = None
+) -> DataFrame:
     """``batch`` and ``range`` of the parts of segments in which one of the hashes may lie."""
-    index = side_table(spark, root, "index", INDEX, before)
+    index = part_table(spark, root, "index", INDEX, before, chosen)
     ranges = F.array(*(range_name("key", depth) for depth in range(DEEPEST + 1)))
     probes = hashes.select(digest().alias("key")).select("key", F.explode(ranges).alias("range"))
     place = filter_place("key", F.col("pieces"))
@@ -114,8 +110,16 @@ def find_records(spark: SparkSession, root: str, hashes: DataFrame, before: int
 
     ``hashes`` is read twice and should be a written table.
     """
-    hits = hit_ranges(spark, root, hashes, before).orderBy("batch", "range").collect()
-    if not hits:
+    chosen = merges(spark, root, before)
+    roots = {part.high: part.root for part in chosen}
+    paths: dict[str, list[str]] = defaultdict(list)
+    for hit in hit_ranges(spark, root, hashes, before, chosen).orderBy("batch", "range").collect():
+        place = roots.get(hit.batch, root)
+        paths[f"{place}/segments"].append(f"{place}/segments/batch={hit.batch}/range={hit.range}")
+    if not paths:
         return spark.createDataFrame([], CATALOG)
-    paths = [f"{root}/segments/batch={r.batch}/range={r.range}" for r in hits]
-    return spark.read.schema(CATALOG).parquet(*paths).join(hashes.select("hash"), "hash", "left_semi").select(*CATALOG.names)
+    wanted = hashes.select("hash")
+    read = (spark.read.schema(SEGMENTS).option("basePath", base).parquet(*folders) for base, folders in paths.items())
+    found = reduce(DataFrame.unionByName, read).join(wanted, "hash", "left_semi")
+    gone = tombstones(spark, root, before, chosen)
+    return less_deleted(found, None if gone is None else gone.join(wanted, "hash", "left_semi")).select(*CATALOG.names)

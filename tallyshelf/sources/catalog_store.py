@@ -3,18 +3,21 @@
 A snapshot is written beside the ones before it and then announced in ``commits``, so a
 writer that dies half-way leaves nothing a reader would see, and nobody ever overwrites
 what is being read. A streaming job adds segments instead, one per micro-batch; a replayed
-batch overwrites its own segment and nothing else.
+batch overwrites its own segment and nothing else. Deletes are tombstones, and small segments are
+folded into larger ones (``catalog_parts``).
 """
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..operators.catalog import compact_catalog
 from ..schemas import CATALOG
-from .catalog_index import side_table, write_segment
-
-SEGMENTS = T.StructType([*CATALOG.fields, T.StructField("batch", T.LongType()), T.StructField("range", T.StringType())])
+from ..session import settle
+from . import catalog_index
+from .catalog_parts import (
+    FAN, FIRST, MERGES, SEGMENTS, Part, due, less_deleted, merged_root, merges, part_table, side_table, size_level, tombstones,
+)
 
 
 def _laid_out(rows: DataFrame) -> DataFrame:
@@ -66,22 +69,91 @@ def append_catalog(rows: DataFrame, root: str, batch: int) -> str:
 
     Repeating the call for a batch changes nothing.
     """
-    write_segment(rows, root, batch)
+    catalog_index.write_segment(rows, root, batch)
     before = last_id(rows.sparkSession, root, batch) if batch >= 0 else 0
     largest = F.greatest(F.coalesce(F.max("id"), F.lit(0)), F.lit(before)).cast("bigint")
     rows.agg(largest.alias("last_id")).write.mode("overwrite").parquet(f"{root}/ids/batch={batch}")
     return f"{root}/segments/batch={batch}"
 
 
+def delete_stored(hashes: DataFrame, root: str, batch: int) -> None:
+    """Delete the records of the given hashes in all batches before ``batch``, without rewriting a segment.
+
+    Goes together with ``append_catalog`` for the same batch, whose records stay: an empty one for a plain
+    delete. Null hashes hit nothing. Repeating the call for a batch changes nothing.
+    """
+    wanted = hashes.select("hash").where("hash is not null").distinct()
+    wanted.write.mode("overwrite").parquet(f"{root}/tombstones/batch={batch}")
+
+
+def replace_stored(rows: DataFrame, root: str, batch: int) -> None:
+    """Records ``rows``, a written table, in place of what earlier batches have of their hashes."""
+    delete_stored(rows, root, batch)
+    append_catalog(rows, root, batch)
+
+
 def init_segments(spark: SparkSession, root: str, catalog: DataFrame | None = None) -> None:
     """Start a segmented catalog with the given records, or with none."""
-    append_catalog(spark.createDataFrame([], CATALOG) if catalog is None else catalog, root, -1)
+    append_catalog(spark.createDataFrame([], CATALOG) if catalog is None else catalog, root, FIRST)
+
+
+def _records(spark: SparkSession, root: str, before: int | None) -> DataFrame:
+    """Records less the deleted ones, with the batch of their part."""
+    chosen = merges(spark, root, before)
+    return less_deleted(part_table(spark, root, "segments", SEGMENTS, before, chosen), tombstones(spark, root, before, chosen))
 
 
 def read_segments(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
-    """All segments, or those of the batches before one; the scan does not open the others."""
-    rows = spark.read.schema(SEGMENTS).parquet(f"{root}/segments")
-    return (rows if before is None else rows.where(F.col("batch") < before)).drop("batch", "range")
+    """Records of all batches, or of those before one, less the deleted; the scan does not open other segments."""
+    return _records(spark, root, before).drop("batch", "range")
+
+
+def catalog_parts(spark: SparkSession, root: str, before: int | None = None, fan: int = FAN) -> list[Part]:
+    """The segments and merged segments that make up the catalog, oldest first."""
+    chosen = merges(spark, root, before)
+    batches = side_table(spark, root, "ids", "last_id bigint, batch bigint", before).select("batch")
+    for part in chosen:
+        batches = batches.where(~F.col("batch").between(part.low, part.high))
+    sizes = side_table(spark, root, "index", catalog_index.INDEX, before).groupBy("batch").agg(F.sum("records").alias("records"))
+    found = batches.join(sizes, "batch", "left").collect()
+    plain = [Part(root, r.batch, r.batch, size_level(r.records or 0, catalog_index.PER_RANGE, fan)) for r in found]
+    return sorted([*plain, *chosen], key=lambda part: part.high)
+
+
+def merge_parts(spark: SparkSession, root: str, parts: list[Part], level: int, newest_only: bool = False) -> Part:
+    """Write adjacent parts as one, less what tombstones up to its end hide, and announce it.
+
+    With ``newest_only`` a hash that several of the parts have keeps its record of the highest id.
+    """
+    low, high = parts[0].low, parts[-1].high
+    merged = Part(merged_root(root, low, high), low, high, level)
+    rows = _records(spark, root, high + 1).where(F.col("batch") >= low).select(*CATALOG.names)
+    rows = settle(compact_catalog(rows).select(*CATALOG.names) if newest_only else rows, "merged")
+    catalog_index.write_segment(rows, merged.root, high)
+    note = spark.createDataFrame([(low, high, level)], MERGES).coalesce(1)
+    note.write.mode("overwrite").parquet(f"{root}/merges/{low}_{high}")
+    return merged
+
+
+def fold_segments(
+    spark: SparkSession, root: str, before: int | None = None, fan: int = FAN, newest_only: bool = False
+) -> list[Part]:
+    """Merge segments in levels until no ``fan`` parts of one level are left in a row; gives what was merged.
+
+    For the one writer of a catalog, which passes the number of the batch it is at as ``before``: that batch may be
+    replayed and stays as it is. Readers go on meanwhile. A fold that dies is started anew.
+    """
+    if fan < 2:
+        raise ValueError("fan must be at least 2")
+    parts, done = catalog_parts(spark, root, before, fan), []
+    if parts:
+        parts[0] = parts[0]._replace(low=min(FIRST, parts[0].low))
+    while chosen := due(parts, fan):
+        run, level = chosen
+        done.append(merge_parts(spark, root, run, level, newest_only))
+        place = parts.index(run[0])
+        parts[place : place + len(run)] = [done[-1]]
+    return done
 
 
 def last_id(spark: SparkSession, root: str, before: int) -> int:

@@ -1,5 +1,6 @@
 """Continuous ingest: each micro-batch is planned like a folder and recorded once."""
 
+from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.errors import AnalysisException
@@ -10,10 +11,10 @@ from pyspark.sql.streaming import StreamingQuery
 from ..plans import plan_ingest
 from ..plans.catalogs import new_records
 from ..plans.files import PLAN_COLUMNS
-from ..schemas import ERROR
+from ..schemas import ERROR, REPLACE_STALE
 from ..session import settle
 from ..sources.catalog_index import find_records, names_below
-from ..sources.catalog_store import append_catalog, last_id
+from ..sources.catalog_store import append_catalog, delete_stored, fold_segments, last_id
 from .buffers import flush_buffer
 
 FLUSH_INTERVAL = "2 seconds"
@@ -35,7 +36,14 @@ def batch_time(spark: SparkSession, root: str, batch_id: int) -> str:
 
 
 def ingest_batch(
-    inventory: DataFrame, batch_id: int, catalog_root: str, plan_root: str, target_root: str, **options
+    inventory: DataFrame,
+    batch_id: int,
+    catalog_root: str,
+    plan_root: str,
+    target_root: str,
+    live: Callable[[], DataFrame] | None = None,
+    fan: int | None = None,
+    **options,
 ) -> None:
     """Plan one batch against the segments of earlier batches, then write plan and records.
 
@@ -43,9 +51,13 @@ def ingest_batch(
     same earlier segments, has the same time, and overwrites what it had written, so nothing is
     recorded twice. Of the catalog only the parts are read that the index names for the batch's
     hashes, and of the names in use those below the batch's own day folder, unless files are
-    dated one by one.
+    dated one by one. ``live`` gives the paths that exist now, anew for every batch; the record of a vanished original
+    is then replaced, by a tombstone and a record of this batch. With ``fan`` the segments of earlier batches are
+    folded afterwards.
     """
     spark = inventory.sparkSession
+    if live is not None:
+        options["live_paths"] = settle(live(), "live")
     files = settle(inventory, "inventory")
     catalog = find_records(spark, catalog_root, files.where("hash is not null").select("hash"), before=batch_id)
     processed_at = options.pop("processed_at", None)
@@ -59,7 +71,11 @@ def ingest_batch(
     plan.write.mode("overwrite").parquet(plan_path)
     written = spark.read.schema(plan.schema).parquet(plan_path)
     added = new_records(written, last_id(spark, catalog_root, batch_id), "ingest", processed_at)
+    if "live_paths" in options:
+        delete_stored(written.where(F.col("action") == REPLACE_STALE), catalog_root, batch_id)
     append_catalog(settle(added, "added"), catalog_root, batch_id)
+    if fan:
+        fold_segments(spark, catalog_root, before=batch_id, fan=fan)
 
 
 def ingest_stream(
@@ -74,7 +90,7 @@ def ingest_stream(
     """Ingest a stream of hashed files into a segmented catalog.
 
     With an ``interval`` it runs on; without one it works off the files that are there and
-    ends, for use under an external scheduler. ``options`` are those of ``plan_ingest``.
+    ends, for use under an external scheduler. ``options`` are those of ``ingest_batch`` and ``plan_ingest``.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..plans.files import PLAN_COLUMNS
 from ..schemas import ERROR
 from ..session import settle
-from ..sources.catalog_index import side_table
+from ..sources.catalog_parts import side_table
 
 MOST_TRIES = 3
 LISTED = "path string, name string, extension string, file_size bigint, modified_at timestamp_ntz"

@@ -140,6 +140,32 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     assert spark.read.parquet(where[1]).count() == 3
 
 
+def test_a_vanished_original_is_replaced_in_the_stream(spark, tmp_path):
+    """Each batch sees the files that exist then; segments are folded as the batches come."""
+    where = roots(spark, tmp_path, records(spark, [(1, "a", "/s/a.jpg", "/lib/a.jpg"), (2, "b", "/s/b.jpg", "/lib/b.jpg")]))
+    present = ["/lib/b.jpg"]
+
+    def live():
+        return spark.createDataFrame([(p,) for p in present], "path string")
+
+    batches = [[("/s/a2.jpg", "a"), ("/s/b2.jpg", "b")], [("/s/a3.jpg", "a")], [("/s/c.jpg", "c")], [("/s/b3.jpg", "b")]]
+    for number, rows in enumerate(batches):
+        for _ in range(2):
+            ingest.ingest_batch(inventory(spark, rows), number, *where[:3], processed_at=NOW, live=live, fan=2)
+        present.append("/lib/2024/06/01/a2.jpg")
+        if number == 2:
+            present.remove("/lib/b.jpg")
+    plans = spark.read.parquet(where[1])
+    assert sorted((r.name, r.action) for r in plans.collect()) == [
+        ("a2.jpg", "REPLACE_STALE"), ("a3.jpg", "DELETE_DUPLICATE"), ("b2.jpg", "DELETE_DUPLICATE"), ("b3.jpg", "REPLACE_STALE"), ("c.jpg", "MOVE"),
+    ]
+    found = catalog_store.read_segments(spark, where[0])
+    assert sorted((r.hash, r.id, r.target_path) for r in found.collect()) == [
+        ("a", 3, "/lib/2024/06/01/a2.jpg"), ("b", 5, "/lib/2024/06/01/b3.jpg"), ("c", 4, "/lib/2024/06/01/c.jpg"),
+    ]
+    assert [(p.low, p.high) for p in catalog_store.catalog_parts(spark, where[0])] == [(-1, 2), (3, 3)]
+
+
 def test_replays_keep_the_time_of_the_first_try(spark, tmp_path):
     where = roots(spark, tmp_path)
     time = ingest.batch_time(spark, where[0], 4)
