@@ -305,6 +305,13 @@ def catalog_sql() -> dict[str, str]:
     out["running_totals"] = over(
         "select action, count(*) as files, cast(sum(file_size) as bigint) as bytes from plan group by action", INGEST
     )
+    out["running_rates"] = over(
+        """select action, files, bytes, first_at, last_at, elapsed_seconds, round(files / nullif(elapsed_seconds, 0), 9) as files_per_second,
+          round(bytes / nullif(elapsed_seconds, 0), 6) as bytes_per_second
+        from (select action, count(*) as files, cast(sum(file_size) as bigint) as bytes, min(modified_at) as first_at,
+            max(modified_at) as last_at, (epoch_us(max(modified_at)) - epoch_us(min(modified_at))) / 1000000 as elapsed_seconds
+          from plan group by action)""", INGEST
+    )
     out["processing_stats"] = over(
         f"""select count(*) as processed_files, count_if({kept}) as moved_files,
         count_if(action = 'DELETE_DUPLICATE') as deleted_files,

@@ -574,6 +574,17 @@ def running_totals(spark: SparkSession, sf: str) -> DataFrame:
     return progress.latest_totals(spark, out)
 
 
+def running_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals and rates of a plan that comes in ten micro-batches."""
+    plans, out, place = (scratch_path(spark, name) for name in ("plan", "totals", "progress"))
+    plan = settle(ingest(spark, sf).withColumn("part", F.pmod(F.xxhash64("path"), F.lit(PARTS))), "plan")
+    for part in range(PARTS):
+        plan.where(F.col("part") == part).drop("part").write.mode("append").parquet(plans)
+        stream = spark.readStream.schema(plan.drop("part").schema).parquet(plans)
+        progress.start_totals(stream, out, place, interval=None, at="modified_at").awaitTermination()
+    return rounded(progress.latest_totals(spark, out), files_per_second=9, bytes_per_second=6)
+
+
 # Scalar functions
 
 
@@ -728,6 +739,7 @@ STREAMS: dict[str, Query] = {
     "micro_batch_flush": run_ingest(streamed.micro_batch_flush),
     "quarantine_failures": quarantine_failures,
     "running_totals": running_totals,
+    "running_rates": running_rates,
 }
 
 

@@ -236,6 +236,16 @@ def test_running_totals(spark, tmp_path):
     assert totals() == {"MOVE": (3, 15), "ERROR": (1, 1), "SKIP_DUPLICATE": (1, 0)}
 
 
+def test_rates_of_running_totals(spark):
+    rows = [("MOVE", 10, "2024-01-01 00:00:00"), ("MOVE", 30, "2024-01-01 00:00:08.5"), ("MOVE", None, None), ("ERROR", 1, "2024-01-01 00:00:03")]
+    plans = spark.createDataFrame(rows, "action string, file_size bigint, at string").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    found = {r.action: r for r in progress.running_totals(plans.unionByName(plans.limit(0)), "at").collect()}
+    moved, failed = found["MOVE"], found["ERROR"]
+    assert (moved.files, moved.bytes, moved.elapsed_seconds) == (3, 40, 8.5)
+    assert (moved.files_per_second, moved.bytes_per_second) == (3 / 8.5, 40 / 8.5)
+    assert (failed.elapsed_seconds, failed.files_per_second, failed.bytes_per_second) == (0.0, None, None)
+
+
 def test_names_of_catalogued_files(spark):
     store = records(spark, [(1, "a", "/s/x.jpg", "/lib/2024/a b.jpg"), (2, "b", "/s/y.jpg", "")])
     found = names_in_use(store).orderBy(F.col("name")).collect()
