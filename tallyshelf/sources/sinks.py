@@ -1,10 +1,17 @@
-"""Where results go: action plans, reports and the organised library."""
+"""Where results go: action plans, reports, plain files and the organised library."""
 
+import posixpath
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import CATALOG_ACTION, MOVE, REPLACE_STALE
 
+
 def write_action_plan(plan: DataFrame, path: str) -> None:
     """Record what happens to every file."""
     plan.write.mode("overwrite").parquet(path)
@@ -44,3 +51,26 @@ def write_library(kept: DataFrame, root: str, batch: int = 0) -> None:
     """
     parts = {name: F.regexp_extract("target_path", DAY, k) for k, name in enumerate(("year", "month", "day"), 1)}
     kept.withColumns(parts).write.partitionBy(*parts).mode("overwrite").parquet(f"{root}/batch={batch}")
+
+
+def write_files(files: DataFrame, root: str) -> None:
+    """One file per row: ``content`` at ``path`` below ``root``, a folder all executors share.
+
+    Spark's own writers start up to four ``chmod`` processes a file on a local file system without Hadoop's native
+    library, and rename folder by folder in the driver. Here each task writes its rows through Arrow, under a hidden
+    name first, so that a repeated task leaves whole files only.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                folder, name = posixpath.split(f"{top}/{path}")
+                system.create_dir(folder)
+                unfinished = f"{folder}/.{name}.{uuid.uuid4().hex}"
+                with system.open_output_stream(unfinished) as out:
+                    out.write(content or b"")
+                system.move(unfinished, f"{folder}/{name}")
+            yield pa.RecordBatch.from_pydict({"files": [len(batch)]}, pa.schema([("files", pa.int64())]))
+
+    files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(write, "files bigint").agg(F.sum("files")).collect()

@@ -148,3 +148,16 @@ class NoSharedFolder:
 def test_a_cluster_must_name_its_shared_folder():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(NoSharedFolder)
+
+
+def test_files_are_written_without_a_process_per_file(spark, tmp_path):
+    """A few hundred files with Spark's writer took as many ``chmod`` processes; contents and hidden rests are told."""
+    count = 400
+    rows = spark.range(count).selectExpr("concat(id div 100, '/doc_id=', id, '/text.txt') as path", "concat('ü', id) as content")
+    for _ in range(2):  # as after a repeated task
+        sinks.write_files(rows, f"file://{tmp_path}/tree")
+    found = {str(p.relative_to(tmp_path / "tree")): p.read_text() for p in (tmp_path / "tree").rglob("*") if p.is_file()}
+    assert found == {f"{i // 100}/doc_id={i}/text.txt": f"ü{i}" for i in range(count)}
+    read = files.file_inventory(spark, str(tmp_path / "tree"), extensions=["TXT"])
+    assert read.select("hash").distinct().count() == count
+    assert read.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
