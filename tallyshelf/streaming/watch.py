@@ -1,4 +1,4 @@
-"""State per path, with timers on event time: quiet files, watched ingest, late events.
+"""State of paths, with timers on event time: quiet files, watched ingest, late events.
 
 Every rule looks at event times alone. Rows of a micro-batch are put in order first, and what has become
 quiet before a row is let go before the row counts, whether or not a timer has fired meanwhile. So
@@ -26,44 +26,57 @@ SEEN = "SEEN"
 QUIET = "path string, events bigint, first_ts timestamp, last_ts timestamp, last_op string, file_size bigint, modified_us bigint"
 
 
-def quiet_files(events: DataFrame, quiet: str = "2 seconds", delay: str = "10 seconds") -> DataFrame:
+def quiet_files(events: DataFrame, quiet: str = "2 seconds", delay: str = "10 seconds", shards: int = 256) -> DataFrame:
     """Files that have been quiet and unchanged for ``quiet``, with how they were last seen.
 
     ``events`` has ``path``, ``op``, ``ts``, ``file_size`` and ``modified_at``. An event starts the wait anew, and so
     does an observation (``SEEN``) by which size or time of the file differ from before; one of an unchanged file
     does not. Exactly ``quiet`` apart still belongs together. A file that was removed or renamed last is not let
-    through. State is one row per path that is not quiet yet.
+    through. Paths are dealt to ``shards`` by their hash, as a call of Python for every path costs far more than the
+    path; the state of a shard is its paths that are not quiet yet.
     """
     span = micros(quiet)
 
-    def emit(path: str | None, now: tuple) -> Iterator[pd.DataFrame]:
-        first, last, op, size, modified, events_ = now
-        if op not in GONE:
-            stamp = lambda us: pd.Timestamp(us, unit="us")
-            yield pd.DataFrame([(path, events_, stamp(first), stamp(last), op, size, modified)], columns=[c.split()[0] for c in QUIET.split(", ")])
-
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = tuple(state.get) if state.exists else None
-        if state.hasTimedOut:
-            yield from emit(key[0], now)
-            state.remove()
-            return
-        for at, op, size, modified in in_order(frames, ["at", "op", "file_size", "modified_us"]):
+        waiting = {row[0]: tuple(row[1:]) for row in state.get[0]} if state.exists else {}
+        done: list[tuple] = []
+
+        def let_go(path: str | None) -> None:
+            first, last, op, size, modified, events_ = waiting.pop(path)
+            if op not in GONE:
+                done.append((path, events_, pd.Timestamp(first, unit="us"), pd.Timestamp(last, unit="us"), op, size, modified))
+
+        rows = [] if state.hasTimedOut else in_order(frames, ["at", "op", "file_size", "modified_us", "path"])
+        for at, op, size, modified, path in rows:
+            size, modified = (v if v is None else int(v) for v in (size, modified))
+            now = waiting.get(path)
             if now and at - now[1] > span:
-                yield from emit(key[0], now)
+                let_go(path)
                 now = None
             if now is None:
-                now = (at, at, op, size, modified, 1)
+                waiting[path] = (at, at, op, size, modified, 1)
             elif op != SEEN or (size, modified) != now[3:5]:
-                now = (min(at, now[0]), max(at, now[1]), op, size, modified, now[5] + 1)
-        state.update(now)
-        wait_until(state, now[1] + span)
+                waiting[path] = (min(at, now[0]), max(at, now[1]), op, size, modified, now[5] + 1)
+        # no row that is still to come is older than the watermark
+        mark = state.getCurrentWatermarkMs() * 1000
+        for path in [path for path, now in waiting.items() if now[1] + span < mark]:
+            let_go(path)
+        if waiting:
+            state.update(([(path, *now) for path, now in waiting.items()],))
+            wait_until(state, min(now[1] for now in waiting.values()) + span)
+        elif state.exists:
+            state.remove()
+        if done:
+            yield pd.DataFrame(done, columns=[c.split()[0] for c in QUIET.split(", ")]).astype({"file_size": "Int64", "modified_us": "Int64"})
 
     marked = events.withWatermark("ts", delay).withColumns(
-        {"at": F.unix_micros("ts"), "modified_us": F.unix_micros(F.col("modified_at").cast("timestamp"))}
+        {
+            "at": F.unix_micros("ts"), "modified_us": F.unix_micros(F.col("modified_at").cast("timestamp")),
+            "shard": F.pmod(F.xxhash64("path"), F.lit(shards)),
+        }
     )
-    state = "first bigint, last bigint, op string, size bigint, modified bigint, events bigint"
-    found = marked.groupBy("path").applyInPandasWithState(run, QUIET, state, "append", GroupStateTimeout.EventTimeTimeout)
+    state = "waiting array<struct<path string, first bigint, last bigint, op string, size bigint, modified bigint, events bigint>>"
+    found = marked.groupBy("shard").applyInPandasWithState(run, QUIET, state, "append", GroupStateTimeout.EventTimeTimeout)
     stamps = {c: F.col(c).cast("timestamp_ntz") for c in ("first_ts", "last_ts")}
     modified = F.timestamp_micros("modified_us").cast("timestamp_ntz")
     return found.withColumns(stamps).withColumn("modified_at", modified).drop("modified_us")

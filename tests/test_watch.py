@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,3 +174,20 @@ def test_late_events_are_those_that_bursts_leave_out(spark, tmp_path):
     got = sorted((r.path, r.ts) for r in late.collect())
     assert len(got) > 5 and counted + len(got) == 240
     assert abs(len(got) - len(want)) <= 3 and all(r.ts + dt.timedelta(seconds=2) <= r.watermark for r in late.collect())
+
+
+def test_many_paths_share_the_state_of_few_shards(spark, tmp_path):
+    """A call of Python for every path made the state as many rows as paths."""
+    schema = "path string, op string, ts timestamp, file_size bigint, modified_at timestamp_ntz"
+    paths = [f"/{i}.jpg" for i in range(40)]
+    batches = [[(p, "CREATE", at(0), i, None) for i, p in enumerate(paths)], [("/end.jpg", "CREATE", at(999), None, None)]]
+    feed(spark, tmp_path, schema, batches, append(tmp_path, "out", lambda e: watch.quiet_files(e, shards=4)))
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert {r.path: r.file_size for r in found.collect()} == {p: i for i, p in enumerate(paths)}
+    states = spark.read.format("statestore").load(str(tmp_path / "out-progress"))
+    assert states.count() <= 4
+
+
+def test_only_rows_at_one_time_are_ordered_by_value():
+    frames = [pd.DataFrame({"at": [2, 1, 1], "payload": ["a", "z", "b"]}), pd.DataFrame({"at": [1, 0], "payload": ["c", "y"]})]
+    assert buffers.by_time(iter(frames), "at", "payload").values.tolist() == [[0, "y"], [1, "b"], [1, "c"], [1, "z"], [2, "a"]]
