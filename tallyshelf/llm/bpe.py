@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import id_type, shared_value, small_batches
+from ._frames import id_type, shared_value, small_batches, trimmed
 from ._text import CHUNK, chunks
 
 NONE = np.int32(2**31 - 1)
@@ -226,5 +226,5 @@ def encode(
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = id_type(docs, id_col)
-    done = rows.mapInArrow(run, f"id {kind}, n_tokens bigint, token_ids binary, decoded binary")
+    done = rows.mapInArrow(trimmed(run), f"id {kind}, n_tokens bigint, token_ids binary, decoded binary")
     return done.withColumnRenamed("id", id_col)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tallyshelf.session import settle
 
-from ._frames import shared_value, small_batches
+from ._frames import shared_value, small_batches, trimmed
 from ._text import CHUNK, chunks
 
 UNKNOWN = "und"
@@ -326,5 +326,5 @@ def identify(
 
     rows = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("text"))
     kinds = [f"{name} {kind}" for name, kind in rows.dtypes if keep_text or name != "text"]
-    done = rows.mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double"]))
+    done = rows.mapInArrow(trimmed(run), ", ".join([*kinds, "lang_pred string", "score double"]))
     return done.withColumnRenamed("id", id_col)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tallyshelf.session import settle
 
-from ._frames import shared_value, small_batches
+from ._frames import shared_value, small_batches, trimmed
 from ._text import ALPHANUMERIC, SPACED, chunks, find_words, word_hashes
 
 #: Hashed words the classifier tells apart.
@@ -180,7 +180,7 @@ def posteriors(
 
     rows = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("text"))
     kinds = [f"{name} {kind}" for name, kind in rows.dtypes if keep_text or name != "text"]
-    return rows.mapInArrow(run, ", ".join([*kinds, "n_tokens bigint", "posterior array<double>"]))
+    return rows.mapInArrow(trimmed(run), ", ".join([*kinds, "n_tokens bigint", "posterior array<double>"]))
 
 
 class Fit(NamedTuple):

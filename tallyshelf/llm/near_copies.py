@@ -30,12 +30,14 @@ from pyspark.sql import functions as F
 
 from tallyshelf.session import settle
 
-from ._frames import give_back, row_keys, small_batches
+from ._frames import row_keys, small_batches, trimmed
 from ._text import GOLDEN, SPACED, chunks, find_words, mix
 from .components import components
 from .simhash import shingle_hashes
 
 ROWS, BANDS = 4, 20
+#: Bytes of text worked on at a time: arrays over shingles are many times as large, and stay with the worker.
+SOME = 2 << 20
 #: Share of pairs at the limit that the bytes of the least values may see off.
 MISSED = 1e-5
 #: Factors and offsets of the hash orders.
@@ -116,7 +118,7 @@ def signature_table(docs: DataFrame, id_col: str, text_col: str, words: int, *ke
     rows = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in chunks(batches, "text"):
+        for table in chunks(batches, "text", SOME):
             hashes, sizes = shingle_sets(table["text"], words)
             names, *both = signatures(hashes, sizes)
             done = table.drop_columns("text").append_column("s", pa.array(names, pa.binary())).append_column("n", pa.array(sizes))
@@ -124,10 +126,9 @@ def signature_table(docs: DataFrame, id_col: str, text_col: str, words: int, *ke
                 listed = [own if n else [] for own, n in zip(values.tolist(), sizes.tolist())]
                 done = done.append_column(name, pa.array(listed, pa.list_(pa.int64())))
             yield from done.to_batches()
-        give_back()
 
     kinds = [f"{name} {kind}" for name, kind in rows.dtypes if name != "text"]
-    return rows.mapInArrow(run, ", ".join([*kinds, "s binary, n bigint, bands array<bigint>, sketch array<bigint>"]))
+    return rows.mapInArrow(trimmed(run), ", ".join([*kinds, "s binary, n bigint, bands array<bigint>, sketch array<bigint>"]))
 
 
 def wide_sketches(sets: DataFrame) -> DataFrame:
@@ -144,9 +145,8 @@ def wide_sketches(sets: DataFrame) -> DataFrame:
                 wide[:, k] = mix(np.minimum.reduceat((hashes ^ WIDER[1, k]) * (WIDER[0, k] | np.uint64(1)), starts))
             packed = pa.array(wide.view(np.int64).tolist(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("s"), packed], ["s", "wide"])
-        give_back()
 
-    return sets.where(F.size("shingles") > 0).mapInArrow(run, "s binary, wide array<bigint>")
+    return sets.where(F.size("shingles") > 0).mapInArrow(trimmed(run), "s binary, wide array<bigint>")
 
 
 def set_table(docs: DataFrame, id_col: str, text_col: str, words: int, wanted: DataFrame) -> DataFrame:
@@ -154,14 +154,13 @@ def set_table(docs: DataFrame, id_col: str, text_col: str, words: int, wanted: D
     rows = docs.select(*row_keys(F.col(id_col), F.col(text_col)), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in chunks(batches, "text"):
+        for table in chunks(batches, "text", SOME):
             hashes, sizes = shingle_sets(table["text"], words)
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))
             yield from table.drop_columns("text").append_column("shingles", listed).to_batches()
-        give_back()
 
-    return rows.join(wanted, ["k1", "k2"]).select("s", "text").mapInArrow(run, "s binary, shingles array<bigint>").dropDuplicates(["s"])
+    return rows.join(wanted, ["k1", "k2"]).select("s", "text").mapInArrow(trimmed(run), "s binary, shingles array<bigint>").dropDuplicates(["s"])
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

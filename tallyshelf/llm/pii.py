@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import small_batches
+from ._frames import small_batches, trimmed
 from ._text import SPACED, chunks, find_words, text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
@@ -371,7 +371,7 @@ def find_spans(
 
     rows = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("text"))
     kinds = [f"{name} {kind}" for name, kind in rows.dtypes if name != "text"]
-    done = rows.mapInArrow(run, ", ".join([*kinds, f"spans {SPANS_SQL}", *["redacted string"] * redact]))
+    done = rows.mapInArrow(trimmed(run), ", ".join([*kinds, f"spans {SPANS_SQL}", *["redacted string"] * redact]))
     return done.withColumnRenamed("id", id_col)
 
 
