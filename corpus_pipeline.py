@@ -31,7 +31,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard 0.8) the document with the smallest id stays."""
+    """Of each group of near copies (five-word shingles, Jaccard 0.8) the document with the smallest id stays.
+
+    Sets whose SimHashes are close are compared and linked first; what a SimHash cannot see is completed by bands of least hashes.
+    """
     return simhash.first_of_each(docs, near=near_copies.near_copies, words=5, similarity=0.8).select(*COLUMNS)
 
 

@@ -1,6 +1,9 @@
 """Near copies: documents whose sets of word shingles have a Jaccard similarity of at least a limit.
 
-Equal sets are folded to one row first, so groups of copies cost one row. Candidates are sets that
+Equal sets are folded to one row first, so groups of copies cost one row. Every set has a SimHash fingerprint:
+the majority bits of its shingles' hashes. Sets whose fingerprints differ in few bits, found by the masked patterns and
+the Gray-order index of ``simhash``, are compared exactly and linked first. Copies at the limit itself differ in about ten of
+64 bits, beyond what such an index can find, so bands complete these links. Candidates there are sets of different components that
 share a band: the least values of ``ROWS`` hash orders of their shingles. Two sets of similarity j
 share none of ``BANDS`` bands with probability (1 - j**ROWS) ** BANDS, which is 3e-5 at 0.8 and less
 above it. A join on bands lets a pair through only if of all ``ROWS * BANDS`` least values, of which each set
@@ -33,9 +36,11 @@ from tallyshelf.session import settle
 from ._frames import row_keys, small_batches, trimmed
 from ._text import GOLDEN, SPACED, chunks, find_words, mix
 from .components import components
-from .simhash import shingle_hashes
+from .simhash import majority_bits, near_links, shingle_hashes
 
 ROWS, BANDS = 4, 20
+#: Bits in which fingerprints of sets that are compared first may differ, and the blocks of their patterns.
+DISTANCE, BLOCKS = 4, 6
 #: Bytes of text worked on at a time: arrays over shingles are many times as large, and stay with the worker.
 SOME = 2 << 20
 #: Share of pairs at the limit that the bytes of the least values may see off.
@@ -114,7 +119,7 @@ def signatures(hashes: np.ndarray, sizes: np.ndarray) -> tuple[list[bytes], np.n
 
 
 def signature_table(docs: DataFrame, id_col: str, text_col: str, words: int, *keep) -> DataFrame:
-    """``id``, the columns of ``keep``, ``s`` (the set), ``n`` (its size), ``bands`` and ``sketch`` for every row of ``docs``."""
+    """``id``, the columns of ``keep``, ``s`` (the set), ``n`` (its size), ``fp`` (its SimHash), ``bands`` and ``sketch`` for every row of ``docs``."""
     rows = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,13 +127,14 @@ def signature_table(docs: DataFrame, id_col: str, text_col: str, words: int, *ke
             hashes, sizes = shingle_sets(table["text"], words)
             names, *both = signatures(hashes, sizes)
             done = table.drop_columns("text").append_column("s", pa.array(names, pa.binary())).append_column("n", pa.array(sizes))
+            done = done.append_column("fp", pa.array(majority_bits(hashes, sizes)))
             for name, values in zip(("bands", "sketch"), both):
                 listed = [own if n else [] for own, n in zip(values.tolist(), sizes.tolist())]
                 done = done.append_column(name, pa.array(listed, pa.list_(pa.int64())))
             yield from done.to_batches()
 
     kinds = [f"{name} {kind}" for name, kind in rows.dtypes if name != "text"]
-    return rows.mapInArrow(trimmed(run), ", ".join([*kinds, "s binary, n bigint, bands array<bigint>, sketch array<bigint>"]))
+    return rows.mapInArrow(trimmed(run), ", ".join([*kinds, "s binary, n bigint, fp bigint, bands array<bigint>, sketch array<bigint>"]))
 
 
 def wide_sketches(sets: DataFrame) -> DataFrame:
@@ -171,19 +177,29 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(other, "b").join(one, "a").where(both / every >= similarity).select("a", "b")
 
 
+def simhash_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` that connect the sets whose fingerprints ``fp`` are equal or within ``DISTANCE`` by a chain."""
+    codes = settle(sets.groupBy("fp").agg(F.min("s").alias("first")), "near-codes")
+    equal = sets.select("s", "fp").join(codes, "fp").where("s <> first").select(F.col("first").alias("a"), F.col("s").alias("b"))
+    one, other = (codes.select(F.col("fp").alias(c), F.col("first").alias(f"of_{c}")) for c in "ab")
+    near = near_links(codes.select("fp"), DISTANCE, BLOCKS).join(one, "a").join(other, "b").select("of_a", "of_b")
+    return equal.union(near)
+
+
 def set_links(sets: DataFrame, contents, similarity: float) -> DataFrame:
-    """Components' links ``node``, ``root`` of the sets ``s``, ``n``, ``bands``, ``sketch`` that are similar, by a chain of pairs.
+    """Components' links ``node``, ``root`` of the sets ``s``, ``n``, ``fp``, ``bands``, ``sketch`` that are similar, by a chain of pairs.
 
     ``contents`` makes the table of the shingles of the sets it is given.
     """
-    spark = sets.sparkSession
+    alike = settle(simhash_pairs(sets), "near-alike")
     entries = settle(sets.select("s", "n", F.posexplode("bands").alias("place", "band")), "near-bands")
     sizes = entries.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     shared = settle(entries.join(sizes.hint("rebalance"), "band"), "near-shared")
     central = shared.groupBy("s").agg(F.sum("size").alias("central"))
-    shingles = settle(contents(central.select("s")), "near-shingles")
+    wanted = reduce(DataFrame.union, (alike.select(F.col(c).alias("s")) for c in "ab"), central.select("s")).distinct()
+    shingles = settle(contents(wanted), "near-shingles")
     open_ = settle(shared.drop("size").join(central.join(sets.select("s", "sketch"), "s"), "s"), "near-open")
-    roots = spark.createDataFrame([], "node binary, root binary")
+    roots = components(similar(alike, shingles, similarity), "near-links")
     close = (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-6) & (F.col("root") != F.col("to"))
     close &= equal_bytes("sketch", "of_p") >= least_equal(similarity)
     left = None
@@ -234,13 +250,13 @@ def near_copies(
     keys = row_keys(F.col(id_col), F.col(text_col))
     named = [F.struct(*keys).alias("row"), *([F.struct(*keep).alias("others")] if keep else [])]
     rows = settle(signature_table(docs, id_col, text_col, words, *named), "signatures")
-    sets = rows.groupBy("s").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    sets = rows.groupBy("s").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
 
     def contents(wanted: DataFrame) -> DataFrame:
         one = sets.select("s", "row.k1", "row.k2").join(wanted, "s")
         return set_table(docs, id_col, text_col, words, one)
 
-    roots = set_links(sets.select("s", "n", "bands", "sketch"), contents, similarity)
-    out = rows.drop("n", "bands", "sketch").join(roots, rows["s"] == roots["node"], "left")
+    roots = set_links(sets.select("s", "n", "fp", "bands", "sketch"), contents, similarity)
+    out = rows.drop("n", "fp", "bands", "sketch").join(roots, rows["s"] == roots["node"], "left")
     others = ["others.*"] if keep else []
     return out.select(F.col("id").alias(id_col), F.coalesce("root", "s").alias("root"), *others)

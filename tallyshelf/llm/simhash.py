@@ -56,9 +56,8 @@ def shingle_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return xxh64(joined, begins[one], begins[last] + lengths[last], SEED), made
 
 
-def fingerprints(words: Words, size: int) -> np.ndarray:
-    """Signed 64-bit fingerprints: the bits set in over half of a text's hashes."""
-    hashes, made = shingle_hashes(words, size)
+def majority_bits(hashes: np.ndarray, made: np.ndarray) -> np.ndarray:
+    """Signed 64-bit fingerprints: the bits set in over half of a text's hashes; text by text, ``made`` of each."""
     ends = np.cumsum(made).tolist()
     lanes = hashes.astype("<u8").view(np.uint8).reshape(-1, 8) + 256 * np.arange(8)
     ones = np.zeros((len(made), 64), np.int64)
@@ -69,6 +68,11 @@ def fingerprints(words: Words, size: int) -> np.ndarray:
     return ((ones * 2 > made[:, None]).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
+def fingerprints(words: Words, size: int) -> np.ndarray:
+    """Fingerprints of all shingles of each text, repeats included."""
+    return majority_bits(*shingle_hashes(words, size))
+
+
 def masks(blocks: int, distance: int, bits: int = 64) -> list[int]:
     """Masks of all combinations of blocks two codes within the distance must share one of."""
     edges = [round(i * bits / blocks) for i in range(blocks + 1)]

@@ -2,8 +2,11 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tallyshelf.llm import near_copies
+from tallyshelf.llm._frames import row_keys
 
 from .helpers import documents
 
@@ -97,3 +100,21 @@ def test_equal_bytes(spark):
         frame = spark.createDataFrame([(i, a, b, place) for i, (a, b, _) in enumerate(rows)], "i int, a array<bigint>, b array<bigint>, place int")
         got = {r.i for r in frame.where(near_copies.first_shared("a", "b", "place")).collect()}
         assert got == {i for i, own in enumerate(shared) if not own or own[0] >= place}
+
+
+def test_simhash_links_without_any_band(spark):
+    base = [f"w{k}" for k in range(400)]
+    texts = [" ".join(base), " ".join([*base[:-1], "end"]), " ".join(f"v{k}" for k in range(400)), None, "one word"]
+    docs = documents(spark, list(enumerate(texts)))
+    keys = row_keys(F.col("doc_id"), F.col("text"))
+    rows = near_copies.signature_table(docs, "doc_id", "text", 5, F.struct(*keys).alias("row"))
+    sets = rows.withColumn("bands", F.array().cast("array<bigint>"))
+    codes = {r.id: r.fp for r in rows.collect()}
+    assert (codes[0] ^ codes[1]).bit_count() <= near_copies.DISTANCE and codes[3] == 0
+
+    def contents(wanted):
+        return near_copies.set_table(docs, "doc_id", "text", 5, rows.select("s", "row.*").join(wanted, "s"))
+
+    found = near_copies.set_links(sets, contents, 0.8).collect()
+    names = {bytes(r.s): r.id for r in rows.collect()}
+    assert [{names[bytes(r.node)], names[bytes(r.root)]} for r in found] == [{0, 1}]
