@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from shelfqueries import registry
 from tallyshelf.operators import filters
 from tallyshelf.operators.catalog import names_in_use
 from tallyshelf.operators.dedup import dedup_keep_first
@@ -250,3 +251,12 @@ def test_names_of_catalogued_files(spark):
     store = records(spark, [(1, "a", "/s/x.jpg", "/lib/2024/a b.jpg"), (2, "b", "/s/y.jpg", "")])
     found = names_in_use(store).orderBy(F.col("name")).collect()
     assert [tuple(r) for r in found] == [("/lib/2024", "a b.jpg"), ("/s", "y.jpg")]
+
+
+def test_a_part_is_read_alone(spark, tmp_path):
+    rows = spark.range(100).selectExpr("id", "concat('/', id) as path")
+    table = registry.dealt(rows, F.col("id") % 4)
+    assert table.columns == ["id", "path", "part"] and table.count() == 100
+    one = table.where("part = 3")
+    assert column(one, "id") == list(range(3, 100, 4))
+    assert "PartitionFilters: [isnotnull(part" in one._jdf.queryExecution().executedPlan().toString()
