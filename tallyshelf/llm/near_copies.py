@@ -14,9 +14,10 @@ sets by a join, so no pair below the limit is linked.
 A large group of near copies shares its bands, and its pairs are not all looked at: the set that
 meets most others becomes the pivot of a band, is compared with all of the band and leaves it, and
 components are taken. Sets that are in one component need no comparison. That goes on while it
-saves pairs. Then pairs of sets that share a band and are in different components are left; for these sets
-``WIDE`` least values tell pairs of about 0.7 from those of 0.8, and only the latter become rows to be compared,
-each in the first band it shares.
+halves the pairs. Then pairs of sets that share a band and are in different components are left, and only those that may be
+similar become rows to be compared, each in the first band it shares. Of sets of fewer than ``SMALL`` shingles a byte of each of
+``WIDE`` bins of shingles tells: where two differ, so do the sets, so no pair of the limit is lost, and few below it are left.
+Of larger sets ``WIDE`` least values tell pairs of about 0.7 from those of 0.8.
 
 Defined results: texts of fewer words than a shingle are one shingle; null and empty texts, and those
 without words, have the empty set and are equal. A repeated row gets its row again.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tallyshelf.session import settle
 
-from ._frames import row_keys, small_batches, trimmed
+from ._frames import join_anew, row_keys, small_batches, trimmed
 from ._text import GOLDEN, SPACED, chunks, find_words, mix
 from .components import components
 from .simhash import majority_bits, near_links, shingle_hashes
@@ -47,9 +48,11 @@ SOME = 2 << 20
 MISSED = 1e-5
 #: Factors and offsets of the hash orders.
 ORDERS = mix(np.arange(1, 2 * ROWS * BANDS + 1, dtype=np.uint64) * GOLDEN).reshape(2, -1)
-#: Least values whose bytes tell similar sets from moderately similar ones where all pairs are left, and their orders.
+#: Bytes that tell similar sets from moderately similar ones where all pairs are left, and the orders of least values.
 WIDE = 400
 WIDER = mix(np.arange(1000, 1000 + 2 * WIDE, dtype=np.uint64) * GOLDEN).reshape(2, -1)
+#: Size from which sets differ in too many bins for these to tell.
+SMALL = 1000
 #: Pairs left for each row of a shared band at which no pivot is taken any more.
 FEW = 2
 
@@ -137,22 +140,45 @@ def signature_table(docs: DataFrame, id_col: str, text_col: str, words: int, *ke
     return rows.mapInArrow(trimmed(run), ", ".join([*kinds, "s binary, n bigint, fp bigint, bands array<bigint>, sketch array<bigint>"]))
 
 
-def wide_sketches(sets: DataFrame) -> DataFrame:
-    """``s`` and ``wide``, a byte of each of ``WIDE`` least values, of sets with their shingles."""
+def bin_bytes(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A byte of each of ``WIDE`` bins that the shingles of each set are dealt to: no more of them differ than shingles do."""
+    values = mix(hashes)
+    place = np.repeat(np.arange(len(sizes)), sizes) * WIDE + (values >> np.uint64(32)).astype(np.int64) % WIDE
+    total = np.bincount(place, (values & np.uint64(0xFF)).astype(np.float64), len(sizes) * WIDE)
+    return (total.astype(np.int64) % 256).astype(np.uint8).reshape(-1, WIDE)
+
+
+def least_bytes(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A byte of each of ``WIDE`` least values of each set; no set is empty."""
+    starts = np.cumsum(sizes) - sizes
+    wide = np.zeros((len(sizes), WIDE), np.uint8)
+    for k in range(WIDE if len(sizes) else 0):
+        wide[:, k] = mix(np.minimum.reduceat((hashes ^ WIDER[1, k]) * (WIDER[0, k] | np.uint64(1)), starts))
+    return wide
+
+
+def wide_sketches(sets: DataFrame, similarity: float) -> DataFrame:
+    """``s``, ``bins`` and ``wide`` of sets with their shingles: bins if they are small, least values if a similar one may be large."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("shingles")
             hashes = lists.flatten().to_numpy().view(np.uint64)
-            ends = np.cumsum(lists.value_lengths().to_numpy())
-            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            wide = np.zeros((batch.num_rows, WIDE), np.uint8)
-            for k in range(WIDE):
-                wide[:, k] = mix(np.minimum.reduceat((hashes ^ WIDER[1, k]) * (WIDER[0, k] | np.uint64(1)), starts))
-            packed = pa.array(wide.view(np.int64).tolist(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("s"), packed], ["s", "wide"])
+            sizes = lists.value_lengths().to_numpy().astype(np.int64)
+            made = [batch.column("s")]
+            for make, of in ((bin_bytes, sizes < SMALL), (least_bytes, sizes >= similarity * SMALL - 1)):
+                found = iter(make(hashes[np.repeat(of, sizes)], sizes[of]).view(np.int64).tolist())
+                made.append(pa.array([next(found) if own else [] for own in of.tolist()], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(made, ["s", "bins", "wide"])
+
+    return sets.where(F.size("shingles") > 0).mapInArrow(trimmed(run), "s binary, bins array<bigint>, wide array<bigint>")
+
 
-    return sets.where(F.size("shingles") > 0).mapInArrow(trimmed(run), "s binary, wide array<bigint>")
+def may_be_similar(similarity: float) -> Column:
+    """Whether sets ``s`` and ``p`` of ``n`` and ``m`` shingles may be that similar, by their bins or least values."""
+    differ = F.lit(WIDE) - equal_bytes("bins", "of_bins", WIDE)
+    few = differ <= (F.col("n") + F.col("m")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    return F.when(F.greatest("n", "m") < SMALL, few).otherwise(equal_bytes("wide", "of_wide", WIDE) >= least_equal(similarity, WIDE))
 
 
 def set_table(docs: DataFrame, id_col: str, text_col: str, words: int, wanted: DataFrame) -> DataFrame:
@@ -194,7 +220,7 @@ def set_links(sets: DataFrame, contents, similarity: float) -> DataFrame:
     alike = settle(simhash_pairs(sets), "near-alike")
     entries = settle(sets.select("s", "n", F.posexplode("bands").alias("place", "band")), "near-bands")
     sizes = entries.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    shared = settle(entries.join(sizes.hint("rebalance"), "band"), "near-shared")
+    shared = settle(join_anew(entries, sizes, "band"), "near-shared")
     central = shared.groupBy("s").agg(F.sum("size").alias("central"))
     wanted = reduce(DataFrame.union, (alike.select(F.col(c).alias("s")) for c in "ab"), central.select("s")).distinct()
     shingles = settle(contents(wanted), "near-shingles")
@@ -208,19 +234,19 @@ def set_links(sets: DataFrame, contents, similarity: float) -> DataFrame:
         by_root = rooted.groupBy("band", "root").agg(F.count("*").alias("size"))
         by_band = by_root.groupBy("band").agg(F.sum("size").alias("size"), F.max(F.struct("size", "root")).alias("main"))
         mixed = by_band.where("main.size < size").select("band", "size", F.col("main.root").alias("most"), (F.col("size") - F.col("main.size")).alias("few"))
-        open_ = settle(rooted.join(mixed.hint("rebalance"), "band"), "near-open")
+        open_ = settle(join_anew(rooted, mixed, "band"), "near-open")
         bands = open_.groupBy("band").agg(F.max("size").alias("size"), F.max("few").alias("few"))
         pairs, rows = bands.agg(F.sum(F.col("size") * F.col("few")), F.sum("size")).first()
         if not rows:
             return roots
-        last = pairs <= FEW * rows or (left is not None and pairs > 0.7 * left)
+        last = pairs <= FEW * rows or (left is not None and pairs > 0.5 * left)
         left, near, served = pairs, close, open_
         if last:
-            wide = wide_sketches(shingles.join(open_.select("s").distinct(), "s", "left_semi"))
+            wide = wide_sketches(shingles.join(open_.select("s").distinct(), "s", "left_semi"), similarity)
             served = open_.join(wide, "s")
-            near &= first_shared("sketch", "of_p", "place") & (equal_bytes("wide", "of_wide", WIDE) >= least_equal(similarity, WIDE))
+            near &= first_shared("sketch", "of_p", "place") & may_be_similar(similarity)
             near &= (F.col("p") < F.col("s")) | (F.col("root") == F.col("most"))  # not once from either side
-            named = {"s": "p", "n": "m", "root": "to", "sketch": "of_p", "wide": "of_wide"}
+            named = {"s": "p", "n": "m", "root": "to", "sketch": "of_p", "bins": "of_bins", "wide": "of_wide"}
             one = served.where("root <> most").select("band", *(F.col(c).alias(name) for c, name in named.items()))
         else:
             first = served.groupBy("band").agg(F.max(F.struct("central", "s", "n", "root", "sketch")).alias("first"))

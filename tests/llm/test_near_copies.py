@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -102,6 +103,30 @@ def test_equal_bytes(spark):
         assert got == {i for i, own in enumerate(shared) if not own or own[0] >= place}
 
 
+def test_last_pairs_may_be_similar(spark):
+    """No pair of the limit is seen off, whatever the sizes; of small sets nearly none at 0.75 is left."""
+    rng = random.Random(4)
+    sets, pairs = [], []
+    for n in (5, 40, 120, 400, 890, 960, 1005, 1300):
+        for share in (0.8, 0.75):
+            for grows in (1.0, 1.12):
+                for _ in range(10):
+                    m = round(n * grows)
+                    both = min(n, int(np.ceil(share * (n + m) / (1 + share))) if share == 0.8 else int(share * (n + m) / (1 + share)))
+                    one = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(n + m - both)]
+                    pairs.append((len(sets), n, m, both / (n + m - both)))
+                    sets += [sorted(one[:n]), sorted(one[n - both :])]
+    table = spark.createDataFrame([(k.to_bytes(8, "big"), s) for k, s in enumerate(sets)], "s binary, shingles array<bigint>")
+    made = {int.from_bytes(r.s, "big"): r for r in near_copies.wide_sketches(table, 0.8).collect()}
+    assert all(bool(r.bins) == (len(sets[k]) < 1000) and bool(r.wide) == (len(sets[k]) >= 799) for k, r in made.items())
+    rows = [(k, made[k].bins, made[k].wide, made[k + 1].bins, made[k + 1].wide, n, m) for k, n, m, _ in pairs]
+    frame = spark.createDataFrame(rows, "k int, bins array<bigint>, wide array<bigint>, of_bins array<bigint>, of_wide array<bigint>, n bigint, m bigint")
+    left = {r.k for r in frame.where(near_copies.may_be_similar(0.8)).collect()}
+    assert all(k in left for k, *_, j in pairs if j >= 0.8) and sum(j >= 0.8 for *_, j in pairs) >= 160
+    small = [k for k, n, m, j in pairs if 40 <= n <= 120 and j < 0.78]
+    assert len(small) >= 20 and sum(k in left for k in small) <= len(small) // 10
+
+
 def test_simhash_links_without_any_band(spark):
     base = [f"w{k}" for k in range(400)]
     texts = [" ".join(base), " ".join([*base[:-1], "end"]), " ".join(f"v{k}" for k in range(400)), None, "one word"]

@@ -101,6 +101,19 @@ def test_components(spark):
     assert components.components(table.limit(0)).count() == 0
 
 
+def test_components_make_no_round_over_stars(spark, monkeypatch):
+    written = []
+    settle = components.settle
+    monkeypatch.setattr(components, "settle", lambda df, label: written.append(label) or settle(df, label))
+    stars = [(i, i % 7) for i in range(7, 400)] + [(3, 3), (9, 2)]  # about 0 to 6, a link either way round, one repeated
+    table = spark.createDataFrame([(b, a) if a % 2 else (a, b) for a, b in stars], "a bigint, b bigint")
+    found = {r.node: r.root for r in components.components(table.limit(0)).collect()}
+    assert found == {} and len(written) == 1
+    found = {r.node: r.root for r in components.components(table).collect()}
+    assert found == {n: n % 7 for n in range(7, 400)}
+    assert len(written) == 2
+
+
 def test_near_duplicates_equal_brute_force(spark):
     rng = random.Random(5)
     docs = [(i, words(rng, rng.randrange(1, 300))) for i in range(60)]
