@@ -134,10 +134,11 @@ def watch_ingest(
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def late_events(events: DataFrame, gap: str = "2 seconds", delay: str = "10 seconds", shards: int = 8) -> DataFrame:
-    """Events that ``debounce_events`` with this gap and delay drops, with the ``watermark`` they missed.
+def judge_events(events: DataFrame, gap: str = "2 seconds", delay: str = "10 seconds", shards: int = 8) -> DataFrame:
+    """Every event with the ``watermark`` it missed, null if it came in time.
 
-    An event is late if its burst would have ended by then. Run it on the same source with the same rate.
+    An event is late if a burst of it alone would have ended by then. A batch's late event is late whatever else comes with it, where
+    ``debounce_events`` takes one that is merged with a timely event before the shuffle; so let that have the timely ones only.
     """
     span = micros(gap)
     columns = [*events.columns, "watermark"]
@@ -145,12 +146,20 @@ def late_events(events: DataFrame, gap: str = "2 seconds", delay: str = "10 seco
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         mark = state.getCurrentWatermarkMs()
         for frame in frames:
-            late = frame[frame["at"] + span <= mark * 1000]
-            if len(late):
-                yield late.assign(watermark=pd.Timestamp(mark, unit="ms"))[columns]
+            late = frame["at"] + span <= mark * 1000
+            missed = pd.Series(pd.Timestamp(mark, unit="ms"), index=frame.index).where(late)
+            yield frame.assign(watermark=missed)[columns]
 
     marked = events.withWatermark("ts", delay).withColumns(
         {"at": F.unix_micros("ts"), "shard": F.pmod(F.xxhash64("path", "ts"), F.lit(shards))}
     )
     out = T.StructType([*events.schema.fields, T.StructField("watermark", T.TimestampType())])
     return marked.groupBy("shard").applyInPandasWithState(run, out, "none int", "append", GroupStateTimeout.NoTimeout)
+
+
+def late_events(events: DataFrame, gap: str = "2 seconds", delay: str = "10 seconds", shards: int = 8) -> DataFrame:
+    """Events that come later than ``debounce_events`` with this gap and delay allows, with the ``watermark`` they missed.
+
+    Run it on the same source with the same rate.
+    """
+    return judge_events(events, gap, delay, shards).where("watermark is not null")

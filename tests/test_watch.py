@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from shelfqueries import registry
 from tallyshelf.sources import catalog_store
 from tallyshelf.streaming import events as bursts
 from tallyshelf.streaming import buffers, ingest, watch
@@ -176,6 +177,16 @@ def test_late_events_are_those_that_bursts_leave_out(spark, tmp_path):
     assert abs(len(got) - len(want)) <= 3 and all(r.ts + dt.timedelta(seconds=2) <= r.watermark for r in late.collect())
 
 
+def test_a_late_event_beside_a_timely_one_is_late_only(spark, tmp_path):
+    """Merged before the shuffle, the two were one burst that had not ended, so the late one was counted in it as well."""
+    rows = [(i, 9, at(i), "view") for i in range(20)]
+    rows[2], rows[3] = (2, 1, at(-2700), "view"), (3, 1, at(-1200), "view")  # the first part's watermark is ten minutes before noon
+    table = spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts timestamp_ntz, event_type string")
+    table.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    found = registry.late_event_policy(spark, str(tmp_path)).where("path = '/src/1.jpg'").collect()
+    assert sorted((r.events, r.first_ts, r.watermark is None) for r in found) == [(0, at(-2700), False), (1, at(-1200), True)]
+
+
 def test_many_paths_share_the_state_of_few_shards(spark, tmp_path):
     """A call of Python for every path made the state as many rows as paths."""
     schema = "path string, op string, ts timestamp, file_size bigint, modified_at timestamp_ntz"
