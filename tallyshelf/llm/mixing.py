@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tallyshelf.session import settle
 
 from ._frames import shared_value, small_batches, trimmed
-from ._text import ALPHANUMERIC, SPACED, chunks, find_words, word_hashes
+from ._text import ALPHANUMERIC, PART, SPACED, chunks, find_words, word_hashes
 
 #: Hashed words the classifier tells apart.
 FEATURES = 1 << 16
@@ -129,14 +129,14 @@ def train(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(domains), FEATURES), np.int64)
-        for table in chunks(batches, "text"):
+        for table in chunks(batches, "text", PART):
             features, first = _features(table["text"])
             own = np.repeat(table["domain"].to_numpy().astype(np.int64), np.diff(first))
             total += np.bincount(own * FEATURES + features, minlength=total.size).reshape(total.shape)
         d, f = np.nonzero(total)
         yield pa.RecordBatch.from_pydict({"domain": pa.array(d, pa.int32()), "feature": pa.array(f, pa.int32()), "n": total[d, f]})
 
-    counted = rows.where("not calibrates").select("domain", "text").mapInArrow(count, "domain int, feature int, n bigint")
+    counted = rows.where("not calibrates").select("domain", "text").mapInArrow(trimmed(count), "domain int, feature int, n bigint")
     found = counted.groupBy("domain", "feature").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros((FEATURES, len(domains)))
     total[found["feature"].to_numpy(), found["domain"].to_numpy()] = found["n"].to_numpy()
@@ -145,11 +145,11 @@ def train(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared()
-        for table in chunks(batches, "text"):
+        for table in chunks(batches, "text", PART):
             found = text_scores(table["text"], known)
             yield pa.RecordBatch.from_pydict({"domain": pa.array(table["domain"].to_numpy(), pa.int32()), "scores": pa.array(list(found), pa.list_(pa.float64()))})
 
-    scored = rows.where("calibrates").select("domain", "text").mapInArrow(score, "domain int, scores array<double>").toArrow()
+    scored = rows.where("calibrates").select("domain", "text").mapInArrow(trimmed(score), "domain int, scores array<double>").toArrow()
     if not scored.num_rows:
         return Classifier(words, np.zeros((2 * len(domains), len(domains))), np.zeros(len(domains)))
     x, y = np.array(scored["scores"].to_pylist()), scored["domain"].to_numpy()
@@ -171,7 +171,7 @@ def posteriors(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = shared()
-        for table in chunks(batches, "text"):
+        for table in chunks(batches, "text", PART):
             column = table["text"]
             p = softmax(text_scores(column, found.words) @ found.weights + found.offsets)
             done = table if keep_text else table.drop_columns("text")

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._frames import small_batches, trimmed
-from ._text import SPACED, chunks, find_words, text_bytes
+from ._text import PART, SPACED, chunks, find_words, text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 NONE, LABELS = len(KINDS), len(KINDS) + 1
@@ -302,11 +302,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     chosen = rows.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < min(1.0, sample / max(n, 1)) * 1_000_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in chunks(batches, "text"):
+        for table in chunks(batches, "text", PART):
             numbers, counts = np.unique(contributions(graph_of(table["text"])[0]), return_counts=True)
             yield pa.RecordBatch.from_pydict({"number": numbers, "n": counts})
 
-    counted = chosen.select("text").mapInArrow(run, "number bigint, n bigint").groupBy("number").agg(F.sum("n").alias("n"))
+    counted = chosen.select("text").mapInArrow(trimmed(run), "number bigint, n bigint").groupBy("number").agg(F.sum("n").alias("n"))
     found = sorted((r.number, r.n) for r in counted.collect())
     return fit(np.array([x for x, _ in found], np.int64), np.array([n for _, n in found], float))
 
@@ -354,7 +354,7 @@ def find_spans(
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in chunks(batches, "text"):
+        for table in chunks(batches, "text", PART):
             column = table["text"]
             graph, base = graph_of(column)
             spans = [[(k, s, e, True) for k, s, e in own] for own in base]
