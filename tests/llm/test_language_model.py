@@ -182,6 +182,33 @@ def test_steps_reach_the_best_weights():
     assert slope[1] < slope[0]
 
 
+def test_steps_go_on_until_nothing_is_gained():
+    """Three steps left 0.29 nats a token to gain here."""
+    known = model()
+    rng = np.random.default_rng(5)
+    words = sorted({bytes(rng.integers(97, 103, rng.integers(1, 7)).astype(np.uint8)) for _ in range(3_000)})
+    c = rng.integers(1, 50, len(words)).astype(float)
+    spelled = lm.Spelled.of(np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words)]))
+    weights = lm.learn_weights(known.tree, known.sizes, known.counts, words, c)
+    found = lm.moments(known.tree, known.sizes, known.counts, weights, spelled, c)
+    slope = found[:, :, -1]
+    move = np.linalg.solve(found[:, :, :-1] + np.eye(lm.ORDERS + 1), slope[:, :, None])[:, :, 0]
+    assert (slope * move).sum() / 2 <= 1e-4 * c.sum()
+
+
+def test_a_step_too_long_is_taken_back():
+    """A curvature a thirtieth of the true one: plain steps would fly off."""
+    centre = np.linspace(-1, 1, lm.GATES * (lm.ORDERS + 1)).reshape(lm.GATES, lm.ORDERS + 1)
+
+    def batch(low, high, weights):
+        if (low, high) != (0, lm.PARTS):
+            return np.zeros((lm.GATES, lm.ORDERS + 1, lm.ORDERS + 2))
+        curve = np.tile(np.eye(lm.ORDERS + 1) * 100, (lm.GATES, 1, 1))
+        return np.concatenate([curve, 3_000 * (centre - weights)[:, :, None]], axis=2)
+
+    assert np.allclose(lm.newton_steps(batch, 10), centre, atol=1e-3)
+
+
 def test_like_beginnings_are_counted_once():
     words = [b"abc", b"abd", b"abd\xc3", b"b", b"a", b"abd", b"abd"]
     counts = np.array([1, 2, 4, 8, 16, 32, 64])
