@@ -62,7 +62,8 @@ def top_k(
         F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")
     )
     spread = blocks.withColumn("q_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))))
-    tiles = spread.join(shards, (F.col("q_dim") == F.col("dim")) & (F.col("q_part") == F.col("part")))
+    # Spark counts the copies of a block as one row, and would take all of them for small enough to broadcast.
+    tiles = spread.join(shards.hint("merge"), (F.col("q_dim") == F.col("dim")) & (F.col("q_part") == F.col("part")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists: dict[tuple[bytes, bytes], tuple[np.ndarray, TopLists]] = {}
@@ -78,7 +79,8 @@ def top_k(
                 )
 
         for batch in batches:
-            for tile in batch.to_pylist():
+            for row in range(batch.num_rows):
+                (tile,) = batch.slice(row, 1).to_pylist()
                 key = (tile["q_ids"], tile["q_vectors"])
                 queries, shard = Block.unpack(tile["dim"], *key), Block.unpack(tile["dim"], tile["ids"], tile["vectors"])
                 if key not in lists:

@@ -53,3 +53,11 @@ def test_products_too_large_for_doubles(spark):
 def test_fewer_candidates_and_empty(spark):
     assert rows(topk.top_k(frame(spark, [(0, [1.0])]), F.col("vec_id") == 0)) == []
     assert topk.top_k(frame(spark, []), F.col("vec_id") == 0).count() == 0
+
+
+def test_copies_of_queries_are_not_broadcast(spark):
+    """There are as many as there are groups of shards, which Spark's estimate does not know."""
+    vectors = [(i, [float(i % 7), float(i % 5)]) for i in range(500)]
+    got = topk.top_k(frame(spark, vectors), F.col("vec_id") % 100 == 0)
+    assert rows(got) == expected(vectors, 10)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
