@@ -90,7 +90,7 @@ class TopLists:
     """The best ``k`` of each query seen so far; ties go to the smaller id. Cut to size now and then."""
 
     def __init__(self, k: int, score_type: type):
-        self.k, self.pending, self.kept = k, 0, 0
+        self.k, self.pending, self.kept, self.cuts = k, 0, 0, 0
         self.parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, score_type))]
 
     def add(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
@@ -106,9 +106,17 @@ class TopLists:
         query, ids, scores = query[order], ids[order], scores[order]
         good = np.arange(len(query)) - np.searchsorted(query, query, "left") < self.k
         self.parts = [(query[good], ids[good], scores[good])]
-        self.pending, self.kept = 0, len(self.parts[0][0])
+        self.pending, self.kept, self.cuts = 0, len(self.parts[0][0]), self.cuts + 1
         return self.parts[0]
 
+    def least(self, queries: int) -> np.ndarray:
+        """The ``k``-th best score of each query when lists were last cut, -inf where there were fewer."""
+        query, _, scores = self.parts[0]
+        out = np.full(queries, -np.inf)
+        last = np.arange(len(query)) - np.searchsorted(query, query, "left") == self.k - 1
+        out[query[last]] = scores[last]
+        return out
+
 
 def best_of_tile(scores: np.ndarray, allowed: np.ndarray, k: int, slack: float = 0) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of each row's k best allowed scores; columns are in order of id.

@@ -7,10 +7,11 @@ next, and leaves are visited in the order they come out. How many leaves is cali
 bounded number of sample vectors the true neighbours are found among all rows, and visits are
 widened until the leaves visited hold at least ``recall`` of them.
 
-Rows travel as blocks of a leaf; a task merges the lists of all leaves it looks at. A leaf with many rows is dealt over several tasks, by the rows
-counted in it, and queries that visit it go to each of them. Products over unit vectors make a
-short list with some slack; its scores are computed anew, pair by pair, on the original vectors in
-double precision, so equal vectors have equal scores.
+Rows travel as blocks of a leaf. Leaves are dealt to groups, a leaf with many rows to several, by the rows counted in
+it. A block of queries travels once to each group, not to each leaf, with the leaves that each query visits as bits.
+A task takes a group: its queries meet the leaves they visit there. Products over unit vectors make a short list with
+some slack, less as better neighbours are known; its scores are computed anew, pair by pair, on the original vectors
+in double precision, so equal vectors have equal scores.
 
 Defined results: vectors that are null or zero, or hold null, NaN or infinity, take no part. Only
 vectors of one length are compared; a length of which the sample has none gets a single leaf. A row
@@ -24,21 +25,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyshelf.session import settle
 
-from ._frames import shared_value, small_batches
+from ._frames import give_back, partitions, shared_value, small_batches, trimmed
 from ._vectors import NO_ID, Block, TopLists, best_of_tile, hash_of, id_numbers, ids_array, usable
 
-#: Vectors of a block, queries of a block, and queries whose lists a task keeps before it sends them on.
-ROWS, QUERIES, HELD = 1024, 256, 100_000
-#: Rows of a leaf that one task takes.
+#: Vectors of a block, queries of a block, and queries that meet a group at a time.
+ROWS, QUERIES, TOGETHER = 1024, 256, 65_536
+#: Bytes of vectors a task holds before it packs them by leaf, and bytes of blocks it then sends at a time.
+HELD, SENT = 32 << 20, 4 << 20
+#: Rows of a leaf that one group takes.
 DEALT = 16 * ROWS
+#: Bytes of vectors a group has at most, about.
+MOST = 32 << 20
 #: Products differ from exact scores by less than this.
 SLACK = 1e-9
 LEAVES = "dim int, leaf int, ids binary, vectors binary"
+ASKED = "dim int, ids binary, vectors binary, seen binary"
+EMPTY = pa.table({"query_id": pa.array([], pa.int64()), "query": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -125,49 +133,110 @@ class Tree:
         return out
 
 
-def _pack(trees: dict[int, Tree], rows: int, most: dict[int, int] | None):
-    """Packs (id, vector) batches into blocks by leaf: the leaf of each row, or those a query visits."""
+def _pack(trees: dict[int, Tree]):
+    """Packs (id, vector) batches into blocks by leaf, whenever some megabytes are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
-        sizes: dict[tuple[int, int], int] = {}
-
-        def block(key: tuple[int, int]) -> pa.RecordBatch:
-            ids = np.concatenate([i for i, _ in held[key]])
-            vectors = np.concatenate([v for _, v in held.pop(key)])
-            order = np.argsort(ids, kind="stable")
-            packed = [key[0], key[1], ids[order].astype("<i8").tobytes(), vectors[order].astype("<f8").tobytes()]
-            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            sizes.pop(key)
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(packed, kinds)], ["dim", "leaf", "ids", "vectors"])
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        size = 0
+
+        def blocks() -> Iterator[pa.RecordBatch]:
+            for dim, parts in held.items():
+                ids, leaf, vectors = (np.concatenate(x) for x in zip(*parts))
+                order = np.lexsort((ids, leaf))
+                cuts = np.flatnonzero(np.diff(leaf[order])) + 1
+                some = [part[at : at + ROWS] for part in np.split(order, cuts) if len(part) for at in range(0, len(part), ROWS)]
+                many = max(1, SENT // (8 * (dim + 1) * max(map(len, some), default=1)))
+                for at in range(0, len(some), many):
+                    now = some[at : at + many]
+                    packed = [[dim] * len(now), [int(leaf[x[0]]) for x in now], [ids[x].astype("<i8").tobytes() for x in now], [vectors[x].astype("<f8").tobytes() for x in now]]
+                    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(packed, kinds)], ["dim", "leaf", "ids", "vectors"])
+            held.clear()
 
         for batch in batches:
             ids = id_numbers(batch)
             for dim, own, vectors in usable(batch, zeros=False):
-                row = np.arange(len(vectors))
-                leaf = np.zeros(len(vectors), np.int64)
-                if dim in trees and most is None:
-                    leaf = trees[dim].descend(unit(vectors))
-                elif dim in trees:
-                    found = [trees[dim].visits(v, most[dim]) for v in unit(vectors)]
-                    row = np.repeat(row, [len(f) for f in found])
-                    leaf = np.array([x for f in found for x in f], np.int64)
-                order = np.argsort(leaf, kind="stable")
-                cuts = np.flatnonzero(np.diff(leaf[order])) + 1
-                for part in np.split(order, cuts) if len(order) else []:
-                    for at in range(0, len(part), rows):
-                        some = row[part[at : at + rows]]
-                        key = (dim, int(leaf[part[0]]))
-                        if sizes.get(key, 0) + len(some) > rows:
-                            yield block(key)
-                        held.setdefault(key, []).append((ids[own[some]], vectors[some]))
-                        sizes[key] = sizes.get(key, 0) + len(some)
-        for key in list(held):
-            yield block(key)
+                leaf = trees[dim].descend(unit(vectors)) if dim in trees else np.zeros(len(vectors), np.int64)
+                held.setdefault(dim, []).append((ids[own], leaf, vectors))
+                size += vectors.nbytes + 16 * len(own)
+            if size >= HELD:
+                yield from blocks()
+                size = 0
+        yield from blocks()
+
+    return run
+
+
+def _ask(trees: dict[int, Tree], most: dict[int, int]):
+    """Packs (id, vector) batches of queries into blocks with the leaves each visits, a bit for every leaf."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = id_numbers(batch)
+            for dim, own, vectors in usable(batch, zeros=False):
+                for at in range(0, len(vectors), QUERIES):
+                    some = vectors[at : at + QUERIES]
+                    seen = np.zeros((len(some), len(trees[dim].leaf) if dim in trees else 1), bool)
+                    for row, vector in enumerate(unit(some)):
+                        seen[row, trees[dim].visits(vector, most[dim]) if dim in trees else 0] = True
+                    packed = [dim, ids[own[at : at + QUERIES]].astype("<i8").tobytes(), some.astype("<f8").tobytes(), np.packbits(seen, axis=1).tobytes()]
+                    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(packed, kinds)], ["dim", "ids", "vectors", "seen"])
 
     return run
 
 
+def joined(table: pa.Table, name: str, kind: str) -> np.ndarray:
+    """The bytes of all rows of a binary column, one after another."""
+    parts = []
+    for chunk in table[name].chunks:
+        _, offsets, data = chunk.buffers()
+        if len(chunk) and data:
+            first, last = np.frombuffer(offsets, np.int32)[[chunk.offset, chunk.offset + len(chunk)]]
+            parts.append(np.frombuffer(data, np.uint8)[first:last])
+    return (parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.uint8), *parts])).view(kind)
+
+
+def having(table: pa.Table, name: str, value: int) -> pa.Table:
+    """Rows with a value; not copied if all rows have it."""
+    good = pc.equal(table[name], value)
+    return table if pc.all(good).as_py() else table.filter(good)
+
+
+def search(asked: pa.Table, listed: pa.Table, k: int) -> Iterator[pa.Table]:
+    """The ``k`` best of a group's blocks for each query, by dimension."""
+    for dim in pc.unique(listed["dim"]).to_pylist():
+        queries, blocks = having(asked, "dim", dim), having(listed, "dim", dim)
+        names = joined(queries, "ids", "<i8")
+        if not len(names):
+            continue
+        vectors = joined(queries, "vectors", "<f8").reshape(len(names), dim)
+        seen = joined(queries, "seen", "u1").reshape(len(names), -1)
+        near, best, cuts, least = unit(vectors), TopLists(k, float), 0, np.full(len(names), -np.inf)
+        for leaf in pc.unique(blocks["leaf"]).to_pylist():
+            rows = having(blocks, "leaf", leaf)
+            own = Block(joined(rows, "ids", "<i8"), joined(rows, "vectors", "<f8").reshape(-1, dim))
+            visiting = np.flatnonzero(seen[:, leaf >> 3] >> (7 - (leaf & 7)) & 1)
+            for begin in range(0, len(own.ids), ROWS):
+                ids, there = own.ids[begin : begin + ROWS], own.vectors[begin : begin + ROWS]
+                other = unit(there).T
+                for at in range(0, len(visiting), QUERIES):
+                    some = visiting[at : at + QUERIES]
+                    scores, allowed = near[some] @ other, names[some][:, None] != ids
+                    if np.isfinite(least[some]).all():
+                        i, j = np.nonzero((scores >= least[some][:, None] - SLACK) & allowed)
+                    else:
+                        i, j = best_of_tile(scores, allowed, k, SLACK)
+                    best.add(some[i], ids[j], cosine(vectors[some[i]], there[j]))
+                    if best.cuts != cuts:
+                        cuts, least = best.cuts, best.least(len(names))
+        query, found, scores = best.best()
+        keys = np.array([hash_of(v.tobytes()) for v in vectors], np.int64)
+        columns = [pa.array(names[query]), pa.array(keys[query]), ids_array(found), pa.array(scores)]
+        yield pa.Table.from_arrays(columns, ["query_id", "query", "vec_id", "score"])
+
+
 class Index:
     """Trees by dimension, leaves to visit, and the rows of all leaves in the shared folder."""
 
@@ -207,7 +276,7 @@ def build(
         step = max(1, len(ids) // calibration_queries)
         queries[dim] = (ids[::step][:calibration_queries], found[::step][:calibration_queries])
     shared = shared_value(spark, trees)
-    packed = rows.mapInArrow(lambda batches: _pack(shared(), ROWS, None)(batches), LEAVES)
+    packed = rows.mapInArrow(lambda batches: trimmed(_pack(shared()))(batches), LEAVES)
     blocks = settle(packed, "ann-leaves")
     return Index(trees, blocks, calibrated(blocks, trees, queries, k, recall))
 
@@ -258,45 +327,31 @@ def nearest(
     chosen = vectors.where(is_query & F.col(id_col).isNotNull())
     chosen = chosen.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("vector")).distinct()
     shared = shared_value(spark, (index.trees, index.visits))
-    
+
     def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees, visits = shared()
-        yield from _pack(trees, QUERIES, visits)(batches)
+        yield from trimmed(_ask(*shared()))(batches)
 
-    asked = chosen.mapInArrow(visited, LEAVES)
+    (size,) = index.blocks.agg(F.coalesce(F.sum(F.length("ids") * F.col("dim")), F.lit(0))).first()
+    cores = spark.sparkContext.defaultParallelism
+    groups = max(-(-size // MOST), min(partitions(spark), cores))
+    # A walk takes long, and Spark would have few tasks for so few bytes.
+    asked = chosen.repartition(4 * cores, "id", "vector").mapInArrow(visited, ASKED)
     # As many rows as the trees have leaves, and one for each further dimension.
-    dealt = index.blocks.groupBy("dim", "leaf").agg(F.ceil(F.sum(F.length("ids")) / F.lit(8 * DEALT)).alias("tasks"))
-    blocks = index.blocks.join(dealt, ["dim", "leaf"])
-    blocks = blocks.withColumn("part", F.pmod(F.xxhash64("ids"), F.col("tasks"))).drop("tasks")
-    asked = asked.join(dealt, ["dim", "leaf"]).withColumn("part", F.explode(F.expr("sequence(0L, tasks - 1)"))).drop("tasks")
-    asked = asked.withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors"})
-    tiles = asked.join(blocks, ["dim", "leaf", "part"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers: dict[tuple[int, int], int] = {}  # of the task's queries, by id and hash
-        best = TopLists(k, float)
-
-        def sent() -> pa.RecordBatch:
-            names = np.array(list(numbers) or np.zeros((0, 2)), np.int64)
-            query, ids, scores = best.best()
-            columns = [pa.array(names[query, 0]), pa.array(names[query, 1]), ids_array(ids), pa.array(scores)]
-            return pa.RecordBatch.from_arrays(columns, ["query_id", "query", "vec_id", "score"])
-
-        for batch in batches:
-            for tile in batch.to_pylist():
-                queries = Block.unpack(tile["dim"], tile["q_ids"], tile["q_vectors"])
-                block = Block.unpack(tile["dim"], tile["ids"], tile["vectors"])
-                if len(numbers) > HELD:
-                    yield sent()
-                    numbers, best = {}, TopLists(k, float)
-                keys = [(int(q), hash_of(v.tobytes())) for q, v in zip(queries.ids, queries.vectors)]
-                own = np.array([numbers.setdefault(key, len(numbers)) for key in keys])
-                scores = unit(queries.vectors) @ unit(block.vectors).T
-                i, j = best_of_tile(scores, queries.ids[:, None] != block.ids, k, SLACK)
-                best.add(own[i], block.ids[j], cosine(queries.vectors[i], block.vectors[j]))
-        yield sent()
-
-    found = tiles.mapInArrow(run, "query_id bigint, query bigint, vec_id bigint, score double")
+    dealt = index.blocks.groupBy("dim", "leaf").agg(F.ceil(F.sum(F.length("ids")) / F.lit(8 * DEALT)).alias("parts"))
+    group = lambda *columns: F.pmod(F.xxhash64(*columns), F.lit(groups))
+    blocks = index.blocks.join(dealt, ["dim", "leaf"]).withColumn("group", group("dim", "leaf", F.pmod(F.xxhash64("ids"), F.col("parts"))))
+    turns = -(-chosen.count() // TOGETHER)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(1, n) - 1).cast("bigint")))
+    blocks = blocks.drop("parts").withColumn("turn", each(turns))
+    asked = asked.withColumn("turn", F.pmod(F.xxhash64("ids", "vectors"), F.lit(max(1, turns)))).withColumn("group", each(groups))
+
+    def run(queries: pa.Table, listed: pa.Table) -> pa.Table:
+        done = pa.concat_tables([EMPTY, *search(queries, listed, k)])
+        give_back()
+        return done
+
+    both = asked.groupBy("group", "turn").cogroup(blocks.groupBy("group", "turn"))
+    found = both.applyInArrow(run, "query_id bigint, query bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +76,57 @@ def test_awkward_rows(spark):
 
 def test_empty_table(spark):
     assert ann.nearest(frame(spark, []), F.col("vec_id") == 0).count() == 0
+
+
+def test_queries_travel_once_to_a_group(spark):
+    """Not once to each leaf they visit, and never by broadcast."""
+    rng = np.random.default_rng(4)
+    vectors = [(i, rng.normal(size=12).tolist()) for i in range(3000)]
+    table = frame(spark, vectors)
+    index = ann.build(table, sample_rows=1000, leaf_rows=40)
+    got = ann.nearest(table, F.col("vec_id") % 50 == 0, index=index, k=5)
+    assert recall(by_query(got), brute(vectors, 5, 50)) >= 0.9
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "q_vectors" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+def test_few_rows_of_a_leaf_are_held(spark, monkeypatch):
+    """Blocks go on once some bytes are held, however many leaves there are."""
+    rng = np.random.default_rng(6)
+    rows = rng.normal(size=(4000, 8))
+    tree = ann.Tree(ann.unit(rows), 8, 2)
+    monkeypatch.setattr(ann, "HELD", 20_000)
+    taken = []
+
+    def batches():
+        for at in range(0, len(rows), 100):
+            taken.append(at)
+            yield pa.RecordBatch.from_pydict({"id": np.arange(at, at + 100), "vector": pa.array(rows[at : at + 100].tolist(), pa.list_(pa.float64()))})
+
+    found = {}
+    for batch in ann._pack({8: tree})(batches()):
+        for row in batch.to_pylist():
+            block = ann.Block.unpack(row["dim"], row["ids"], row["vectors"])
+            assert (tree.descend(ann.unit(block.vectors)) == row["leaf"]).all() and (np.diff(block.ids) > 0).all()
+            found |= dict(zip(block.ids.tolist(), block.vectors.tolist()))
+            assert len(found) > 100 * (len(taken) - 5)
+    assert found == dict(enumerate(rows.tolist()))
+
+
+def test_search_is_exact_over_all_visited_rows(monkeypatch):
+    """Also once lists have been cut and further rows have to beat them."""
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(ann, "QUERIES", 64)
+    rows, asked = rng.normal(size=(2000, 6)), rng.normal(size=(4500, 6))
+    leaf, ids = rng.integers(0, 20, 2000), np.arange(2000)
+    blocks = pa.table({"dim": [6] * 20, "leaf": list(range(20)), "ids": [ids[leaf == x].astype("<i8").tobytes() for x in range(20)], "vectors": [rows[leaf == x].tobytes() for x in range(20)]})
+    seen = rng.random((4500, 20)) < 0.7
+    queries = pa.table({"dim": [6], "ids": [np.arange(10_000, 14_500).astype("<i8").tobytes()], "vectors": [asked.tobytes()], "seen": [np.packbits(seen, axis=1).tobytes()]})
+    (got,) = ann.search(queries, blocks, 5)
+    have = {}
+    for r in got.to_pylist():
+        have.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    scores = ann.unit(asked) @ ann.unit(rows).T
+    for q in range(4500):
+        best = sorted((-s, i) for i, s in enumerate(scores[q]) if seen[q, leaf[i]])[:5]
+        assert [i for i, _ in have[10_000 + q]] == [i for _, i in best]
