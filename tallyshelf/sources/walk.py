@@ -11,15 +11,18 @@ there is a ``=`` in them, and files without content are left out; so are those t
 import os
 import re
 import stat
-from collections.abc import Iterator, Sequence
+import sys
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.filters import clean_extensions
 from ..session import scratch_path, settle
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of it
 #: Entries a task lists in the first turn, times as many in each next one, and folders it keeps for itself.
 ENTRIES, GROWTH, KEPT = 1_000, 16, 1_000
 #: Rows of a batch of paths; bytes of content a task sends at a time, about.
@@ -33,12 +36,17 @@ def folder_path(spark: SparkSession, root: str, extensions: Sequence[str] | None
     """The folder's local path; none if it is not one that tasks can walk, or either argument is a pattern."""
     if SPECIAL.search(root) or any(SPECIAL.search(e) for e in extensions or ()):
         return None
+    local = local_path(spark, root)
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    uri = system.makeQualified(path).toUri()
-    if uri.getScheme() != "file" or not system.exists(path) or not system.getFileStatus(path).isDirectory():
-        return None
-    return uri.getPath()
+    return local if local is not None and system.exists(path) and system.getFileStatus(path).isDirectory() else None
+
+
+def local_path(spark: SparkSession, place: str) -> str | None:
+    """A place on a mounted file system as a plain path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
 
 
 def ending(extensions: Sequence[str] | None) -> str:
@@ -49,6 +57,58 @@ def ending(extensions: Sequence[str] | None) -> str:
     return rf"(?s)^.*(?:{'|'.join(any_case)})\Z"
 
 
+def is_seen(name: str, folder: bool) -> bool:
+    """Whether Spark's file sources look at it."""
+    hidden = name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+    return not hidden or (folder and name.startswith(("_metadata", "_common_metadata")))
+
+
+def shown(path: str) -> str:
+    return path.encode(errors="replace").decode()
+
+
+def entries_of(folder: str, named: re.Pattern) -> Iterator[tuple[str, bool, int | None, int | None]]:
+    """path, whether it is a folder, and time and size of a file, of what a folder has; a folder that is gone has nothing."""
+    try:
+        entries = os.scandir(folder or "/")
+    except (FileNotFoundError, NotADirectoryError):
+        return
+    with entries:
+        for entry in entries:
+            path = f"{folder}/{entry.name}"
+            try:
+                if entry.is_dir():
+                    if is_seen(entry.name, True):
+                        yield path, True, None, None
+                elif is_seen(entry.name, False) and named.search(entry.name):
+                    found = entry.stat()
+                    if stat.S_ISREG(found.st_mode) and found.st_size:
+                        yield path, False, found.st_mtime_ns // 1_000_000, found.st_size
+            except OSError:  # a link to nowhere, or gone
+                continue
+
+
+def read_files(paths: Iterable[str]) -> Iterator[list[tuple[str, int, int, bytes]]]:
+    """path, time, length and content of files that can be read, some megabytes at a time."""
+    rows, size = [], 0
+    for path in paths:
+        try:
+            with open(path.removeprefix("file:"), "rb") as file:
+                found, content = os.fstat(file.fileno()), file.read()
+        except OSError:
+            continue
+        rows.append((path, found.st_mtime_ns // 1_000_000, found.st_size, content))
+        size += len(content)
+        if size >= SENT or len(rows) >= ROWS:
+            yield rows
+            rows, size = [], 0
+    yield rows
+
+
+def columns(rows: list[tuple], *kinds: pa.DataType) -> list[pa.Array]:
+    return [pa.array(x, k) for x, k in zip(list(zip(*rows)) or [[]] * len(kinds), kinds)]
+
+
 def walked(spark: SparkSession, root: str, extensions: Sequence[str] | None = None) -> DataFrame:
     """path, modificationTime and length of every file below the local folder ``root``, as a written table."""
     wanted, out, cores = ending(extensions), scratch_path(spark, "walk"), spark.sparkContext.defaultParallelism
@@ -58,13 +118,9 @@ def walked(spark: SparkSession, root: str, extensions: Sequence[str] | None = No
             named, left, rows = re.compile(wanted), most, []
 
             def sent() -> pa.RecordBatch:
-                columns = list(zip(*rows)) or [[]] * 4
-                kinds = (pa.string(), pa.bool_(), pa.int64(), pa.int64())
+                found = columns(rows, pa.string(), pa.bool_(), pa.int64(), pa.int64())
                 rows.clear()
-                return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["path", "is_folder", "modified_ms", "length"])
-
-            def shown(path: str) -> str:
-                return path.encode(errors="replace").decode()
+                return pa.RecordBatch.from_arrays(found, ["path", "is_folder", "modified_ms", "length"])
 
             for batch in batches:
                 for given in batch["path"].to_pylist():
@@ -75,33 +131,14 @@ def walked(spark: SparkSession, root: str, extensions: Sequence[str] | None = No
                             rows.append((shown(folder), True, None, None))
                             continue
                         left -= 1
-                        try:
-                            entries = os.scandir(folder or "/")
-                        except (FileNotFoundError, NotADirectoryError):
-                            continue
-                        with entries:
-                            for entry in entries:
-                                name = entry.name
-                                hidden = name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
-                                shared = name.startswith(("_metadata", "_common_metadata"))  # folders of these names are seen
-                                if hidden and not shared:
-                                    continue
-                                path = f"{folder}/{name}"
-                                try:
-                                    if entry.is_dir():
-                                        if len(stack) < KEPT:
-                                            stack.append(path)
-                                        else:
-                                            rows.append((shown(path), True, None, None))
-                                    elif not hidden and named.search(name):
-                                        left -= 1
-                                        found = entry.stat()
-                                        if stat.S_ISREG(found.st_mode) and found.st_size:
-                                            rows.append((shown(path), False, found.st_mtime_ns // 1_000_000, found.st_size))
-                                except OSError:  # a link to nowhere, or gone
-                                    continue
-                                if len(rows) >= ROWS:
-                                    yield sent()
+                        for path, is_folder, *found in entries_of(folder, named):
+                            if is_folder and len(stack) < KEPT:
+                                stack.append(path)
+                            else:
+                                rows.append((shown(path), is_folder, *found))
+                                left -= not is_folder
+                            if len(rows) >= ROWS:
+                                yield sent()
                         if len(rows) >= ROWS:
                             yield sent()
             yield sent()
@@ -126,27 +163,9 @@ def contents(files: DataFrame) -> DataFrame:
     """Time, length and content of the files of a listing, as they are when read; those that cannot be are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
-
-        def sent() -> pa.RecordBatch:
-            columns = list(zip(*rows)) or [[]] * 4
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary())
-            rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["path", "modified_ms", "length", "content"])
-
-        for batch in batches:
-            for path in batch["path"].to_pylist():
-                try:
-                    with open(path.removeprefix("file:"), "rb") as file:
-                        found, content = os.fstat(file.fileno()), file.read()
-                except OSError:
-                    continue
-                rows.append((path, found.st_mtime_ns // 1_000_000, found.st_size, content))
-                size += len(content)
-                if size >= SENT or len(rows) >= ROWS:
-                    yield sent()
-                    size = 0
-        yield sent()
+        for rows in read_files(path for batch in batches for path in batch["path"].to_pylist()):
+            found = columns(rows, pa.string(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays(found, ["path", "modified_ms", "length", "content"])
 
     read = files.select("path").mapInArrow(run, "path string, modified_ms bigint, length bigint, content binary")
     return read.select("path", F.timestamp_millis("modified_ms").alias("modificationTime"), "length", "content")
